@@ -47,7 +47,7 @@ def lines_frame(spark, d):
 
 
 def field_rows(spark, d):
-    return lines_frame(spark, d).withColumn("fields", quality.split_fields(F.col("line"))).select("row_no", "fields")
+    return quality.with_fields(lines_frame(spark, d)).select("row_no", "fields")
 
 
 def checked_rows(spark, d):

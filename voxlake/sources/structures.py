@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.functions.columns import file_stem
+from voxlake.functions.columns import computed_once, file_stem
 
 
 def discover_structures(
@@ -74,20 +74,21 @@ def parse_atoms(lines: DataFrame, include_hetero: bool = False) -> DataFrame:
     record = _field(0, 6)
     kinds = ["ATOM", "HETATM"] if include_hetero else ["ATOM"]
     keep = [c for c in ("structure_id", "pdb_path", "line_no") if c in lines.columns]
-    parsed = lines.where(record.isin(*kinds) & _field(16, 1).isin("", "A")).select(
-        *keep,
-        _field(12, 4).alias("atom"),
-        _field(17, 3).alias("res_name"),
-        F.coalesce(F.nullif(_field(21, 1), F.lit("")), F.lit("_")).alias("chain_id"),
-        _field(22, 4).try_cast("int").alias("res_no"),
-        F.coalesce(F.nullif(_field(26, 1), F.lit("")), F.lit("_")).alias("icode"),
-        *[_field(30 + 8 * i, 8).try_cast("double").alias(c) for i, c in enumerate("xyz")],
-        F.coalesce(
+    fields = {
+        "atom": _field(12, 4),
+        "res_name": _field(17, 3),
+        "chain_id": F.coalesce(F.nullif(_field(21, 1), F.lit("")), F.lit("_")),
+        "res_no": _field(22, 4).try_cast("int"),
+        "icode": F.coalesce(F.nullif(_field(26, 1), F.lit("")), F.lit("_")),
+        **{c: _field(30 + 8 * i, 8).try_cast("double") for i, c in enumerate("xyz")},
+        "element": F.coalesce(
             F.nullif(_field(76, 2), F.lit("")), F.substring(_field(12, 4), 1, 1)
-        ).alias("element"),
-        (record == "HETATM").alias("hetatm"),
-        _field(16, 1).alias("altloc"),
-    )
+        ),
+        "hetatm": record == "HETATM",
+        "altloc": _field(16, 1),
+    }
+    wanted = lines.where(record.isin(*kinds) & _field(16, 1).isin("", "A"))
+    parsed = computed_once(wanted, fields).select(*keep, *fields)
     return parsed.where(
         F.col("res_no").isNotNull() & F.col("x").isNotNull()
         & F.col("y").isNotNull() & F.col("z").isNotNull()
