@@ -24,7 +24,6 @@ def score_samples(
     ``samples`` has ``x`` and ``shape``; equal shapes are batched together.
     With ``embeddings`` the scorer returns (logits, embeddings).
     """
-    shared = samples.sparkSession.sparkContext.broadcast(scorer)
     names = samples.columns
     at_x, at_shape = names.index("x"), names.index("shape")
     kept = [i for i, n in enumerate(names) if n not in ("x", "shape")]
@@ -39,7 +38,6 @@ def score_samples(
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.ravel()))
 
     def run(batches):
-        model = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, batch):
                 part = whole.slice(start, batch)
@@ -47,7 +45,7 @@ def score_samples(
                 for shape in sorted({tuple(s) for s in shapes}):
                     rows = part.take(pa.array([i for i, s in enumerate(shapes) if tuple(s) == shape]))
                     flat = np.asarray(rows.column(at_x).flatten())
-                    result = model(flat.reshape(rows.num_rows, *shape))
+                    result = scorer(flat.reshape(rows.num_rows, *shape))
                     extra = list(result) if embeddings else [result]
                     yield pa.RecordBatch.from_arrays(
                         [rows.column(i) for i in kept] + [as_lists(m) for m in extra],

@@ -63,7 +63,7 @@ def read_accession_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scop(spark: SparkSession, path: str, skip: int = 5) -> DataFrame:
     """(sid, pdb, family) rows; the first ``skip`` lines are a preamble."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     return scop_rows(lines.where(F.col("pos") >= skip))
 
@@ -79,7 +79,7 @@ def scop_rows(lines: DataFrame) -> DataFrame:
 
 def read_sasa_cif(spark: SparkSession, path: str) -> DataFrame:
     """Per-residue accessibility from CIF-style text files."""
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         F.substring(F.substring_index(F.col("_metadata.file_path"), "/", -1), 1, 4).alias("gene"),
         "value",
     )
