@@ -45,9 +45,12 @@ def voxel_index(t: Column, box: float, voxel: float) -> Column:
     return F.least(F.greatest(raw, F.lit(0)), F.lit(last))
 
 
-def reach(box: float, bias: tuple[float, ...] = (0.0, 0.0, 0.0)) -> float:
-    """Largest distance between a centre and an atom inside its box."""
-    return math.sqrt(3.0) * box / 2.0 + math.sqrt(sum(b * b for b in bias)) + 1e-6
+def bound(k: str, box: float, bias: tuple[float, float, float]) -> Column:
+    """Half width along one axis of the bounds of the rotated, shifted box."""
+    half = F.lit(0.0)
+    for axis, shift in zip("uvw", bias):
+        half = half + F.abs(F.col(f"{axis}{k}")) * F.lit(box / 2.0 + abs(shift))
+    return half + F.lit(1e-6)
 
 
 def cell(c: Column, edge: float) -> Column:

@@ -22,23 +22,25 @@ def seeded_hash(seed: int | str, *key: Column) -> Column:
     return F.md5(F.concat_ws("_", F.lit(str(seed)), *[k.cast("string") for k in key]))
 
 
+def _group_key(groups: Sequence[str]) -> Column:
+    """One never-NULL key per group, so that joins and windows share it."""
+    return F.struct(*groups) if groups else F.lit(0)
+
+
 def _with_offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Add, per (group, bucket), the totals of all earlier buckets."""
-    per_bucket = df.groupBy(*groups, "_bucket").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
-    order = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    if not groups:
-        order = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    """Add the group key ``_g`` and the totals of all earlier buckets.
+
+    The join and the windows of the callers use the same key (_g, _bucket),
+    so the rows are exchanged once.
+    """
+    keyed = df.withColumn("_g", _group_key(groups))
+    per_bucket = keyed.groupBy("_g", "_bucket").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
+    order = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *groups, "_bucket",
+        "_g", "_bucket",
         *[F.coalesce(F.sum(f"_t_{n}").over(order), F.lit(0)).alias(f"_o_{n}") for n in sums],
     )
-    keys = [*groups, "_bucket"]
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return df.alias("l").join(offsets.alias("r"), same).select(
-        "l.*", *[F.col(f"r._o_{n}") for n in sums]
-    )
+    return keyed.join(offsets, ["_g", "_bucket"])
 
 
 def rank_by_hash(
@@ -54,19 +56,19 @@ def rank_by_hash(
         "_bucket", F.substring("_hash", 1, digits)
     )
     placed = _with_offsets(hashed, groups, {"n": F.count("*")})
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_hash", *key)
+    inside = Window.partitionBy("_g", "_bucket").orderBy("_hash", *key)
     return placed.withColumn(
         name, (F.row_number().over(inside) + F.col("_o_n")).cast("bigint")
-    ).drop("_hash", "_bucket", "_o_n")
+    ).drop("_hash", "_bucket", "_g", "_o_n")
 
 
 def rank_in_order(df: DataFrame, groups: Sequence[str], order: str, name: str = "rank") -> DataFrame:
     """1-based rank inside each group by a distinct numeric order column."""
     placed = _with_offsets(range_bucketed(df, [], order), groups, {"n": F.count("*")})
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order)
+    inside = Window.partitionBy("_g", "_bucket").orderBy(order)
     return placed.withColumn(
         name, (F.row_number().over(inside) + F.col("_o_n")).cast("bigint")
-    ).drop("_bucket", "_o_n")
+    ).drop("_bucket", "_g", "_o_n")
 
 
 def range_bucketed(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -105,12 +107,12 @@ def running_totals(
     placed = _with_offsets(bucketed, groups, {s: F.sum(s) for s in sums})
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = (
-        Window.partitionBy(*groups, "_bucket").orderBy(order)
+        Window.partitionBy("_g", "_bucket").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return placed.withColumns(
         {f"cum_{s}": F.sum(s).over(inside) + F.col(f"_o_{s}") for s in sums}
-    ).drop("_bucket", *[f"_o_{s}" for s in sums])
+    ).drop("_bucket", "_g", *[f"_o_{s}" for s in sums])
 
 
 def exact_quantiles(

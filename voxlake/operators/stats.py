@@ -76,62 +76,76 @@ def sparse_channel_stats(
     )
 
 
-VECTOR = "n bigint, s array<double>, q array<double>"
+VECTOR = "part int, n bigint, s array<double>, q array<double>"
 
 
-def voxelwise_stats(samples: DataFrame, x: str = "x", fan_in: int = 256) -> DataFrame:
-    """(cell, mean, std) per array position.
+def _vector_sums(samples: DataFrame, x: str, part: str | None, fan_in: int = 256) -> DataFrame:
+    """(part, n, s, q): element-wise sums and square sums of the samples.
 
-    Each task adds its samples into one vector; the vectors of up to
-    ``fan_in`` tasks are added again before the positions are exploded, so the
-    exploded rows grow with tasks / fan_in and not with the samples.
+    Each task adds its samples into one vector per part; the vectors of up to
+    ``fan_in`` tasks are added again. What is left grows with tasks / fan_in
+    and not with the samples.
     """
-    def rows(n, total, square):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([n]), pa.array([total], pa.list_(pa.float64())),
-             pa.array([square], pa.list_(pa.float64()))], names=["n", "s", "q"],
-        )
+    def rows(sums: dict):
+        for key, (n, total, square) in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key], pa.int32()), pa.array([n]), pa.array([total], pa.list_(pa.float64())),
+                 pa.array([square], pa.list_(pa.float64()))], names=["part", "n", "s", "q"],
+            )
+
+    def add(sums: dict, key: int, n: int, total, square) -> None:
+        if key in sums:
+            old = sums[key]
+            sums[key] = (old[0] + n, old[1] + total, old[2] + square)
+        else:
+            sums[key] = (n, total, square)
 
     def add_samples(batches):
-        n, total, square = 0, None, None
+        sums: dict = {}
         for record in batches:
-            count = record.num_rows
-            if count:
-                block = np.asarray(record.column(0).flatten(), dtype=np.float64).reshape(count, -1)
-                s, q = block.sum(axis=0), np.square(block).sum(axis=0)
-                total, square = (s, q) if total is None else (total + s, square + q)
-                n += count
-        if n:
-            yield rows(n, total, square)
+            if record.num_rows:
+                parts = np.asarray(record.column(0))
+                block = np.asarray(record.column(1).flatten(), dtype=np.float64)
+                block = block.reshape(record.num_rows, -1)
+                for key in np.unique(parts):
+                    mine = block[parts == key]
+                    add(sums, int(key), len(mine), mine.sum(axis=0), np.square(mine).sum(axis=0))
+        yield from rows(sums)
 
     def add_vectors(batches):
-        n, total, square = 0, None, None
+        sums: dict = {}
         for record in batches:
             for i in range(record.num_rows):
-                s = np.asarray(record.column(1)[i].values)
-                q = np.asarray(record.column(2)[i].values)
-                total, square = (s, q) if total is None else (total + s, square + q)
-                n += record.column(0)[i].as_py()
-        if n:
-            yield rows(n, total, square)
-
-    partial = samples.select(x).mapInArrow(add_samples, VECTOR)
+                add(sums, record.column(0)[i].as_py(), record.column(1)[i].as_py(),
+                    np.asarray(record.column(2)[i].values), np.asarray(record.column(3)[i].values))
+        yield from rows(sums)
+
+    key = F.lit(0) if part is None else F.col(part).cast("int")
+    partial = samples.select(key.alias("part"), x).mapInArrow(add_samples, VECTOR)
     tasks = samples.sparkSession.sparkContext.defaultParallelism
-    merged = partial.repartition(max(1, tasks // fan_in + 1)).mapInArrow(add_vectors, VECTOR)
-    cells = merged.select("n", F.posexplode(F.arrays_zip("s", "q")).alias("cell", "p"))
-    sums = cells.groupBy("cell").agg(
+    return partial.repartition(max(1, tasks // fan_in + 1)).mapInArrow(add_vectors, VECTOR)
+
+
+def _cell_sums(vectors: DataFrame) -> DataFrame:
+    cells = vectors.select("part", "n", F.posexplode(F.arrays_zip("s", "q")).alias("cell", "p"))
+    return cells.groupBy("part", "cell").agg(
         F.sum("n").alias("n"), F.sum("p.s").alias("s"), F.sum("p.q").alias("q")
     )
+
+
+def voxelwise_stats(samples: DataFrame, x: str = "x") -> DataFrame:
+    """(cell, mean, std) per array position."""
     mean = F.col("s") / F.col("n")
     variance = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(VARIANCE_FLOOR))
-    return sums.select("cell", mean.alias("mean"), F.sqrt(variance).alias("std"))
+    return _cell_sums(_vector_sums(samples, x, None)).select(
+        "cell", mean.alias("mean"), F.sqrt(variance).alias("std")
+    )
 
 
 def mean_of_part_means(samples: DataFrame, part: str, x: str = "x") -> DataFrame:
     """Legacy (cell, mean): every part weighs the same, whatever its size."""
-    cells = samples.select(part, F.posexplode(x).alias("cell", "v"))
-    per_part = cells.groupBy(part, "cell").agg(F.avg("v").alias("m"))
-    return per_part.groupBy("cell").agg(F.avg("m").alias("mean"))
+    per_part = _cell_sums(_vector_sums(samples, x, part))
+    return per_part.groupBy("cell").agg(F.avg(F.col("s") / F.col("n")).alias("mean"))
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.constants import LEGACY_BIAS
 from voxlake.functions.columns import in_target_list
+from voxlake.functions.residues import residue_label
 from voxlake.operators import activity as act
 from voxlake.operators import legacy as old
 from voxlake.operators.residues import RESIDUE_KEY, residues_from_atoms
@@ -16,7 +17,7 @@ from voxlake.operators.sampling import sample_per_group
 from voxlake.operators.surface import exposed_points, residue_areas
 from voxlake.operators.voxels import (
     VoxelConfig, box_join, dense_samples, example_id, mean_over_sites, pack_examples,
-    screen_centres, smooth_sparse, voxel_counts,
+    screen_centres, voxel_counts,
 )
 
 
@@ -64,7 +65,7 @@ def build_sites(
         screened.where("skip is not null").groupBy("skip").agg(F.count("*").alias("n"))
         .unionByName(dense_enough.where("n > 0"))
     )
-    labelled = packed.join(usable.select(*RESIDUE_KEY, "label"), RESIDUE_KEY)
+    labelled = packed.withColumn("label", residue_label(F.col("res_name")))
     return Examples(
         labelled.withColumn("example_id", example_id(*RESIDUE_KEY)), skipped
     )
@@ -85,17 +86,22 @@ def build_activity(
     atoms: DataFrame, structures: DataFrame, activity: DataFrame, config: VoxelConfig,
     unit: str = "mutation_site",
 ) -> Examples:
-    """Activity rows -> examples of one residue or of a whole structure."""
+    """Activity rows -> examples of one residue or of a whole structure.
+
+    The packed cells are counts (of a structure: their mean over its sites);
+    ``dense_samples`` smooths both kinds.
+    """
     rows = act.match_structures(act.with_ordinals(act.activity_rows(activity)), structures)
     residues = screen_centres(residues_from_atoms(atoms), config)
     usable = residues.where("skip is null")
     if unit == "whole_structure":
-        cells = smooth_sparse(voxel_counts(box_join(usable, atoms, config)), config)
+        cells = voxel_counts(box_join(usable, atoms, config))
+        if config.density > 0:
+            kept = pack_examples(cells, config).select(*RESIDUE_KEY)
+            cells = cells.join(kept, RESIDUE_KEY, "left_semi")
+        # Smoothing is linear: the mean of the counts is smoothed once later.
         mean = mean_over_sites(cells, ["structure_id"], ["chain_id", "res_no", "res_name"])
-        n = config.cells
-        cell = ((F.col("ch") * n + F.col("ix")) * n + F.col("iy")) * n + F.col("iz")
-        packed = mean.groupBy("structure_id").agg(F.collect_list(F.struct(
-            cell.cast("int").alias("cell"), F.col("v").cast("float").alias("v"))).alias("cells"))
+        packed = pack_examples(mean, replace(config, density=0.0), ["structure_id"])
         joined = act.whole_examples(rows).join(packed, "structure_id", "left")
         reason = F.when(~F.col("has_structure"), "missing_structure").when(
             F.col("cells").isNull(), "missing_sites")
@@ -134,7 +140,7 @@ def legacy_boxes(
     nearest = old.nearest_atoms(old.grid_points(atoms), atoms)
     centres = screen_centres(old.picked_centres(nearest, residues), config).where("skip is null")
     packed = pack_examples(voxel_counts(box_join(centres, atoms, config)), config)
-    labelled = packed.join(centres.select(*RESIDUE_KEY, "label"), RESIDUE_KEY)
+    labelled = packed.withColumn("label", residue_label(F.col("res_name")))
     return old.label_blocks(labelled, RESIDUE_KEY, block, seed)
 
 
