@@ -87,4 +87,4 @@ def label_blocks(boxes: DataFrame, key: list[str], size: int, seed: int = 0) ->
     """Add ``block``: consecutive blocks per label; the last one may be short."""
     return rank_by_hash(boxes, ["label"], key, seed, "_rank").withColumn(
         "block", F.floor((F.col("_rank") - 1) / F.lit(size))
-    ).drop("_rank")
+    ).drop("_rank", "_total")

@@ -28,7 +28,8 @@ def _group_key(groups: Sequence[str]) -> Column:
 
 
 def _with_offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Add the group key ``_g`` and the totals of all earlier buckets.
+    """Add the group key ``_g``, the totals of all earlier buckets (``_o_*``)
+    and of the whole group (``_s_*``).
 
     The join and the windows of the callers use the same key (_g, _bucket),
     so the rows are exchanged once.
@@ -36,18 +37,21 @@ def _with_offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column])
     keyed = df.withColumn("_g", _group_key(groups))
     per_bucket = keyed.groupBy("_g", "_bucket").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
     order = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("_g")
     offsets = per_bucket.select(
         "_g", "_bucket",
         *[F.coalesce(F.sum(f"_t_{n}").over(order), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(everything).alias(f"_s_{n}") for n in sums],
     )
     return keyed.join(offsets, ["_g", "_bucket"])
 
 
 def rank_by_hash(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int | str,
-    name: str = "rank", digits: int = 3,
+    name: str = "rank", total: str = "_total", digits: int = 3,
 ) -> DataFrame:
-    """1-based rank inside each group in seeded-hash order of ``key``.
+    """1-based rank inside each group in seeded-hash order of ``key``, and the
+    number of rows of the group as ``total``.
 
     The leading hash digits are the buckets: uniform, so even a group that
     holds a third of all rows spreads over 16**digits windows.
@@ -59,7 +63,7 @@ def rank_by_hash(
     inside = Window.partitionBy("_g", "_bucket").orderBy("_hash", *key)
     return placed.withColumn(
         name, (F.row_number().over(inside) + F.col("_o_n")).cast("bigint")
-    ).drop("_hash", "_bucket", "_g", "_o_n")
+    ).withColumnRenamed("_s_n", total).drop("_hash", "_bucket", "_g", "_o_n")
 
 
 def rank_in_order(df: DataFrame, groups: Sequence[str], order: str, name: str = "rank") -> DataFrame:
@@ -68,7 +72,7 @@ def rank_in_order(df: DataFrame, groups: Sequence[str], order: str, name: str =
     inside = Window.partitionBy("_g", "_bucket").orderBy(order)
     return placed.withColumn(
         name, (F.row_number().over(inside) + F.col("_o_n")).cast("bigint")
-    ).drop("_bucket", "_g", "_o_n")
+    ).drop("_bucket", "_g", "_o_n", "_s_n")
 
 
 def range_bucketed(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -112,7 +116,7 @@ def running_totals(
     )
     return placed.withColumns(
         {f"cum_{s}": F.sum(s).over(inside) + F.col(f"_o_{s}") for s in sums}
-    ).drop("_bucket", "_g", *[f"_o_{s}" for s in sums])
+    ).drop("_bucket", "_g", *[f"{c}{s}" for s in sums for c in ("_o_", "_s_")])
 
 
 def exact_quantiles(

@@ -14,14 +14,14 @@ def sample_n(df: DataFrame, n: int | None, key: Sequence[str], seed: int) -> Dat
     """Exactly n rows (or all), uniformly, the same ones for the same seed."""
     if n is None or n <= 0:
         return df
-    return rank_by_hash(df, [], key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return rank_by_hash(df, [], key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank", "_total")
 
 
 def sample_per_group(
     df: DataFrame, groups: Sequence[str], n: int, key: Sequence[str], seed: int
 ) -> DataFrame:
     """At most n rows of every group."""
-    return rank_by_hash(df, groups, key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank")
+    return rank_by_hash(df, groups, key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank", "_total")
 
 
 def downsample_to_minimum(df: DataFrame, label: str, key: Sequence[str], seed: int) -> DataFrame:
@@ -30,7 +30,7 @@ def downsample_to_minimum(df: DataFrame, label: str, key: Sequence[str], seed: i
     ranked = rank_by_hash(df, [label], key, seed, "_rank")
     return (
         ranked.crossJoin(F.broadcast(smallest))  # one row
-        .where(F.col("_rank") <= F.col("_min")).drop("_rank", "_min")
+        .where(F.col("_rank") <= F.col("_min")).drop("_rank", "_min", "_total")
     )
 
 
@@ -46,11 +46,7 @@ def stratified_split(
     df: DataFrame, label: str, key: Sequence[str], val_fraction: float, seed: int
 ) -> DataFrame:
     """Rewrite ``split``: per label round-half-even(n * fraction) rows to val."""
-    sizes = df.groupBy(label).agg(
-        F.bround(F.count("*") * F.lit(float(val_fraction))).cast("bigint").alias("_val")
-    )
     ranked = rank_by_hash(df, [label], key, seed, "_rank")
-    same = F.col(f"r.{label}").eqNullSafe(F.col(f"s.{label}"))
-    joined = ranked.alias("r").join(sizes.alias("s"), same).select("r.*", "s._val")
-    split = F.when(F.col("_rank") <= F.col("_val"), F.lit("val")).otherwise(F.lit("train"))
-    return joined.withColumn("split", split).drop("_rank", "_val")
+    to_val = F.bround(F.col("_total") * F.lit(float(val_fraction))).cast("bigint")
+    split = F.when(F.col("_rank") <= to_val, F.lit("val")).otherwise(F.lit("train"))
+    return ranked.withColumn("split", split).drop("_rank", "_total")
