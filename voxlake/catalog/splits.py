@@ -126,7 +126,15 @@ def cluster_split(spark, d):
     return split_of(group_records(V.sequences(spark, d), "sequence-cluster", 0.4), 0)
 
 
-@query("chain_split_sizes")
+def _counted(sql: str) -> str:
+    at = sql.rindex("SELECT x.structure_id")
+    return sql[:at].rstrip() + ", chosen AS (" + sql[at:] + ") SELECT split, count(*) AS n FROM chosen GROUP BY 1"
+
+
+_ORDERS = "groups AS (SELECT o_orderkey AS structure_id, CAST(o_custkey AS VARCHAR) AS group_id FROM orders)"
+
+
+@query("chain_split_sizes", V.with_recursive(_ORDERS) + _counted(fold_sql("groups", "group_id", 4, "(SELECT count(*) FROM groups)")))
 def chain_split_sizes(spark, d):
     """Group sizes per split over many groups (orders grouped by customer)."""
     o = V.table(spark, d, "orders").select(
