@@ -42,13 +42,13 @@ def _matrix(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of two row sets; out of the range of long: an error."""
+    """Exact integer products of two row sets, held within the range of long."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
     af, bf = a.astype(np.float64), b.astype(np.float64)
     if np.abs(af).max() * np.abs(bf).max() * a.shape[1] < EXACT:
         return (af @ bf.T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -170,8 +170,8 @@ def top_k(table: DataFrame, query_ids: F.Column, key: str = "vec_id", vector: st
     candidates. Rows without id, null vectors and vectors with null or
     non-finite components take no part; empty vectors have product 0. Equal
     scores go to the smaller id. Of repeated ids, each row is a candidate and
-    the query is the row with the smallest vector. A product out of the range of
-    long is an error. Other columns are ignored; an empty table gives no rows.
+    the query is the row with the smallest vector. A product outside the
+    range of long counts as the end of that range. Other columns are ignored; an empty table gives no rows.
     """
     spark = table.sparkSession
     vectors = whole_vectors(table, key, vector, scale)
