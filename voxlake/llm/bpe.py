@@ -27,7 +27,7 @@ from voxlake.llm.shared import columns, doc_texts, map_rows, tokenizer_json
 FINAL = 0x20000
 NEVER = 1 << 60
 #: Bounds of the per-process memories (entries); they are emptied when full.
-WORDS, SEAMS = 600_000, 1_000_000
+WORDS, SEAMS = 900_000, 1_000_000
 
 # Characters whose normal form, case and class are the same in every library:
 # ASCII without separators 1C-1F, Latin-1 and Latin Extended-A without dotted I.
@@ -49,6 +49,7 @@ def byte_characters() -> list[str]:
 
 CHARACTERS = byte_characters()
 BYTES = {c: b for b, c in enumerate(CHARACTERS)}
+ASCII_CHARACTERS = {b: CHARACTERS[b] for b in range(128) if chr(b) != CHARACTERS[b]}
 
 
 class PrefixBpe:
@@ -74,13 +75,15 @@ class PrefixBpe:
             self.rank[token], self.parts[token] = order, pieces
             self.length[token] = self.length[pieces[0]] + self.length[pieces[1]]
             self.merge_rank[pieces] = order
-        self.seams: dict[int, bool] = {}
+        self.fitting: list[set[int]] = [set() for _ in range(size)]  # by token: tokens known to stand before it
+        self.unfit: list[set[int]] = [set() for _ in range(size)]
+        self.n_seams = 0
         self.ends = ahocorasick.Automaton()
         reached = set()
         for text, token in sorted(((t, vocab[t]) for t in symbols), key=lambda x: self.rank[x[1]]):
             if self.parts[token] is None or (reached.issuperset(self.parts[token]) and self._seam(*self.parts[token], top=False)):
                 reached.add(token)
-                self.ends.add_word(symbols[text], token)
+                self.ends.add_word(symbols[text], (token, self.length[token]))
         self.ends.make_automaton()
 
     def _seam(self, left: int, right: int, top: bool = True) -> bool:
@@ -105,26 +108,28 @@ class PrefixBpe:
             else:
                 right_until, right = b, parts[right][0]
 
+    def _fits(self, before: int, token: int) -> bool:
+        """The seam test, remembered for both answers."""
+        if self.n_seams >= SEAMS:
+            for known in (*self.fitting, *self.unfit):
+                known.clear()
+            self.n_seams = 0
+        self.n_seams += 1
+        fits = self._seam(before, token)
+        (self.fitting if fits else self.unfit)[token].add(before)
+        return fits
+
     def encode(self, symbols: str) -> list[int]:
-        last, length, seams = [-1] * len(symbols), self.length, self.seams
-        for end, token in self.ends.iter(symbols):
-            if last[end] >= 0:
-                continue
-            start = end - length[token]
-            if start >= 0:
-                before = last[start]
-                if before < 0:
-                    continue
-                key = before << 20 | token
-                fits = seams.get(key)
-                if fits is None:
-                    if len(seams) >= SEAMS:
-                        seams.clear()
-                    fits = seams[key] = self._seam(before, token)
-                if not fits:
-                    continue
-            last[end] = token
-        ids, at = [], len(symbols) - 1
+        last, fitting, unfit = [-1] * len(symbols), self.fitting, self.unfit
+        for end, (token, size) in self.ends.iter(symbols):
+            if last[end] < 0:
+                if size > end:
+                    last[end] = token
+                else:
+                    before = last[end - size]
+                    if before in fitting[token] or before >= 0 and before not in unfit[token] and self._fits(before, token):
+                        last[end] = token
+        ids, length, at = [], self.length, len(symbols) - 1
         while at >= 0:
             token = last[at]
             if token >= 0:  # a symbol outside the vocabulary has no id
@@ -132,7 +137,8 @@ class PrefixBpe:
                 at -= length[token]
             else:
                 at -= 1
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
 
 class Codec:
@@ -173,7 +179,7 @@ class Codec:
     def piece_ids(self, piece: str) -> list[int]:
         if piece in self.special:
             return [self.special[piece]]
-        symbols = "".join([CHARACTERS[b] for b in piece.encode()])
+        symbols = piece.translate(ASCII_CHARACTERS) if piece.isascii() else "".join([CHARACTERS[b] for b in piece.encode()])
         if self.bpe.suffix and symbols:
             symbols = symbols[:-1] + chr(ord(symbols[-1]) + FINAL)
         return self.bpe.encode(symbols)
@@ -212,7 +218,7 @@ def codec(definition: str) -> Codec:
 def id_bytes(definition: str) -> Memo:
     """Ids of a piece as little-endian 32-bit integers."""
     c = codec(definition)
-    return Memo(lambda p: np.array(c.piece_ids(p), "<u4").tobytes())
+    return Memo(lambda p: b"".join([i.to_bytes(4, "little") for i in c.piece_ids(p)]))
 
 
 def encoded(definition: str, text: str) -> bytes:
