@@ -135,6 +135,7 @@ def test_bpe_equals_library(spark, docs, none, name):
         ids = library.encode(t, add_special_tokens=False).ids
         assert c.encode(t) == ids, t
         assert c.decode(ids) == library.decode(ids, skip_special_tokens=False), t
+        assert bpe.encoded(tokenizer_json(name), t).tolist() == ids, t
     both = docs.select("doc_id", "text").unionByName(sf_docs(spark).select("doc_id", "text"))
     want = []
     for i, t in pairs(both):

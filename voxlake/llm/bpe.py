@@ -14,6 +14,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import ahocorasick
@@ -78,11 +79,13 @@ class PrefixBpe:
         self.fitting: list[set[int]] = [set() for _ in range(size)]  # by token: tokens known to stand before it
         self.unfit: list[set[int]] = [set() for _ in range(size)]
         self.n_seams = 0
+        self.symbols: dict[int, str] = {}  # of the tokens that merges reach
         self.ends = ahocorasick.Automaton()
         reached = set()
         for text, token in sorted(((t, vocab[t]) for t in symbols), key=lambda x: self.rank[x[1]]):
             if self.parts[token] is None or (reached.issuperset(self.parts[token]) and self._seam(*self.parts[token], top=False)):
                 reached.add(token)
+                self.symbols[token] = symbols[text]
                 self.ends.add_word(symbols[text], (token, self.length[token]))
         self.ends.make_automaton()
 
@@ -214,16 +217,56 @@ def codec(definition: str) -> Codec:
     return Codec(definition)
 
 
+class BulkEncoder:
+    """The same ids through tiktoken's compiled merges, for operators that only need ids.
+
+    tiktoken merges the pair whose joined bytes have the lowest rank. For tokens
+    that merges reach this is the merge list's own order: while two neighbours
+    span exactly a token's bytes, they are its two parts. The end of a word is
+    a byte that plain texts do not have; joining it to the last letter ranks
+    before all merges.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, definition: str):
+        import tiktoken
+
+        self.codec = c = codec(definition)
+        ranks: dict[bytes, int] = {}
+        ids = np.zeros(512 + len(c.by_id), "<u4")
+        alone = {f: 256 + BYTES[chr(f)] for f in map(ord, CHARACTERS)}
+        for token, symbols in c.bpe.symbols.items():
+            last = ord(symbols[-1])
+            final = last >= FINAL
+            data = bytes(map(BYTES.__getitem__, symbols[:-1])) + bytes([BYTES[chr(last - FINAL if final else last)]]) + self.MARK.encode() * final
+            if c.bpe.rank[token] >= 0:
+                rank = 512 + c.bpe.rank[token]
+            else:
+                rank = alone[last - FINAL] if final else data[0]
+            ranks[data], ids[rank] = rank, token
+        self.ids = ids
+        pattern = f"[^{self.MARK}]+{self.MARK}" if c.words else BYTE_PIECES.pattern
+        self.tiktoken = tiktoken.Encoding("bulk", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        c = self.codec
+        if UNUSUAL.search(text) or any(s in text for s in c.special):
+            return np.array(c.encode(text), "<u4")
+        if c.words:
+            words = WORD_PIECES.findall(text.lower())
+            text = self.MARK.join([*words, ""])
+        return self.ids[np.frombuffer(array("I", self.tiktoken.encode_ordinary(text)), np.uint32)]
+
+
 @functools.lru_cache(maxsize=4)
-def id_bytes(definition: str) -> Memo:
-    """Ids of a piece as little-endian 32-bit integers."""
-    c = codec(definition)
-    return Memo(lambda p: b"".join([i.to_bytes(4, "little") for i in c.piece_ids(p)]))
+def bulk(definition: str) -> BulkEncoder:
+    return BulkEncoder(definition)
 
 
-def encoded(definition: str, text: str) -> bytes:
-    """All ids of a text as little-endian 32-bit integers."""
-    return b"".join(map(id_bytes(definition).__getitem__, codec(definition).pieces(text)))
+def encoded(definition: str, text: str) -> np.ndarray:
+    """All ids of a text as unsigned 32-bit integers."""
+    return bulk(definition).encode(text)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -236,8 +279,8 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> D
     definition = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        blobs = [encoded(definition.value, t) for t in batch["text"].to_pylist()]
-        ids = pa.array([np.frombuffer(b, "<i4") for b in blobs], pa.list_(pa.int32()))
+        memo, c = _piece_ids(definition.value), codec(definition.value)
+        ids = pa.array([[i for p in c.pieces(t) for i in memo[p]] for t in batch["text"].to_pylist()], pa.list_(pa.int32()))
         return columns(doc_id=batch["doc_id"], ids=ids)
 
     return map_rows(doc_texts(docs), part, "doc_id long, ids array<int>", rows=64)
@@ -280,6 +323,11 @@ def encoding_digests(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> D
     return map_rows(doc_texts(docs), part, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+@functools.lru_cache(maxsize=2)
+def _piece_ids(definition: str) -> Memo:
+    return Memo(codec(definition).piece_ids)
+
+
 @functools.lru_cache(maxsize=2)
 def _piece_texts(definition: str) -> Memo:
     c = codec(definition)

@@ -119,13 +119,13 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = TaskContext.get().partitionId()
         system, root = _file_system(folder)
-        end = END.to_bytes(4, "little")
+        end = np.array([END], "<u4")
         doc_ids, blobs, size, start, number = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal doc_ids, blobs, size, start, number
-            counts = np.array([len(b) // 4 for b in blobs], np.int64)
-            content = IdFile(start, doc_ids, counts, np.frombuffer(b"".join(blobs), "<u4")).to_bytes()
+            counts = np.array([len(b) + 1 for b in blobs[::2]], np.int64)
+            content = IdFile(start, doc_ids, counts, np.concatenate(blobs)).to_bytes()
             name = f"{root}/part-{partition:06d}-{number:04d}-{uuid.uuid4().hex}.ids"
             system.create_dir(root, recursive=True)
             with system.open_output_stream(name + ".open") as out:
@@ -137,10 +137,10 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json"
 
         for part in slices(batches, 64):
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                blob = encoded(definition.value, text) + end
+                ids = encoded(definition.value, text)
                 doc_ids.append(doc_id)
-                blobs.append(blob)
-                size += len(blob) // 4
+                blobs += [ids, end]
+                size += len(ids) + 1
                 if size >= file_tokens:
                     yield close()
         if doc_ids:

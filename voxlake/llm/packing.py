@@ -26,8 +26,9 @@ from voxlake.llm.bpe import codec, encoded
 from voxlake.llm.shared import columns, doc_texts, shuffle_width, slices, tokenizer_json
 
 WINDOW, END = 4096, 2
+_END = np.array([END], "<u4")
 #: Costs in tokens: each sequence, a cut at a sentence end, a cut elsewhere; distance of the latter; smallest power of two tried inside the stream.
-EACH, SENTENCE, INSIDE, GAP, LEAST_POWER = 8, 12, 48, 96, 256
+EACH, SENTENCE, INSIDE, GAP, LEAST_POWER = 64, 12, 48, 96, 256
 #: Tokens planned at a time; the open window is carried over.
 BLOCK = 1 << 20
 
@@ -106,18 +107,17 @@ class Stream:
         self.sequence = first_sequence
         self.ids = np.zeros(0, "<u4")  # not yet packed
         self.docs: list[list] = []  # doc_id, begin within ids (may be negative), tokens
-        self.waiting: list[bytes] = []
+        self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        tokens = ids + END.to_bytes(4, "little")
-        self.docs.append([doc_id, len(self.ids) + self.n_waiting, len(tokens) // 4])
-        self.waiting.append(tokens)
-        self.n_waiting += len(tokens) // 4
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.docs.append([doc_id, len(self.ids) + self.n_waiting, len(ids) + 1])
+        self.waiting += [ids, _END]
+        self.n_waiting += len(ids) + 1
 
     def flush(self, final: bool) -> list[tuple]:
         """Pieces of all windows that are closed now."""
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(self.waiting), "<u4")])
+        self.ids = np.concatenate([self.ids, *self.waiting])
         self.waiting, self.n_waiting = [], 0
         n = len(self.ids)
         if not n:
