@@ -409,6 +409,29 @@ def test_near_groups(spark, docs, none):
     assert neardup.near_groups(none).count() == 0 and neardup.keep_representatives(none).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [neardup.SHARD, 3])
+def test_minima_lose_no_similar_pair(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "SHARD", crowd)
+    rng, texts = random.Random(4), []
+    for _ in range(30):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(8, 150))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    table = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "copies")
+    group = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(table, 5, 25, 128, 10).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    prints = [int.from_bytes(neardup.majority(neardup.shingle_hashes(t, 5, 128)), "big") for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 25 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                assert group[i] == group[j]
+            if i // 6 != j // 6:
+                assert group[i] != group[j]
+
+
 def test_shards_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 2**64, 60, dtype=np.uint64)

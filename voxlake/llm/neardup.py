@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.components import star_components
-from voxlake.llm.shared import ascii_lower, columns, map_rows, stored
+from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored
 
 SEED = 42
 #: Fingerprints of a shard aimed at, most levels of the shard tree, its sample; leaf of a tree, cells compared at a time.
@@ -45,24 +45,36 @@ def shingle_hashes(text: str, words: int, bits: int = 64) -> np.ndarray:
     return np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, bits // 8)
 
 
-def simhash(text: str, words: int, bits: int = 64) -> bytes:
-    """Bits that more than half of the shingle hashes have, highest first; zero without words."""
-    hashes = shingle_hashes(text, words, bits)
-    counts = np.zeros(bits, np.int64)
+def majority(hashes: np.ndarray) -> bytes:
+    """The fingerprint: bits that more than half of the hashes have, highest first; zero without any."""
+    counts = np.zeros(8 * hashes.shape[1], np.int64)
     for at in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[at : at + 8192], axis=1).sum(0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
-    """doc_id, row_id, fp (the fingerprint's bytes)."""
+def shingle_minima(hashes: np.ndarray, n: int) -> list[int]:
+    """Minima of n mixed hash functions of 128-bit shingle hashes; all zero without shingles."""
+    if not len(hashes):
+        return [0] * n
+    low, high = hashes.view("<u8").T
+    mixed = (low[None, :] + np.arange(1, n + 1, dtype=np.uint64)[:, None] * high[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ mixed >> np.uint64(32)).min(1).view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, words: int, bits: int = 64, minima: int = 0) -> DataFrame:
+    """doc_id, row_id, fp (the fingerprint's bytes), minima of that many hash functions."""
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [simhash(t, words, bits) for t in batch["text"].to_pylist()]
-        return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], fp=pa.array(fps, pa.binary()))
+        fps, least = [], []
+        for text in batch["text"].to_pylist():
+            hashes = shingle_hashes(text, words, bits)
+            fps.append(majority(hashes))
+            least.append(shingle_minima(hashes, minima) if minima else [])
+        return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], fp=pa.array(fps, pa.binary()), minima=pa.array(least, pa.list_(pa.int64())))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_rows(rows, part, "doc_id long, row_id long, fp binary")
+    return map_rows(rows, part, "doc_id long, row_id long, fp binary, minima array<bigint>")
 
 
 def _bits(fps: pa.Array) -> np.ndarray:
@@ -224,7 +236,41 @@ def near_edges(fps: DataFrame, radius: int) -> DataFrame:
     return members.select(*take).groupBy(*keys).cogroup(asking.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(link, "a binary, b binary")
 
 
-def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64) -> DataFrame:
+def edges_by_minima(rows: DataFrame, radius: int) -> DataFrame:
+    """a, b: forests of the links within each group of fingerprints that share a minimum.
+
+    Two sets of shingles with similarity s share one of n minima with
+    probability 1 - (1 - s) ** n. Groups are runs of a sorted partition; those
+    too large for a task are taken out and linked by near_edges instead.
+    """
+    keyed = stored(rows.select("fp", F.posexplode("minima").alias("slot", "least")).distinct(), "minima")
+    crowded = stored(keyed.groupBy("slot", "least").count().where(F.col("count") > SHARD).select("slot", "least"), "crowded")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fps = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(fps) > 1:
+                bits = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+                a, b = near_forest(bits, bits, radius)
+                if len(a):
+                    yield columns(a=pa.array([r.tobytes() for r in a], pa.binary()), b=pa.array([r.tobytes() for r in b], pa.binary()))
+
+        for batch in batches:
+            for key, fp in zip(zip(batch["slot"].to_pylist(), batch["least"].to_pylist(), strict=True), batch["fp"].to_pylist(), strict=True):
+                if key != held:
+                    yield from close()
+                    held, fps = key, []
+                fps.append(fp)
+        yield from close()
+
+    runs = keyed.join(crowded, ["slot", "least"], "left_anti").repartition(shuffle_width(rows.sparkSession), "slot", "least").sortWithinPartitions("slot", "least")
+    edges = runs.mapInArrow(link, "a binary, b binary")
+    dense = stored(keyed.join(crowded, ["slot", "least"], "left_semi").select("fp").distinct(), "dense")
+    return edges.unionByName(near_edges(dense, radius))
+
+
+def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64, minima: int = 0) -> DataFrame:
     """doc_id, row_id, fp, component_id, root_row of every row.
 
     Texts whose fingerprints differ in at most radius bits are linked; linked
@@ -232,13 +278,14 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64
     no row of it has one; root_row is the row that stands for the group (the
     smallest doc_id, rows without one last, then reading order). Null texts and
     texts without words have fingerprint zero and are linked like any other;
-    texts with fewer words are one shingle. Repeated rows give one row each;
+    texts with fewer words are one shingle. With minima, only texts that share
+    one of so many shingle minima are compared. Repeated rows give one row each;
     other columns are ignored; an empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, words, bits), "fingerprints")
+    rows = stored(fingerprints(docs, words, bits, minima), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
     classes = stored(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes")
-    stars = star_components(near_edges(classes, radius))
+    stars = star_components(edges_by_minima(rows, radius) if minima else near_edges(classes, radius))
     rooted = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     linked = classes.join(rooted, F.col("fp") == F.col("node"))
     groups = linked.groupBy("root").agg(F.min("first").alias("group_first")).withColumnRenamed("root", "of")
@@ -248,14 +295,16 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64
     return joined.select("doc_id", "row_id", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.row_id").alias("root_row"))
 
 
-def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128) -> DataFrame:
+def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128, minima: int = 10) -> DataFrame:
     """Rows of docs, all columns, one of each group of texts with equal shares of bits of at least similarity.
 
     128 bits keep unrelated texts apart at this radius: the share of their pairs
-    within 25 bits is about 1e-12. docs must be a stored table (read twice the
-    same way).
+    within 25 bits is about 1e-12. At such a radius borders part nothing, so
+    texts are compared within groups that share a shingle minimum; of pairs
+    with similarity 0.8, one in ten million shares none of ten. docs must be a
+    stored table (read twice the same way).
     """
     place = "__row_id"
     radius = int((1 - similarity) * bits + 1e-9)
-    kept = near_groups(docs, words, radius, bits).where(F.col("row_id") == F.col("root_row")).select(F.col("row_id").alias(place))
+    kept = near_groups(docs, words, radius, bits, minima).where(F.col("row_id") == F.col("root_row")).select(F.col("row_id").alias(place))
     return docs.withColumn(place, F.monotonically_increasing_id()).join(kept, place, "left_semi").drop(place)
