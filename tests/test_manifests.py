@@ -174,13 +174,24 @@ def test_bundles(spark, tmp_path):
     for p, labels in (("v", [4, 5]), ("t", [6])):
         dat(root / "x" / f"X{p}_smooth_1.dat", np.ones((len(labels), 4, 2, 2, 2), np.float32))
         dat(root / "x" / f"y{p}_1.dat", np.array(labels, dtype=np.float32))
-    rows = load_split_parts(spark, str(root), 2).orderBy("split", "shard", "sample_index").collect()
+    rows = load_split_parts(spark, str(root)).orderBy("split", "shard", "sample_index").collect()
     assert [(r["split"], r["label"]) for r in rows] == [("test", 6), ("train", 1), ("train", 2), ("train", 3), ("val", 4), ("val", 5)]
     datasets.convert_bundles(spark, str(root), str(tmp_path / "out"), ["train", "val", "test"], [1], 2, {"channels": 4, "class_map": {"HIS": 0}})
     meta = {r["split"]: r for r in spark.read.json(str(tmp_path / "out" / "metadata")).collect()}
     assert meta["train"]["data_shape"] == [3, 4, 2, 2, 2] and meta["val"]["channels"] == 4
-    with pytest.raises(ManifestError):
-        datasets.convert_bundles(spark, str(root), str(tmp_path / "o2"), ["train"], [1, 2], 2)
+    for splits, parts, shards in ((["train"], [1, 2], None), (["train"], [1], 3), (["holdout"], [1], None)):
+        with pytest.raises(ManifestError):
+            datasets.convert_bundles(spark, str(root), str(tmp_path / "o2"), splits, parts, shards)
+    dat(root / "train" / "X_smooth27_1.dat", np.ones((2, 4, 2, 2, 2), np.float32))
+    for labels, message in ((None, "no y file"), ([7], "2 samples, 1 labels")):
+        if labels:
+            dat(root / "train" / "y27_1.dat", np.array(labels, dtype=np.float32))
+        with pytest.raises(ManifestError, match=message):
+            datasets.convert_bundles(spark, str(root), str(tmp_path / "o2"), ["train"], [1])
+    assert not (tmp_path / "o2").exists()
+    dat(root / "train" / "y27_1.dat", np.array([7, 8], dtype=np.float32))
+    datasets.convert_bundles(spark, str(root), str(tmp_path / "o3"), ["train"], [1])
+    assert spark.read.parquet(str(tmp_path / "o3" / "data")).count() == 5  # a high shard number is no reason to drop it
     centred = datasets.legacy_atom_box(spark.read.parquet(str(tmp_path / "out" / "data")), 1)
     assert all(abs(v) < 1e-6 for r in centred.collect() for v in r["x"])
 
@@ -222,5 +233,12 @@ def test_incremental_build(spark, tmp_path):
     both = build_incremental(spark, str(source), out, config)
     assert sorted(r["example_id"] for r in both.select("example_id").collect()) == ["s1_A_1_GLY", "s2_A_5_GLY"]
     assert build_incremental(spark, str(source), out, VoxelConfig(box_size=8.0)).count() == 2
-    assert spark.read.parquet(f"{out}/done").count() == 4
+    write(source / "b", "s1.pdb", toy(1))  # the same id at a second, later path
+    again = build_incremental(spark, str(source), out, config, overwrite=True)
+    assert sorted(r["example_id"] for r in again.select("example_id").collect()) == ["s1_A_1_GLY", "s2_A_5_GLY"]
+    write(source, "s1.pdb", toy(9))
+    again = build_incremental(spark, str(source), out, config, overwrite=True)
+    assert sorted(r["example_id"] for r in again.select("example_id").collect()) == ["s1_A_9_GLY", "s2_A_5_GLY"]
+    assert build_incremental(spark, str(source), out, config).count() == 2
+    assert spark.read.parquet(f"{out}/done").count() >= 4
     assert ca_text("A")

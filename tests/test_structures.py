@@ -5,7 +5,7 @@ from voxlake import constants as K
 from voxlake.plans.structures import make_splits, structure_manifest
 from voxlake.sources.sinks import write_splits, write_structures
 from voxlake.sources.structures import (
-    ca_trace, discover_structures, first_model_lines, parse_atoms, parse_legacy_atoms, structure_lines,
+    ca_trace, discover_structures, first_files, first_model_lines, parse_atoms, parse_legacy_atoms, structure_lines,
 )
 
 
@@ -24,26 +24,35 @@ def test_constant_tables_agree():
 
 
 def test_manifest_of_one_file(spark, tmp_path):
-    write(tmp_path, "s1.pdb", ca_text("ACDE"))
+    write(tmp_path, "probe.pdb", ca_text("GHWY"))
     row = structure_manifest(spark, str(tmp_path)).first()
-    assert (row["pdb_id"], row["chains"], row["num_residues"], row["sequence"]) == ("s1", ["A"], 4, "ACDE")
-    assert row["pdb_path"] == str(tmp_path / "s1.pdb")
+    assert (row["pdb_id"], row["chains"], row["num_residues"], row["sequence"]) == ("probe", ["A"], 4, "GHWY")
+    assert row["pdb_path"] == str(tmp_path / "probe.pdb")
     write_structures(structure_manifest(spark, str(tmp_path)), str(tmp_path / "out"))
     stored = spark.read.option("header", True).csv(str(tmp_path / "out")).first()
     assert stored["chains"] == "A" and stored["num_chains"] == "1"
 
 
 def test_minimum_and_dedupe(spark, tmp_path):
-    for name, seq in (("a", "AC"), ("b", "AAAA"), ("c", "AAAA")):
+    for name, seq in (("k", "FW"), ("m", "LKPLK"), ("n", "LKPLK")):
         write(tmp_path, f"{name}.pdb", ca_text(seq))
-    rows = structure_manifest(spark, str(tmp_path), min_residues=4, dedupe=True).collect()
-    assert [(r["pdb_id"], r["sequence"]) for r in rows] == [("b", "AAAA")]
+    rows = structure_manifest(spark, str(tmp_path), min_residues=3, dedupe=True).collect()
+    assert [(r["pdb_id"], r["sequence"]) for r in rows] == [("m", "LKPLK")]
+
+
+def test_two_files_of_one_stem(spark, tmp_path):
+    write(tmp_path / "p", "q.pdb", ca_text("WY"))
+    write(tmp_path / "r", "q.pdb", ca_text("HHK"))
+    rows = structure_manifest(spark, str(tmp_path), recursive=True).orderBy("pdb_path").collect()
+    assert [(r["pdb_id"], r["sequence"]) for r in rows] == [("q", "WY"), ("q", "HHK")]
+    chosen = first_files(discover_structures(spark, str(tmp_path), recursive=True))
+    assert [r["pdb_path"] for r in chosen.collect()] == [str(tmp_path / "p" / "q.pdb")]
 
 
 def test_recursive_glob(spark, tmp_path):
-    write(tmp_path / "deep", "entry.ent", ca_text("MKT"))
+    write(tmp_path / "deep", "under.ent", ca_text("QNV"))
     rows = structure_manifest(spark, str(tmp_path), "*.ent", recursive=True).collect()
-    assert [(r["pdb_id"], r["sequence"]) for r in rows] == [("entry", "MKT")]
+    assert [(r["pdb_id"], r["sequence"]) for r in rows] == [("under", "QNV")]
 
 
 def test_atom_records(spark, tmp_path):

@@ -13,6 +13,7 @@ from voxlake.operators.ranking import exact_quantiles
 from voxlake.operators.splits import assign_splits, group_records
 from voxlake.operators.voxels import VoxelConfig
 from voxlake.runtime import cut_lineage
+from voxlake.sources.samples import shard_gaps
 
 QUERIES, SQL = {}, {}
 
@@ -173,16 +174,15 @@ def shared_keys(spark, d):
 
 
 FAMILIES = """
-fam AS (SELECT DISTINCT l_suppkey AS id, p_brand AS family FROM lineitem JOIN part ON l_partkey = p_partkey
-        WHERE l_suppkey % 9 = p_size % 9),
+fam AS (SELECT DISTINCT l_suppkey AS id, p_brand || '-' || p_size AS family FROM lineitem JOIN part ON l_partkey = p_partkey),
 mem AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 < 8 THEN 'train' WHEN s_suppkey % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM supplier)"""
 
 
 @query("family_leakage", V.with_sql(FAMILIES) + "SELECT family, count(DISTINCT CASE WHEN split = 'train' THEN id END) AS n_train, count(DISTINCT CASE WHEN split = 'test' THEN id END) AS n_test FROM fam JOIN mem USING (id) GROUP BY 1 HAVING n_train > 0 AND n_test > 0")
 def family_leakage(spark, d):
     li, part = V.table(spark, d, "lineitem"), V.table(spark, d, "part")
-    fam = li.join(part, F.col("l_partkey") == F.col("p_partkey")).where("l_suppkey % 9 = p_size % 9").select(
-        F.col("l_suppkey").alias("id"), F.col("p_brand").alias("family"))
+    fam = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_suppkey").alias("id"), F.concat_ws("-", "p_brand", "p_size").alias("family"))
     mem = V.table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("id"),
         F.expr("CASE WHEN s_suppkey % 10 < 8 THEN 'train' WHEN s_suppkey % 10 = 8 THEN 'val' ELSE 'test' END").alias("split"))
@@ -305,3 +305,28 @@ def split_sizes(spark, d):
 def quantiles(spark, d):
     q = exact_quantiles(V.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.0, 0.25, 0.5, 0.9, 1.0])
     return V.rounded(q, 6, "quantile")
+
+
+SHARD_FILES = """
+groups AS (
+  SELECT CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'val' ELSE 'test' END AS split, l_suppkey AS shard, l_linenumber AS part, count(*) AS n
+  FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+files AS (
+  SELECT split, shard, part, CASE WHEN (shard + part) % 19 <> 0 THEN n END AS nx, CASE WHEN (shard * part) % 17 <> 0 THEN n + CASE WHEN shard % 13 = 0 THEN 1 ELSE 0 END END AS ny
+  FROM groups),
+expected AS (SELECT * FROM (SELECT DISTINCT split, shard FROM files WHERE nx IS NOT NULL OR ny IS NOT NULL) CROSS JOIN (VALUES (1), (2), (3)) AS p(part))"""
+
+
+@query("shard_gaps", V.with_sql(SHARD_FILES) + """
+SELECT * FROM (
+  SELECT e.split, e.part, e.shard, CASE WHEN nx IS NULL AND ny IS NULL THEN 'no files' WHEN nx IS NULL THEN 'no X file' WHEN ny IS NULL THEN 'no y file'
+         WHEN nx <> ny THEN nx || ' samples, ' || ny || ' labels' END AS problem
+  FROM expected e LEFT JOIN files f ON e.split = f.split AND e.part = f.part AND e.shard = f.shard) WHERE problem IS NOT NULL""")
+def shard_completeness(spark, d):
+    split = F.when(F.col("l_returnflag") == "A", "train").when(F.col("l_returnflag") == "N", "val").otherwise("test")
+    groups = V.table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(
+        split.alias("split"), F.col("l_suppkey").alias("shard"), F.col("l_linenumber").alias("part")).agg(F.count("*").alias("n"))
+    x = groups.where("(shard + part) % 19 <> 0").select(F.lit("X").alias("kind"), "split", "shard", "part", "n")
+    y = groups.where("(shard * part) % 17 <> 0").select(
+        F.lit("y").alias("kind"), "split", "shard", "part", (F.col("n") + F.expr("CASE WHEN shard % 13 = 0 THEN 1 ELSE 0 END")).alias("n"))
+    return shard_gaps(x.unionByName(y), ["train", "val", "test"], [1, 2, 3])

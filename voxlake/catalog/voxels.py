@@ -16,7 +16,7 @@ from voxlake.operators.voxels import (
     VoxelConfig, box_join, dense_samples, mean_over_sites, pack_examples, screen_centres, smooth_sparse, voxel_counts,
 )
 from voxlake.plans import voxels as P
-from voxlake.sources.structures import ca_trace, first_model_lines, parse_atoms, parse_legacy_atoms
+from voxlake.sources.structures import ca_trace, first_files, first_model_lines, parse_atoms, parse_legacy_atoms
 
 QUERIES, SQL = {}, {}
 RELAXED = VoxelConfig(template="backbone")
@@ -99,21 +99,42 @@ def split_sequences(spark, d):
     return structure_rows(spark, d, icode=False).select("structure_id", "sequence", "num_residues")
 
 
+def with_paths(df):
+    """Two files for each structure id, told apart by the line number."""
+    return df.withColumn("pdb_path", F.concat("structure_id", F.lit("/"), F.expr("line_no % 2"), F.lit(".pdb")))
+
+
+@query("structures_by_path", V.with_sql(V.LINES) + f""",
+files AS (SELECT *, structure_id || '/' || (line_no % 2) || '.pdb' AS pdb_path FROM parsed),
+trace AS (
+  SELECT structure_id, pdb_path, chain_id, res_no, icode, arg_min(res_name, line_no) AS res_name FROM files
+  WHERE atom = 'CA' AND NOT hetatm GROUP BY 1, 2, 3, 4, 5)
+SELECT structure_id, pdb_path, string_agg(substr('{K.ONE_LETTER}', list_position({V.RES}, res_name), 1), '' ORDER BY chain_id, res_no, icode) AS sequence,
+       count(*) AS num_residues
+FROM trace GROUP BY 1, 2""")
+def structures_by_path(spark, d):
+    trace = ca_trace(with_paths(first_model_lines(V.structure_text(spark, d))))
+    return assemble_sequences(trace, ["chain_id", "res_no", "icode"]).select("structure_id", "pdb_path", "sequence", "num_residues")
+
+
+@query("first_structure_files", V.with_sql(V.LINES) + "SELECT structure_id, min(structure_id || '/' || (line_no % 2) || '.pdb') AS pdb_path FROM line_rows JOIN (SELECT DISTINCT 'P' || l_partkey AS structure_id, l_partkey AS k FROM lineitem) ON l_partkey = k GROUP BY 1")
+def first_structure_files(spark, d):
+    files = with_paths(V.structure_text(spark, d)).select("structure_id", "pdb_path").distinct()
+    return first_files(files)
+
+
 @query("deduped_structures", V.with_sql(V.SEQUENCES) + "SELECT min(pdb_path) AS pdb_path, md5(sequence) AS seq FROM seqs GROUP BY sequence")
 def deduped_structures(spark, d):
     return dedupe_by_sequence(V.sequences(spark, d)).select("pdb_path", F.md5("sequence").alias("seq"))
 
 
-@query("first_structure_rows", "SELECT l_suppkey, min((l_orderkey, l_linenumber, l_partkey)).l_orderkey AS l_orderkey FROM lineitem GROUP BY 1")
+@query("first_structure_rows", "SELECT l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1")
 def first_structure_rows(spark, d):
     li = V.table(spark, d, "lineitem").select(
         "l_suppkey", "l_orderkey", F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("pos"))
     return first_row_per_id(li, "l_suppkey", "pos").select("l_suppkey", "l_orderkey")
 
 
-SQL["first_structure_rows"] = "SELECT l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY 1"
-
-
 @query("residue_table", V.with_sql(V.ATOM_ROWS) + """,
 last AS (SELECT *, row_number() OVER (PARTITION BY structure_id, chain_id, res_no, res_name, atom
            ORDER BY l_orderkey DESC, l_partkey DESC, l_quantity DESC) AS rn FROM atom_rows)

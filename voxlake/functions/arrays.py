@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, also inside inner lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    peak = F.array_max(logits)
-    weights = F.transform(logits, lambda v: F.exp(v.cast("double") - peak.cast("double")))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(weights, lambda v: v / total)
+    """Weights relative to the maximum; maximum and sum are evaluated once a row."""
+    def shares(peak: Column) -> Column:
+        weights = F.transform(logits, lambda v: F.exp(v.cast("double") - peak))
+        return bound(weights, lambda w: bound(
+            F.aggregate(w, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(w, lambda v: v / total)))
+
+    return bound(F.array_max(logits).cast("double"), shares)
 
 
 def argmax(values: Column) -> Column:
@@ -30,18 +40,3 @@ def top_indices(values: Column, k: int) -> Column:
         F.transform(values, lambda v, i: F.struct((-v).alias("neg"), i.alias("idx")))
     )
     return F.transform(F.slice(ranked, 1, k), lambda s: s["idx"])
-
-
-def flat_normalize(x: Column, mean: Column, std: Column, cells: int, floor: float) -> Column:
-    """(x - mean) / max(std, floor); stats hold 1, C or C*cells values."""
-    def scaled(v, i):
-        at = F.when(F.size(mean) == 1, F.lit(0)).when(
-            F.size(mean) == F.size(x), i
-        ).otherwise(F.floor(i / F.lit(cells)).cast("int"))
-        return (v - F.get(mean, at)) / F.greatest(F.get(std, at), F.lit(floor))
-
-    return F.transform(x, scaled)
-
-
-def subtract_mean(x: Column, mean: Column) -> Column:
-    return F.zip_with(x, mean, lambda a, b: a - b)

@@ -179,7 +179,7 @@ def infer_metadata(path: Column, root: str) -> Column:
         & (F.get(tokens, i + 2) != ""),
     )
     at = F.array_max(starts)
-    below = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20))
+    below = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path)))
     parent = F.element_at(F.split(F.concat(F.lit("/"), path), "/"), -2)
     before = F.array_join(F.slice(tokens, 1, F.coalesce(at, F.greatest(F.size(tokens) - 3, F.lit(0)))), "_")
     structure = F.coalesce(

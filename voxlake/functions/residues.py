@@ -54,7 +54,7 @@ def canonical_name(text: Column) -> Column:
     code = F.upper(F.trim(text))
     three = F.coalesce(lookup({v: k for k, v in K.LETTER_OF.items()}, code), code)
     return F.coalesce(
-        F.concat(F.substring(three, 1, 1), F.lower(F.substring(three, 2, 1 << 20))), F.lit("")
+        F.concat(F.substring(three, 1, 1), F.lower(F.substring(three, F.lit(2), F.length(three)))), F.lit("")
     )
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from voxlake.operators.sampling import sample_n
 
 
-def embedding_sample(df: DataFrame, key: list[str], n: int = 5000, seed: int = 1337) -> DataFrame:
+def embedding_sample(df: DataFrame, key: list[str], n: int | None = None, seed: int = 1337) -> DataFrame:
+    """All rows, or a sample of ``n`` on request."""
     return sample_n(df, n, key, seed)
 
 

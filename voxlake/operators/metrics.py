@@ -226,12 +226,14 @@ def per_class_metrics(
     return table.unionByName(macro).unionByName(weighted)
 
 
-def common_confusions(df: DataFrame, order: str, limit: int = 50) -> DataFrame:
+def common_confusions(df: DataFrame, order: str, limit: int | None = 50) -> DataFrame:
     """Most frequent wrong pairs; equal counts by first appearance."""
     pairs = df.where("actual <> predicted").groupBy("actual", "predicted").agg(
         F.count("*").alias("n"), F.min(order).alias("_first")
     )
-    top = pairs.orderBy(F.desc("n"), "_first").limit(limit)
+    top = pairs.orderBy(F.desc("n"), "_first")
+    if limit is not None:  # None: all pairs
+        top = top.limit(limit)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "_first"))
     return top.select(rank.alias("rank"), "actual", "predicted", "n")
 

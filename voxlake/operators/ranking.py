@@ -13,10 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_BUCKETS = 128
 SKETCH_ACCURACY = 10000
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of a group: several for each shuffle partition, so no window limits the width."""
+    return max(128, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def seeded_hash(seed: int | str, *key: Column) -> Column:
     """Uniform hexadecimal order key; the same in every run for a seed."""
     return F.md5(F.concat_ws("_", F.lit(str(seed)), *[k.cast("string") for k in key]))
@@ -27,12 +31,16 @@ def _group_key(groups: Sequence[str]) -> Column:
     return F.struct(*groups) if groups else F.lit(0)
 
 
-def _with_offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+def _with_offsets(
+    df: DataFrame, groups: Sequence[str], sums: dict[str, Column], before: int | None = None
+) -> DataFrame:
     """Add the group key ``_g``, the totals of all earlier buckets (``_o_*``)
     and of the whole group (``_s_*``).
 
     The join and the windows of the callers use the same key (_g, _bucket),
-    so the rows are exchanged once.
+    so the rows are exchanged once. Without groups the buckets are few and
+    known in number, so they are broadcast. ``before`` keeps only buckets with
+    less than so many rows (sum ``n``) ahead of them.
     """
     keyed = df.withColumn("_g", _group_key(groups))
     per_bucket = keyed.groupBy("_g", "_bucket").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
@@ -43,27 +51,34 @@ def _with_offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column])
         *[F.coalesce(F.sum(f"_t_{n}").over(order), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(everything).alias(f"_s_{n}") for n in sums],
     )
-    return keyed.join(offsets, ["_g", "_bucket"])
+    if before is not None:
+        offsets = offsets.where(F.col("_o_n") < before)
+    return keyed.join(offsets if groups else F.broadcast(offsets), ["_g", "_bucket"])
 
 
 def rank_by_hash(
     df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: int | str,
-    name: str = "rank", total: str = "_total", digits: int = 3,
+    name: str = "rank", total: str = "_total", at_most: int | None = None,
 ) -> DataFrame:
     """1-based rank inside each group in seeded-hash order of ``key``, and the
     number of rows of the group as ``total``.
 
     The leading hash digits are the buckets: uniform, so even a group that
-    holds a third of all rows spreads over 16**digits windows.
+    holds a third of all rows spreads over all tasks. ``at_most`` leaves out
+    later rows; buckets that hold none of the first go before the exchange.
     """
+    digits = 3
+    while 16**digits < bucket_count(df):
+        digits += 1
     hashed = df.withColumn("_hash", seeded_hash(seed, *[F.col(k) for k in key])).withColumn(
         "_bucket", F.substring("_hash", 1, digits)
     )
-    placed = _with_offsets(hashed, groups, {"n": F.count("*")})
+    placed = _with_offsets(hashed, groups, {"n": F.count("*")}, at_most)
     inside = Window.partitionBy("_g", "_bucket").orderBy("_hash", *key)
-    return placed.withColumn(
+    ranked = placed.withColumn(
         name, (F.row_number().over(inside) + F.col("_o_n")).cast("bigint")
     ).withColumnRenamed("_s_n", total).drop("_hash", "_bucket", "_g", "_o_n")
+    return ranked if at_most is None else ranked.where(F.col(name) <= at_most)
 
 
 def rank_in_order(df: DataFrame, groups: Sequence[str], order: str, name: str = "rank") -> DataFrame:
@@ -80,7 +95,8 @@ def range_bucketed(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
 
     The sketch only balances the buckets; exactness does not depend on it.
     """
-    steps = [i / RANGE_BUCKETS for i in range(1, RANGE_BUCKETS)]
+    buckets = bucket_count(df)
+    steps = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*groups).agg(
         F.array_sort(F.array_distinct(
             F.percentile_approx(F.col(value).cast("double"), steps, SKETCH_ACCURACY)
@@ -92,7 +108,7 @@ def range_bucketed(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
             same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
         joined = df.alias("l").join(edges.alias("r"), same).select("l.*", "r._edges")
     else:
-        joined = df.crossJoin(F.broadcast(edges))  # one row of at most RANGE_BUCKETS numbers
+        joined = df.crossJoin(F.broadcast(edges))  # one row, a few numbers for each shuffle partition
     bucket = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
     return joined.withColumn("_bucket", bucket).drop("_edges")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.residues import residue_letter
+from voxlake.sources.structures import structure_key
 
 RESIDUE_KEY = ["structure_id", "chain_id", "res_no", "res_name"]
 FRAME_ATOMS = ["N", "CA", "C", "CB"]
@@ -47,12 +48,13 @@ def atom_positions(
 
 
 def assemble_sequences(trace: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row per structure: residue letters in key order, chains, length."""
+    """One row per structure file: residue letters in key order, chains, length."""
+    file = structure_key(trace)
     keyed = trace.select(
-        "structure_id", "chain_id",
+        *file, "chain_id",
         F.struct(*order, residue_letter(F.col("res_name")).alias("letter")).alias("item"),
     )
-    return keyed.groupBy("structure_id").agg(
+    return keyed.groupBy(*file).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list("item")), lambda s: s["letter"]), ""
         ).alias("sequence"),

@@ -14,14 +14,14 @@ def sample_n(df: DataFrame, n: int | None, key: Sequence[str], seed: int) -> Dat
     """Exactly n rows (or all), uniformly, the same ones for the same seed."""
     if n is None or n <= 0:
         return df
-    return rank_by_hash(df, [], key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank", "_total")
+    return rank_by_hash(df, [], key, seed, "_rank", at_most=n).drop("_rank", "_total")
 
 
 def sample_per_group(
     df: DataFrame, groups: Sequence[str], n: int, key: Sequence[str], seed: int
 ) -> DataFrame:
     """At most n rows of every group."""
-    return rank_by_hash(df, groups, key, seed, "_rank").where(F.col("_rank") <= n).drop("_rank", "_total")
+    return rank_by_hash(df, groups, key, seed, "_rank", at_most=n).drop("_rank", "_total")
 
 
 def downsample_to_minimum(df: DataFrame, label: str, key: Sequence[str], seed: int) -> DataFrame:

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from voxlake.functions.columns import ManifestError
 from voxlake.operators import sampling, stats
 from voxlake.runtime import cut_lineage
-from voxlake.sources.samples import discover_shards, load_split_parts, read_feature_shards, read_shards
+from voxlake.sources.samples import discover_shards, load_split_parts, read_feature_shards, read_shards, shard_files, shard_gaps
 from voxlake.sources.sinks import write_bundles, write_csv
 
 
 def compute_normalization(
-    samples: DataFrame, mode: str = "per-channel", max_samples: int | None = 50000,
+    samples: DataFrame, mode: str = "per-channel", max_samples: int | None = None,
     seed: int = 1337, key: str = "sample_path",
 ) -> DataFrame:
-    """One-row statistics of (a sample of) the dense samples."""
+    """One-row statistics of all dense samples, or of ``max_samples`` of them on request."""
     keys = [key] + (["sample_index"] if "sample_index" in samples.columns else [])
     total = samples.count()
     if not total:
@@ -64,17 +64,20 @@ def prepare_dataset(
 
 def convert_bundles(
     spark: SparkSession, root: str, out: str, splits: list[str], parts: list[int],
-    train_shards: int = 19, details: dict | None = None,
+    train_shards: int | None = None, details: dict | None = None,
 ) -> None:
-    """Paired shards -> one partition per (split, part) with metadata."""
-    rows = load_split_parts(spark, root, train_shards).where(
-        F.col("split").isin(splits) & F.col("part").isin(parts)
-    )
-    present = {(r["split"], r["part"]) for r in rows.select("split", "part").distinct().collect()}
-    missing = [(s, p) for s in splits for p in parts if (s, p) not in present]
-    if missing:
-        raise ManifestError(f"missing input arrays for {missing}")
-    write_bundles(rows, out, details or {})
+    """Paired shards -> one partition per (split, part) with metadata.
+
+    Every shard found is used. ``train_shards`` says how many the training
+    split must have. Nothing is written when a shard is missing, has no partner
+    or differs from it in its number of rows.
+    """
+    wanted = F.col("split").isin(splits) & F.col("part").isin(parts)
+    gaps = shard_gaps(shard_files(spark, root).where(wanted), splits, parts, train_shards)
+    if found := gaps.orderBy("split", "part", "shard").limit(20).collect():  # the message names the first
+        named = ", ".join(f"{g['split']}/part {g['part']}/shard {g['shard']}: {g['problem']}" for g in found)
+        raise ManifestError(f"incomplete input arrays: {named}")
+    write_bundles(load_split_parts(spark, root).where(wanted), out, details or {})
 
 
 def legacy_atom_box(bundles: DataFrame, parts: int, mean: list[float] | None = None,

@@ -13,13 +13,10 @@ from voxlake.sources.structures import ca_trace, discover_structures, structure_
 
 
 def structures_from_files(files: DataFrame, insertion_codes: bool = True) -> DataFrame:
-    """pdb_id, pdb_path, sequence, chains, num_residues of parsed files."""
+    """pdb_id, pdb_path, sequence, chains, num_residues of every file, read once."""
     trace = ca_trace(structure_lines(files), insertion_codes)
     order = ["chain_id", "res_no"] + (["icode"] if insertion_codes else [])
-    rows = assemble_sequences(trace, order)
-    return rows.join(files.select("structure_id", "pdb_path"), "structure_id").withColumnRenamed(
-        "structure_id", "pdb_id"
-    )
+    return assemble_sequences(trace, order).withColumnRenamed("structure_id", "pdb_id")
 
 
 def structure_manifest(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.constants import LEGACY_BIAS
@@ -16,9 +16,11 @@ from voxlake.operators.residues import RESIDUE_KEY, residues_from_atoms
 from voxlake.operators.sampling import sample_per_group
 from voxlake.operators.surface import exposed_points, residue_areas
 from voxlake.operators.voxels import (
-    VoxelConfig, box_join, dense_samples, example_id, mean_over_sites, pack_examples,
+    VoxelConfig, box_join, example_id, mean_over_sites, pack_examples,
     screen_centres, voxel_counts,
 )
+from voxlake.runtime import cut_lineage
+from voxlake.sources.structures import discover_structures, first_files, parse_atoms, structure_lines
 
 
 @dataclass
@@ -71,6 +73,15 @@ def build_sites(
     )
 
 
+def build_folder(
+    spark: SparkSession, path: str, config: VoxelConfig, glob: str = "*.pdb", recursive: bool = False,
+    include_hetero: bool = False, targets: DataFrame | None = None, max_sites: int | None = None, seed: int = 0,
+) -> Examples:
+    """Structure files below a folder -> packed examples; of one id the first path is built."""
+    files = first_files(discover_structures(spark, path, glob, recursive))
+    return build_sites(cut_lineage(parse_atoms(structure_lines(files), include_hetero)), config, targets, max_sites, seed)
+
+
 def site_manifest(samples: DataFrame, root: str, config: VoxelConfig) -> DataFrame:
     """The nine-column manifest as a projection of the stored samples."""
     return samples.select(
@@ -148,6 +159,3 @@ def sasa_table(atoms: DataFrame, points: int = 92) -> DataFrame:
     """Absolute and relative accessibility of every residue."""
     return residue_areas(exposed_points(atoms, ["structure_id", "line_no"], points))
 
-
-def stored_samples(examples: Examples, config: VoxelConfig) -> DataFrame:
-    return dense_samples(examples.packed, config)

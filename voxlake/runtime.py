@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a temporary one where none is set."""
+    """The cluster's checkpoint folder; in one local process a temporary one where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured and not current:
         spark.sparkContext.setCheckpointDir(configured)
     elif not configured and not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxlake-ckpt-"))
     return configured or spark.sparkContext.getCheckpointDir()
 

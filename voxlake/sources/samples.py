@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -70,7 +71,7 @@ def _payload_rows(batches):
                             row["x"] = x.astype(np.float32).ravel()
             except (ValueError, OSError, EOFError, KeyError, AttributeError,
                     TypeError, zipfile.BadZipFile) as problem:
-                row["read_error"] = str(problem)[:200]
+                row["read_error"] = str(problem)
             rows.append(row)
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in PAYLOAD.split(", ")])
 
@@ -173,12 +174,42 @@ def split_file_key(path: Column) -> Column:
     )
 
 
-def load_split_parts(spark: SparkSession, root: str, train_shards: int = 19) -> DataFrame:
-    """(split, part, shard, sample_index, shape, x, label) of paired shards."""
-    rows = read_shards(spark, root).withColumn("k", split_file_key(F.col("path"))).where(
-        (F.col("k.kind") != "")
-        & ((F.col("k.split") != "train") | (F.col("k.shard").between(1, train_shards)))
+def shard_files(spark: SparkSession, root: str) -> DataFrame:
+    """(kind, split, shard, part, n) of the paired shard files, from their headers."""
+    lengths = _files(spark, root, "*.dat").mapInPandas(_shard_lengths, "path string, n bigint")
+    keyed = lengths.withColumn("k", split_file_key(F.col("path"))).where("k.kind <> ''")
+    return keyed.select("k.kind", "k.split", F.coalesce("k.shard", F.lit(0)).alias("shard"), "k.part", "n")
+
+
+def shard_gaps(
+    files: DataFrame, splits: Sequence[str], parts: Sequence[int], train_shards: int | None = None
+) -> DataFrame:
+    """(split, part, shard, problem) of what a set of paired shards lacks.
+
+    Expected are both kinds of every shard that any part of its split has, at
+    least one shard for every split and part, and the training shards 1 to
+    ``train_shards`` where a number is given; pairs must agree in their rows.
+    """
+    spark = files.sparkSession
+    asked = spark.createDataFrame([(s, p) for s in splits for p in parts], "split string, part int")
+    shards = files.select("split", "shard").distinct()
+    if train_shards is not None and "train" in splits:
+        numbered = spark.range(1, train_shards + 1).select(F.lit("train").alias("split"), F.col("id").cast("int").alias("shard"))
+        shards = shards.unionByName(numbered).distinct()
+    expected = asked.join(shards, "split", "left")
+    sizes = files.groupBy("split", "part", "shard").agg(
+        F.max(F.when(F.col("kind") == "X", F.col("n"))).alias("nx"), F.max(F.when(F.col("kind") == "y", F.col("n"))).alias("ny"))
+    problem = (
+        F.when(F.col("nx").isNull() & F.col("ny").isNull(), "no files")
+        .when(F.col("nx").isNull(), "no X file").when(F.col("ny").isNull(), "no y file")
+        .when(F.col("nx") != F.col("ny"), F.format_string("%d samples, %d labels", "nx", "ny"))
     )
+    return expected.join(sizes, ["split", "part", "shard"], "left").select("split", "part", "shard", problem.alias("problem")).where("problem is not null")
+
+
+def load_split_parts(spark: SparkSession, root: str) -> DataFrame:
+    """(split, part, shard, sample_index, shape, x, label) of all paired shards."""
+    rows = read_shards(spark, root).withColumn("k", split_file_key(F.col("path"))).where("k.kind <> ''")
     keys = ["split", "part", "shard", "sample_index"]
     flat = rows.select("k.*", "sample_index", "shape", "x").withColumn(
         "shard", F.coalesce("shard", F.lit(0))
@@ -188,8 +219,8 @@ def load_split_parts(spark: SparkSession, root: str, train_shards: int = 19) ->
     return data.join(labels, keys, "left")
 
 
-def read_feature_shards(spark: SparkSession, root: str, parts: int = 5) -> DataFrame:
-    """(split, part, sample_index, x, label) of the generic feature matrices."""
+def read_feature_shards(spark: SparkSession, root: str, parts: Sequence[int] | None = None) -> DataFrame:
+    """(split, part, sample_index, x, label) of the generic feature matrices; ``parts`` may select."""
     pattern = "^FEATURE_(train|val|test)_(X|y)(?:_(\\d+))?\\.dat$"
     name = F.substring_index("path", "/", -1)
     rows = read_shards(spark, root, "FEATURE_*.dat").select(
@@ -197,7 +228,9 @@ def read_feature_shards(spark: SparkSession, root: str, parts: int = 5) -> DataF
         F.regexp_extract(name, pattern, 2).alias("kind"),
         F.coalesce(F.regexp_extract(name, pattern, 3).try_cast("int"), F.lit(0)).alias("part"),
         "sample_index", "x",
-    ).where(F.col("part") < parts)
+    )
+    if parts is not None:
+        rows = rows.where(F.col("part").isin(list(parts)))
     keys = ["split", "part", "sample_index"]
     labels = rows.where("kind = 'y'").select(*keys, F.get("x", F.lit(0)).alias("label"))
     return rows.where("kind = 'X'").drop("kind").join(labels, keys, "left")

@@ -32,6 +32,17 @@ def with_structure_id(raw: DataFrame) -> DataFrame:
     )
 
 
+def structure_key(df: DataFrame) -> list[str]:
+    """The columns that tell structures apart: the id, and the path where it is known."""
+    return [c for c in ("structure_id", "pdb_path") if c in df.columns]
+
+
+def first_files(files: DataFrame) -> DataFrame:
+    """The file with the first path of each structure id; the choice reads no text."""
+    first = files.groupBy("structure_id").agg(F.min("pdb_path").alias("pdb_path"))
+    return files.join(first, ["structure_id", "pdb_path"], "left_semi")
+
+
 def structure_lines(files: DataFrame) -> DataFrame:
     """Lines of the first model of each file.
 
@@ -110,10 +121,15 @@ def parse_legacy_atoms(lines: DataFrame) -> DataFrame:
 
 
 def ca_trace(lines: DataFrame, insertion_codes: bool = True) -> DataFrame:
-    """One row per residue that has a CA; the first line of a key wins."""
-    keys = ["structure_id", "chain_id", "res_no"] + (["icode"] if insertion_codes else [])
+    """One row per residue that has a CA; the first line of a key wins.
+
+    Files are told apart by their path, where there is one: two files with one
+    stem stay two structures.
+    """
+    file = structure_key(lines)
+    keys = [*file, "chain_id", "res_no"] + (["icode"] if insertion_codes else [])
     ca = lines.where(F.col("line").startswith("ATOM") & (_field(12, 4) == "CA")).select(
-        "structure_id",
+        *file,
         "line_no",
         F.coalesce(F.nullif(_field(21, 1), F.lit("")), F.lit("_")).alias("chain_id"),
         _field(17, 3).alias("res_name"),

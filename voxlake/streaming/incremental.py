@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from voxlake.functions.columns import config_fingerprint
-from voxlake.operators.residues import first_row_per_id
 from voxlake.operators.voxels import VoxelConfig, dense_samples
 from voxlake.plans.voxels import build_sites
 from voxlake.runtime import cut_lineage
-from voxlake.sources.structures import parse_atoms, structure_lines, with_structure_id
+from voxlake.sources.structures import first_files, parse_atoms, structure_lines, with_structure_id
 
+#: Batch numbers of a run start at a multiple of this.
+RUN = 1_000_000_000
 DONE = "structure_id string, n_examples bigint, fingerprint string, batch bigint"
 
 
@@ -26,14 +27,23 @@ def done_structures(spark: SparkSession, out: str, tag: str) -> DataFrame:
     """Finished structures of one configuration."""
     try:
         done = spark.read.schema(DONE).parquet(f"{out}/done")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":  # a damaged ledger is not an empty one
+            raise
         done = spark.createDataFrame([], DONE)
     return done.where(F.col("fingerprint") == tag)
 
 
+def latest_samples(spark: SparkSession, out: str, tag: str) -> DataFrame:
+    """Samples of each structure's last batch: a rebuilt structure replaces its old examples."""
+    last = done_structures(spark, out, tag).groupBy("structure_id").agg(F.max("batch").alias("batch"))
+    samples = spark.read.parquet(f"{out}/samples").where(F.col("fingerprint") == tag)
+    return samples.withColumn("batch", F.col("batch").cast("long")).join(last, ["structure_id", "batch"], "left_semi")
+
+
 def unfinished(rows: DataFrame, done: DataFrame, overwrite: bool) -> DataFrame:
-    """First row of each structure id that is not finished yet."""
-    first = first_row_per_id(rows, "structure_id", "pdb_path")
+    """First file of each structure id that is not finished yet."""
+    first = first_files(rows)
     return first if overwrite else first.join(done, "structure_id", "left_anti")
 
 
@@ -45,6 +55,8 @@ def write_batch(rows: DataFrame, batch: int, out: str, tag: str, build: Callable
     """
     spark = rows.sparkSession
     earlier = done_structures(spark, out, tag).where(F.col("batch") != batch)
+    if overwrite:  # what this run has already built stays; a second file of its id is not built
+        earlier, overwrite = earlier.where(F.col("batch") >= batch // RUN * RUN), False
     pending = cut_lineage(unfinished(rows, earlier, overwrite))
     samples = build(pending)
     where = f"fingerprint={tag}/batch={batch}"
@@ -70,12 +82,18 @@ def run_incremental(
     spark: SparkSession, stream: DataFrame, out: str, config: dict, build: Callable,
     overwrite: bool = False,
 ) -> str:
-    """Drain what has arrived since the last run; returns the fingerprint."""
+    """Drain what has arrived since the last run; returns the fingerprint.
+
+    ``overwrite`` starts a new run, with progress and batch numbers of its own,
+    and so builds every file again.
+    """
     tag = fingerprint(spark, config)
+    newest = done_structures(spark, out, tag).agg(F.max("batch")).first()[0]
+    run = (newest or 0) // RUN + (1 if overwrite and newest is not None else 0)
     query = (
         stream.writeStream.trigger(availableNow=True)
-        .option("checkpointLocation", f"{out}/progress/{tag}")
-        .foreachBatch(lambda df, batch: write_batch(df, batch, out, tag, build, overwrite))
+        .option("checkpointLocation", f"{out}/progress/{tag}/run={run}")
+        .foreachBatch(lambda df, batch: write_batch(df, run * RUN + batch, out, tag, build, overwrite))
         .start()
     )
     query.awaitTermination()
@@ -97,7 +115,7 @@ def build_incremental(
     tag = run_incremental(
         spark, structure_stream(spark, path), out, config.as_dict(), voxel_builder(config), overwrite
     )
-    return spark.read.parquet(f"{out}/samples").where(F.col("fingerprint") == tag)
+    return latest_samples(spark, out, tag)
 
 
 def reconcile_accessions(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
