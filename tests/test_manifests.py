@@ -9,11 +9,11 @@ from tests.helpers import atom_line, ca_text, write
 from voxlake.functions.columns import (
     ManifestError, coerce_label, first_alias, infer_metadata, labels_match, sample_path_column,
 )
-from voxlake.operators import access, stats
+from voxlake.operators import access, quality, stats
 from voxlake.operators.sampling import downsample_to_minimum
 from voxlake.operators.voxels import VoxelConfig
 from voxlake.plans import checks, datasets
-from voxlake.plans.reports import annotate_sasa
+from voxlake.plans.reports import annotate_sasa, annotate_sasa_files
 from voxlake.sources.manifests import (
     list_files, read_accession_pages, read_id_list, read_manifest, read_sasa_cif, read_scop,
 )
@@ -214,6 +214,8 @@ def test_sasa_annotation(spark):
     assert (s["matched_residues"], s["residues_scored"], s["fallback_warnings"]) == (2, 2, 1)
     cached = annotate_sasa(predictions, manifest, scores, bins=2, cache=scores.limit(1))
     assert cached["new_scores"].count() == 1 and cached["annotated"].where("sasa_selected is not null").count() == 2
+    held = annotate_sasa(predictions, manifest, scores, bins=2, structures=spark.createDataFrame([("S2",)], "structure_id string"))
+    assert held["summary"].first()["missing_pdb_files"] == 1
     flat = spark.createDataFrame([(5.0,), (5.0,)], "v double")
     assert access.bin_edges(flat, "v", "equal_frequency", 4).first()["edges"] == [5 - 5e-6, 5 + 5e-6]
 
@@ -233,7 +235,7 @@ def test_incremental_build(spark, tmp_path):
     both = build_incremental(spark, str(source), out, config)
     assert sorted(r["example_id"] for r in both.select("example_id").collect()) == ["s1_A_1_GLY", "s2_A_5_GLY"]
     assert build_incremental(spark, str(source), out, VoxelConfig(box_size=8.0)).count() == 2
-    write(source / "b", "s1.pdb", toy(1))  # the same id at a second, later path
+    write(source / "z", "s1.pdb", toy(1))  # the same id at a second, later path
     again = build_incremental(spark, str(source), out, config, overwrite=True)
     assert sorted(r["example_id"] for r in again.select("example_id").collect()) == ["s1_A_1_GLY", "s2_A_5_GLY"]
     write(source, "s1.pdb", toy(9))
@@ -242,3 +244,26 @@ def test_incremental_build(spark, tmp_path):
     assert build_incremental(spark, str(source), out, config).count() == 2
     assert spark.read.parquet(f"{out}/done").count() >= 4
     assert ca_text("A")
+
+
+def test_split_fields_and_blank_lines(spark, tmp_path):
+    lines = ["a,b", "a,", "", ",", '"x,y",z', '"say ""hi""",', 'a,"b"', "only"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string")
+    got = [r["fields"] for r in quality.with_fields(rows).orderBy("i").collect()]
+    assert got == [["a", "b"], ["a", ""], [""], ["", ""], ["x,y", "z"], ['say "hi"', ""], ["a", "b"], ["only"]]
+    path = tmp_path / "m.csv"
+    path.write_text("path,label\nq.npz,1\n\nr.npz,2\n")
+    summary, _ = checks.validate_manifest(spark, str(path), str(tmp_path), check_files=False)
+    row = summary.first()
+    assert (row["total_rows_scanned"], row["corrupted_rows"]) == (3, 1)
+
+
+def test_accessibility_from_a_folder(spark, tmp_path):
+    write(tmp_path, "t1.pdb", "\n".join([atom_line(1, "N", "GLY", "A", 1, 0, 0, 0, "N"), atom_line(2, "CA", "GLY", "A", 1, 1.4, 0, 0, "C")]))
+    predictions = spark.createDataFrame([(1, "t1", "A:1:GLY", "Gly", "Gly", ["Gly"]), (2, "t9", "A:1:GLY", "Gly", "Gly", ["Gly"])],
+                                        "row_no int, structure_name string, site string, actual string, predicted string, topk array<string>")
+    manifest = spark.createDataFrame([(1, "t1", "A", "1", "GLY"), (2, "t9", "A", "1", "GLY")],
+                                     "row_no int, structure_id string, chain_id string, res_no string, res_name string")
+    out = annotate_sasa_files(predictions, manifest, str(tmp_path), bins=1)
+    row = out["summary"].first()
+    assert (row["residues_scored"], row["missing_residues_reported"], row["missing_pdb_files"]) == (1, 1, 1)

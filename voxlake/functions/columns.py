@@ -77,10 +77,6 @@ def resolve_path(path: Column, root: str) -> Column:
     )
 
 
-def structure_file(structure_id: Column, root: str) -> Column:
-    return F.concat(F.lit(root.rstrip("/") + "/"), structure_id, F.lit(".pdb"))
-
-
 def sanitize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "[\\r\\n]", " "))
 
@@ -214,15 +210,6 @@ def edge_bin(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
-def linear_edges(low: Column, high: Column, bins: int) -> Column:
-    """bins+1 equally spaced edges; the last is exactly ``high``."""
-    inner = F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda i: low + i.cast("double") * ((high - low) / F.lit(float(bins))),
-    )
-    return F.concat(inner, F.array(high.cast("double")))
-
-
 def bin_labels(edges: Column) -> Column:
     """'[a, b)' text for each pair of neighbouring edges."""
     return F.transform(

@@ -26,10 +26,6 @@ def residue_label(res_name: Column) -> Column:
     return lookup(K.LABEL_OF, res_name)
 
 
-def label_residue(label: Column) -> Column:
-    return F.get(F.array(*map(F.lit, K.RESIDUES)), label)
-
-
 def template_atoms(res_name: Column) -> Column:
     """Sorted heavy-atom names a complete residue has."""
     flat = []

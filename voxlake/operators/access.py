@@ -107,10 +107,10 @@ def reduce_to_requested(scores: DataFrame, requested: DataFrame) -> DataFrame:
 
 def annotate(matched: DataFrame, scores: DataFrame, kind: str, field: str) -> DataFrame:
     """Add the accessibility columns to matched predictions."""
-    one = scores.groupBy(*SASA_KEY).agg(
-        F.first("abs_total").alias("sasa_abs_total"), F.first("rel_total").alias("sasa_rel_total"),
-        F.first(measure(kind, field)).alias("sasa_selected"),
-    ).withColumnRenamed("structure_id", "_s")
+    values = F.struct(F.col("abs_total").alias("a"), F.col("rel_total").alias("r"), F.col(measure(kind, field)).alias("m"))
+    one = scores.groupBy(*SASA_KEY).agg(F.max(values).alias("_v")).select(  # of repeated scores the largest
+        F.col("structure_id").alias("_s"), "chain_id", "res_no", "res_name",
+        F.col("_v.a").alias("sasa_abs_total"), F.col("_v.r").alias("sasa_rel_total"), F.col("_v.m").alias("sasa_selected"))
     keyed = matched.withColumn("_s", F.when(F.col("matched"), F.trim("structure_name")))
     joined = keyed.join(one, ["_s", "chain_id", "res_no", "res_name"], "left").drop("_s")
     return joined.withColumns({"sasa_kind": F.lit(kind), "sasa_field": F.lit(field)})

@@ -36,11 +36,6 @@ def with_ordinals(rows: DataFrame) -> DataFrame:
     ).drop("_rank")
 
 
-def last_structure_rows(structures: DataFrame, order: str = "row_no") -> DataFrame:
-    """Of duplicate structure rows the last one counts."""
-    return structures.groupBy("structure_id").agg(F.max_by("pdb_path", order).alias("pdb_path"))
-
-
 def match_structures(rows: DataFrame, structures: DataFrame) -> DataFrame:
     """Add ``has_structure``."""
     known = structures.select("structure_id").distinct().withColumn("_known", F.lit(True))

@@ -32,11 +32,11 @@ def accuracy(df: DataFrame, actual: str = "label", predicted: str = "predicted")
 
 
 def topk_accuracy(df: DataFrame, ks: Sequence[int], classes: int) -> DataFrame:
-    """One column per k; unlabelled rows do not count, none gives NULL."""
+    """One column per k; unlabelled rows do not count, none gives 0."""
     return df.where("label is not null").agg(*[
-        F.avg(F.array_contains(
+        F.coalesce(F.avg(F.array_contains(
             F.slice("top", 1, max(1, min(k, classes))), F.col("label").cast("int")
-        ).cast("int")).alias(f"top{k}")
+        ).cast("int")), F.lit(0.0)).alias(f"top{k}")
         for k in ks
     ])
 

@@ -122,7 +122,8 @@ def _vector_sums(samples: DataFrame, x: str, part: str | None, fan_in: int = 256
 
     key = F.lit(0) if part is None else F.col(part).cast("int")
     partial = samples.select(key.alias("part"), x).mapInArrow(add_samples, VECTOR)
-    tasks = samples.sparkSession.sparkContext.defaultParallelism
+    session = samples.sparkSession  # one vector for each input task: the more tasks, the more merges
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     return partial.repartition(max(1, tasks // fan_in + 1)).mapInArrow(add_vectors, VECTOR)
 
 
@@ -200,8 +201,11 @@ def normalize(samples: DataFrame, stats: DataFrame, floor: float = STD_FLOOR,
     row = stats.select("mean", "std").first()
     if row is None:
         raise ManifestError("no normalisation statistics")
-    mean = np.asarray(row["mean"], dtype=np.float64)
-    std = np.maximum(np.asarray(row["std"], dtype=np.float64), floor)
+    return _scaled(samples, row["mean"], np.maximum(np.asarray(row["std"], dtype=np.float64), floor), batch)
+
+
+def _scaled(samples: DataFrame, mean: Sequence[float], std: Sequence[float], batch: int = 256) -> DataFrame:
+    mean, std = np.asarray(mean, dtype=np.float64), np.asarray(std, dtype=np.float64)
     names = samples.columns
     at = names.index("x")
 
@@ -225,5 +229,4 @@ def normalize(samples: DataFrame, stats: DataFrame, floor: float = STD_FLOOR,
 
 def center_on_mean(samples: DataFrame, mean: Sequence[float]) -> DataFrame:
     """x - mean only; the mean has one value per cell (model-sized, fixed)."""
-    values = F.array(*[F.lit(float(m)) for m in mean])
-    return samples.withColumn("x", F.zip_with("x", values, lambda a, b: (a - b).cast("float")))
+    return _scaled(samples, mean, np.ones(len(mean)))

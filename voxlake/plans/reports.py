@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from voxlake import constants as K
 from voxlake.operators import access, metrics, scoring, stats
+from voxlake.operators.surface import exposed_points, residue_areas
 from voxlake.runtime import cut_lineage
+from voxlake.sources.structures import discover_structures, first_files, parse_atoms, structure_lines
 
 
 def evaluate(samples: DataFrame, norm: DataFrame, scorer: Callable, task: str,
@@ -31,12 +33,16 @@ def predict(samples: DataFrame, norm: DataFrame, scorer: Callable, k: int = 5,
 
 
 def prediction_reports(
-    predictions: DataFrame, order: str, normalise: str = "row", bins: int = 10, max_confusions: int = 50,
+    predictions: DataFrame, order: str, normalise: str = "row", bins: int = 10, max_confusions: int | None = 50,
 ) -> dict[str, DataFrame]:
-    """Every table of the prediction report, each one aggregation."""
-    labelled = predictions.where("actual <> ''").withColumn(
+    """Every table of the prediction report, each one aggregation.
+
+    The predictions are written once, so a lazy input is not scored again for
+    each table. ``max_confusions`` None lists every confusion.
+    """
+    labelled = cut_lineage(predictions.where("actual <> ''").withColumn(
         "correct", F.col("predicted") == F.col("actual")
-    )
+    ))
     cells = metrics.confusion(labelled, K.REPORT_NAMES)
     kinds = metrics.confusion(labelled, K.TYPE_NAMES, "actual_type", "predicted_type")
     support = metrics.class_support(labelled)
@@ -59,12 +65,13 @@ def prediction_reports(
 def annotate_sasa(
     predictions: DataFrame, manifest: DataFrame, scores: DataFrame, kind: str = "relative",
     field: str = "total", strict: bool = False, binning: str = "equal_width", bins: int = 10,
-    custom: Sequence[float] | None = None, cache: DataFrame | None = None,
+    custom: Sequence[float] | None = None, cache: DataFrame | None = None, structures: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Annotated predictions, bins, groups and the match summary.
 
     With a ``cache`` only the requested residues it lacks are taken from
-    ``scores``; ``new_scores`` is what to append to the cache.
+    ``scores``; ``new_scores`` is what to append to the cache. With
+    ``structures`` (structure_id) the summary counts those without a file.
     """
     matched = cut_lineage(access.match_predictions(predictions, manifest, strict))
     wanted = access.requested_residues(matched)
@@ -80,5 +87,17 @@ def annotate_sasa(
     return {
         "annotated": annotated, "new_scores": fresh, "edges": edges,
         "bins": access.binned_accuracy(usable, edges), "groups": access.group_summary(groups),
-        "summary": access.match_summary(annotated),
+        "summary": access.match_summary(annotated, structures),
     }
+
+
+def annotate_sasa_files(
+    predictions: DataFrame, manifest: DataFrame, folder: str, glob: str = "*.pdb", points: int = 92, **options: object,
+) -> dict[str, DataFrame]:
+    """``annotate_sasa`` from a structure folder: only requested structures are measured."""
+    files = first_files(discover_structures(predictions.sparkSession, folder, glob))
+    matched = access.match_predictions(predictions, manifest, bool(options.get("strict", False)))
+    wanted = access.requested_residues(matched).select("structure_id").distinct()
+    atoms = cut_lineage(parse_atoms(structure_lines(files.join(wanted, "structure_id", "left_semi"))))
+    scores = residue_areas(exposed_points(atoms, ["structure_id", "line_no"], points)).withColumn("res_no", F.col("res_no").cast("string"))
+    return annotate_sasa(predictions, manifest, cut_lineage(scores), structures=files.select("structure_id"), **options)

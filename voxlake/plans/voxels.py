@@ -103,7 +103,7 @@ def build_activity(
     ``dense_samples`` smooths both kinds.
     """
     rows = act.match_structures(act.with_ordinals(act.activity_rows(activity)), structures)
-    residues = screen_centres(residues_from_atoms(atoms), config)
+    residues = cut_lineage(screen_centres(residues_from_atoms(atoms), config))  # feeds several branches
     usable = residues.where("skip is null")
     if unit == "whole_structure":
         cells = voxel_counts(box_join(usable, atoms, config))
@@ -118,7 +118,8 @@ def build_activity(
             F.col("cells").isNull(), "missing_sites")
         marked = joined.withColumn("skip", reason)
     else:
-        matched = act.site_examples(act.match_residues(rows, residues))
+        judged = cut_lineage(act.match_residues(rows, residues))
+        matched = act.site_examples(judged)
         wanted = matched.select(*RESIDUE_KEY).distinct()
         centres = usable.join(wanted, RESIDUE_KEY, "left_semi")
         packed = pack_examples(voxel_counts(box_join(centres, atoms, config)), config)
@@ -127,7 +128,7 @@ def build_activity(
         late = ready.withColumn(
             "skip", F.when(F.col("cells").isNull(), F.coalesce("_why", F.lit("density")))
         ).drop("_why")
-        early = act.match_residues(rows, residues).where("skip is not null")
+        early = judged.where("skip is not null")
         marked = late.unionByName(early, allowMissingColumns=True)
     kept = marked.where("skip is null").withColumns({
         "task": F.lit("regression"), "channel_scheme": F.lit(config.channel_scheme),

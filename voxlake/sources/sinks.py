@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake import constants as K
@@ -73,10 +73,36 @@ def write_sites(sites: DataFrame, path: str, files: DataFrame | None = None) ->
     write_csv(sites.select(*K.SITE_FIELDS).orderBy("example_id"), path)
 
 
+def write_activity(examples: DataFrame, root: str, path: str) -> None:
+    """The ten-column activity manifest, by example id."""
+    write_csv(activity_manifest(examples, root).orderBy("example_id"), path)
+
+
+def activity_manifest(examples: DataFrame, root: str) -> DataFrame:
+    """The ten columns of an activity manifest; a whole structure has neither chain nor residue."""
+    def of_site(name: str) -> Column:
+        if name not in examples.columns:
+            return F.lit("").alias(name)
+        value = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.when(F.col("example_unit") == "whole_structure", F.lit("")).otherwise(value).alias(name)
+
+    return examples.select(
+        "example_id", "structure_id", of_site("chain_id"), of_site("res_no"), F.coalesce("mutation", F.lit("")).alias("mutation"),
+        F.col("value").cast("string").alias("label"), "task",
+        F.concat(F.lit(root.rstrip("/") + "/"), "structure_id", F.lit("/"), "example_id", F.lit(".npz")).alias("sample_path"),
+        "channel_scheme", "example_unit",
+    )
+
+
 def write_samples(samples: DataFrame, path: str, buckets: int = 64) -> None:
-    """Dense samples, partitioned by a hash of the structure."""
+    """Dense samples, partitioned by a hash of the structure.
+
+    Rows are dealt by bucket first, so a bucket gets few files; a second key
+    lets a bucket with a large structure fill several tasks.
+    """
+    bucketed = samples.withColumn("bucket", F.pmod(F.xxhash64("structure_id"), F.lit(buckets)))
     (
-        samples.withColumn("bucket", F.pmod(F.xxhash64("structure_id"), F.lit(buckets)))
+        bucketed.repartition("bucket", F.pmod(F.xxhash64("example_id"), F.lit(4)))
         .write.mode("overwrite").partitionBy("bucket").parquet(path)
     )
 

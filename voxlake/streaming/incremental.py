@@ -133,5 +133,5 @@ def reconcile_accessions(wanted: DataFrame, files: DataFrame) -> tuple[DataFrame
 def append_ledgers(wanted: DataFrame, files: DataFrame, batch: int, out: str) -> None:
     """Success and failure ledgers of one micro-batch, idempotent by batch."""
     landed, missing = reconcile_accessions(wanted, files)
-    landed.write.mode("overwrite").parquet(f"{out}/downloaded/batch={batch}")
-    missing.write.mode("overwrite").parquet(f"{out}/not_downloaded/batch={batch}")
+    for rows, name in ((landed, "downloaded"), (missing, "not_downloaded")):
+        rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
