@@ -18,6 +18,7 @@ from voxlake.sources.manifests import (
     list_files, read_accession_pages, read_id_list, read_manifest, read_sasa_cif, read_scop,
 )
 from voxlake.sources.samples import load_split_parts, read_samples
+from voxlake.sources.sinks import write_report_tables
 from voxlake.streaming.incremental import build_incremental, reconcile_accessions
 
 
@@ -256,6 +257,18 @@ def test_split_fields_and_blank_lines(spark, tmp_path):
     summary, _ = checks.validate_manifest(spark, str(path), str(tmp_path), check_files=False)
     row = summary.first()
     assert (row["total_rows_scanned"], row["corrupted_rows"]) == (3, 1)
+    report = quality.validation_report(*checks.validate_manifest(spark, str(path), str(tmp_path)), limit=1).first()
+    assert (report["error_count"], report["error_limit"], len(report["errors"])) == (3, 1, 1)
+    npz(tmp_path / "q.npz", x=np.zeros((4, 3, 3, 3)), y=np.array(1))
+    summary, found = checks.validate_manifest(spark, str(path), str(tmp_path), "residue_identity", channels=5)
+    assert sorted(r["code"] for r in found.collect()) == ["corrupted_row", "missing_file", "shape_mismatch"]
+
+
+def test_report_tables(spark, tmp_path):
+    table = spark.createDataFrame([("Ala", 0.5, [1.0, 2.0], 3)], "name string, share double, parts array<double>, n int")
+    write_report_tables({"shares": table}, str(tmp_path))
+    row = spark.read.option("header", True).csv(str(tmp_path / "shares")).first()
+    assert tuple(row) == ("Ala", "0.500000", "1.0;2.0", "3")
 
 
 def test_accessibility_from_a_folder(spark, tmp_path):

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.runtime import cut_lineage
+
 SKETCH_ACCURACY = 10000
 
 
@@ -119,9 +121,10 @@ def running_totals(
     """Inclusive running totals ``cum_<name>`` of the sums, by value order.
 
     ``df`` must hold one row per (group, value): ties are added up before, so
-    a value shared by a third of the rows is a single row here.
+    a value shared by a third of the rows is a single row here. The rows are
+    written once: the edges, the bucket totals and the windows all read them.
     """
-    bucketed = range_bucketed(df, groups, value)
+    bucketed = range_bucketed(cut_lineage(df), groups, value)
     if descending:
         bucketed = bucketed.withColumn("_bucket", -F.col("_bucket"))
     placed = _with_offsets(bucketed, groups, {s: F.sum(s) for s in sums})
@@ -139,7 +142,7 @@ def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float]
 ) -> DataFrame:
     """(groups, q, quantile): linear interpolation between order statistics."""
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from voxlake.functions.columns import ManifestError
 from voxlake.operators import sampling, stats
 from voxlake.runtime import cut_lineage
 from voxlake.sources.samples import discover_shards, load_split_parts, read_feature_shards, read_shards, shard_files, shard_gaps
-from voxlake.sources.sinks import write_bundles, write_csv
+from voxlake.sources.sinks import write_bundles, write_csv, write_stats
 
 
 def compute_normalization(
@@ -56,9 +56,7 @@ def prepare_dataset(
         raise ManifestError("the training split is empty")
     weights = stats.class_weights(chosen) if balance_mode == "weighted_loss" else None
     row = stats.stats_row(stats.voxelwise_stats(used), "cell", "voxel-wise", n, seed, weights)
-    row.write.mode("overwrite").parquet(f"{out}/normalization_stats")
-    sizes = split.select("split").unionByName(test.select("split"))
-    stats.split_sizes(sizes).coalesce(1).write.mode("overwrite").json(f"{out}/normalization_meta")
+    write_stats(row, stats.split_sizes(split.select("split").unionByName(test.select("split"))), out)
     return row
 
 

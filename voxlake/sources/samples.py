@@ -48,8 +48,21 @@ PAYLOAD = (
 )
 
 
-def _payload_rows(batches):
-    """One row per archive: its arrays, or why it could not be read."""
+def _member_shape(archive, name: str) -> list[int]:
+    """Shape of an archive's array from its header."""
+    with archive.zip.open(f"{name}.npy") as member:
+        return list(_header_shape(member))
+
+
+def _header_shape(handle) -> tuple[int, ...]:
+    version = np.lib.format.read_magic(handle)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(handle)[0]
+
+
+def _payload_rows(batches, arrays: bool = True, block: int = 64):
+    """One row per archive: its arrays (or their shapes), or why it could not be read."""
+    names = [f.split()[0] for f in PAYLOAD.split(", ")]
     for pdf in batches:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
@@ -62,7 +75,9 @@ def _payload_rows(batches):
                     row["has_x"], row["has_y"] = "x" in archive, "y" in archive
                     if row["has_y"]:
                         row["y"] = float(np.asarray(archive["y"]).reshape(-1)[0])
-                    if row["has_x"]:
+                    if row["has_x"] and not arrays:
+                        row["raw_shape"] = _member_shape(archive, "x")
+                    elif row["has_x"]:
                         x = archive["x"]
                         row["raw_shape"] = list(x.shape)
                         if x.ndim in (3, 4):
@@ -73,12 +88,15 @@ def _payload_rows(batches):
                     TypeError, zipfile.BadZipFile) as problem:
                 row["read_error"] = str(problem)
             rows.append(row)
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in PAYLOAD.split(", ")])
+            if len(rows) == block:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Payload of every per-example archive below a folder."""
-    return _files(spark, path, "*.npz").mapInPandas(_payload_rows, PAYLOAD)
+def read_archives(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
+    """Payload of every per-example archive below a folder; without ``arrays`` only raw shapes and labels."""
+    return _files(spark, path, "*.npz").mapInPandas(lambda batches: _payload_rows(batches, arrays), PAYLOAD)
 
 
 def _shard_rows(batches):
@@ -131,11 +149,7 @@ def _shard_lengths(batches):
     for pdf in batches:
         counts = []
         for content in pdf["content"]:
-            handle = io.BytesIO(content)
-            version = np.lib.format.read_magic(handle)
-            read = (np.lib.format.read_array_header_1_0 if version == (1, 0)
-                    else np.lib.format.read_array_header_2_0)
-            shape = read(handle)[0]
+            shape = _header_shape(io.BytesIO(content))
             counts.append(shape[0] if shape else 1)
         yield pd.DataFrame({"path": pdf["path"], "n": counts})
 

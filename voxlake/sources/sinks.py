@@ -156,6 +156,30 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def report_table(table: DataFrame) -> DataFrame:
+    """Text form of a report table: six decimals, lists joined by ';'."""
+    def text(name: str, kind: str) -> Column:
+        if kind in ("double", "float"):
+            return F.when(F.col(name).isNotNull(), F.format_string("%.6f", name))
+        if kind.startswith("array"):
+            return F.array_join(F.col(name).cast("array<string>"), ";")
+        return F.col(name).cast("string")
+
+    return table.select(*[text(name, kind).alias(name) for name, kind in table.dtypes])
+
+
+def write_report_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Every table of a prediction report as CSV."""
+    for name, table in tables.items():
+        write_csv(report_table(table), f"{folder.rstrip('/')}/{name}")
+
+
+def write_stats(row: DataFrame, sizes: DataFrame, out: str) -> None:
+    """Normalisation statistics (one row) and the split sizes they stand for."""
+    row.write.mode("overwrite").parquet(f"{out}/normalization_stats")
+    sizes.coalesce(1).write.mode("overwrite").json(f"{out}/normalization_meta")
+
+
 def wide_confusion(cells: DataFrame, names: Sequence[str], header: str) -> DataFrame:
     """Square confusion table with a fixed column order."""
     return (
