@@ -27,6 +27,8 @@ SEED = 42
 #: Fingerprints of a shard aimed at, most levels of the shard tree, its sample; leaf of a tree, cells compared at a time.
 SHARD, LEVELS, SAMPLE = 32_768, 16, 16_384
 LEAF, CELLS = 256, 1 << 20
+#: Keys that a group's rows are joined under.
+SALTS = 32
 
 
 def shingle_hashes(text: str, words: int, bits: int = 64) -> np.ndarray:
@@ -289,7 +291,9 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64
     rooted = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
     linked = classes.join(rooted, F.col("fp") == F.col("node"))
     groups = linked.groupBy("root").agg(F.min("first").alias("group_first")).withColumnRenamed("root", "of")
-    named = linked.join(groups, F.col("root") == F.col("of")).select(F.col("fp").alias("linked_fp"), "group_first")
+    groups = groups.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))  # a large group meets its first row in several tasks
+    named = salted.join(groups, (F.col("root") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).select(F.col("fp").alias("linked_fp"), "group_first")
     whole = classes.join(named, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("group_first", "first").alias("head"))
     joined = rows.join(stored(whole, "groups"), F.col("fp") == F.col("class_fp"))
     return joined.select("doc_id", "row_id", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.row_id").alias("root_row"))
