@@ -154,11 +154,10 @@ def bin_edges(
         return df.sparkSession.createDataFrame([(list(map(float, custom)),)], "edges array<double>")
     if bins < 1:
         raise ValueError("the number of bins must be positive")
-    span = df.where(F.col(value).isNotNull()).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    span = span.where("lo is not null")
     lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
     close = F.abs(hi - lo) <= F.lit(1e-9) * F.greatest(F.abs(lo), F.abs(hi))
     if mode == "equal_width":
+        span = df.where(F.col(value).isNotNull()).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
         step = (hi - lo) / F.lit(float(bins))
         even = F.concat(
             F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: lo + i * step), F.array(hi)
@@ -168,10 +167,11 @@ def bin_edges(
         cuts = exact_quantiles(df, [], value, qs).agg(
             F.array_sort(F.collect_set("quantile")).alias("cuts")  # bins + 1 numbers
         )
-        span = span.crossJoin(F.broadcast(cuts))
+        span = cuts.select("cuts", F.array_min("cuts").alias("lo"), F.array_max("cuts").alias("hi"))
         even = F.when(F.size("cuts") < 2, _nudged(lo, hi)).otherwise(F.col("cuts"))
     else:
         raise ValueError(f"unknown binning mode {mode!r}")
+    span = span.where("lo is not null")
     return span.select(F.when(close, _nudged(lo, hi)).otherwise(even).alias("edges"))
 
 

@@ -41,6 +41,7 @@ def nearest_atoms(points: DataFrame, atoms: DataFrame, order: str = "line_no", s
     carried = [c for c in atoms.columns if c != "structure_id"]
     spark = points.sparkSession
     open_points = cut_lineage(points)
+    atoms = cut_lineage(atoms)  # every round reads them
     found: DataFrame | None = None
     width = start
     while not open_points.isEmpty():

@@ -15,14 +15,17 @@ from pyspark.sql import functions as F
 
 from voxlake.runtime import cut_lineage
 
-SKETCH_ACCURACY = 10000
-
 
 def bucket_count(df: DataFrame) -> int:
     """Buckets of a group: several for each shuffle partition, so no window limits the width."""
     return max(128, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def range_count(df: DataFrame) -> int:
+    """Ranges over all groups: two for each shuffle partition."""
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def seeded_hash(seed: int | str, *key: Column) -> Column:
     """Uniform hexadecimal order key; the same in every run for a seed."""
     return F.md5(F.concat_ws("_", F.lit(str(seed)), *[k.cast("string") for k in key]))
@@ -33,11 +36,24 @@ def _group_key(groups: Sequence[str]) -> Column:
     return F.struct(*groups) if groups else F.lit(0)
 
 
+def _bucket_offsets(keyed: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """One row per (_g, _bucket): its own totals ``_t_*``, those of all earlier
+    buckets ``_o_*`` and those of the whole group ``_s_*``.
+    """
+    per_bucket = keyed.groupBy("_g", "_bucket").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
+    order = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("_g")
+    return per_bucket.select(
+        "_g", "_bucket", *[f"_t_{n}" for n in sums],
+        *[F.coalesce(F.sum(f"_t_{n}").over(order), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{n}").over(everything).alias(f"_s_{n}") for n in sums],
+    )
+
+
 def _with_offsets(
     df: DataFrame, groups: Sequence[str], sums: dict[str, Column], before: int | None = None
 ) -> DataFrame:
-    """Add the group key ``_g``, the totals of all earlier buckets (``_o_*``)
-    and of the whole group (``_s_*``).
+    """Add the group key ``_g`` and the offsets ``_o_*`` and totals ``_s_*`` of each row's bucket.
 
     The join and the windows of the callers use the same key (_g, _bucket),
     so the rows are exchanged once. Without groups the buckets are few and
@@ -45,14 +61,7 @@ def _with_offsets(
     less than so many rows (sum ``n``) ahead of them.
     """
     keyed = df.withColumn("_g", _group_key(groups))
-    per_bucket = keyed.groupBy("_g", "_bucket").agg(*[c.alias(f"_t_{n}") for n, c in sums.items()])
-    order = Window.partitionBy("_g").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy("_g")
-    offsets = per_bucket.select(
-        "_g", "_bucket",
-        *[F.coalesce(F.sum(f"_t_{n}").over(order), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_t_{n}").over(everything).alias(f"_s_{n}") for n in sums],
-    )
+    offsets = _bucket_offsets(keyed, sums).drop(*[f"_t_{n}" for n in sums])
     if before is not None:
         offsets = offsets.where(F.col("_o_n") < before)
     return keyed.join(offsets if groups else F.broadcast(offsets), ["_g", "_bucket"])
@@ -84,8 +93,8 @@ def rank_by_hash(
 
 
 def rank_in_order(df: DataFrame, groups: Sequence[str], order: str, name: str = "rank") -> DataFrame:
-    """1-based rank inside each group by a distinct numeric order column."""
-    placed = _with_offsets(range_bucketed(df, [], order), groups, {"n": F.count("*")})
+    """1-based rank inside each group by a distinct, sortable order column."""
+    placed = _with_offsets(range_bucketed(df, groups, order), groups, {"n": F.count("*")})
     inside = Window.partitionBy("_g", "_bucket").orderBy(order)
     return placed.withColumn(
         name, (F.row_number().over(inside) + F.col("_o_n")).cast("bigint")
@@ -93,26 +102,14 @@ def rank_in_order(df: DataFrame, groups: Sequence[str], order: str, name: str =
 
 
 def range_bucketed(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Add an order-preserving bucket number from sketched quantiles.
+    """Add ``_bucket``, which follows the order of the values in every group.
 
-    The sketch only balances the buckets; exactness does not depend on it.
+    The buckets are the partitions of one range exchange over (groups, value):
+    a group of any share of the rows is cut into as many as it fills. They are
+    written once, since sampled bounds need not be the same in a second run.
     """
-    buckets = bucket_count(df)
-    steps = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*groups).agg(
-        F.array_sort(F.array_distinct(
-            F.percentile_approx(F.col(value).cast("double"), steps, SKETCH_ACCURACY)
-        )).alias("_edges")
-    )
-    if groups:
-        same = F.lit(True)
-        for g in groups:
-            same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-        joined = df.alias("l").join(edges.alias("r"), same).select("l.*", "r._edges")
-    else:
-        joined = df.crossJoin(F.broadcast(edges))  # one row, a few numbers for each shuffle partition
-    bucket = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
-    return joined.withColumn("_bucket", bucket).drop("_edges")
+    ranged = df.repartitionByRange(range_count(df), *groups, value)
+    return cut_lineage(ranged.withColumn("_bucket", F.spark_partition_id()))
 
 
 def running_totals(
@@ -121,10 +118,9 @@ def running_totals(
     """Inclusive running totals ``cum_<name>`` of the sums, by value order.
 
     ``df`` must hold one row per (group, value): ties are added up before, so
-    a value shared by a third of the rows is a single row here. The rows are
-    written once: the edges, the bucket totals and the windows all read them.
+    a value shared by a third of the rows is a single row here.
     """
-    bucketed = range_bucketed(cut_lineage(df), groups, value)
+    bucketed = range_bucketed(df, groups, value)
     if descending:
         bucketed = bucketed.withColumn("_bucket", -F.col("_bucket"))
     placed = _with_offsets(bucketed, groups, {s: F.sum(s) for s in sums})
@@ -141,36 +137,40 @@ def running_totals(
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, quantiles: Sequence[float]
 ) -> DataFrame:
-    """(groups, q, quantile): linear interpolation between order statistics."""
-    counts = cut_lineage(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = running_totals(counts, groups, "_v", ["n"])
+    """(groups, q, quantile): linear interpolation between order statistics.
+
+    Bucket totals tell which buckets hold a wanted rank; only their values are
+    exchanged and ranked.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(
+        *groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    keyed = range_bucketed(counts, groups, "_v").withColumn("_g", _group_key(groups))
+
+    def inside(rank: Column, start: Column, stop: Column) -> Column:
+        return (F.floor(rank) >= start) & (F.floor(rank) < stop) | (F.ceil(rank) >= start) & (F.ceil(rank) < stop)
+
     spots = F.transform(
         F.array(*[F.lit(float(q)) for q in quantiles]),
-        lambda q: F.struct(q.alias("q"), (q * (F.sum("n") - 1)).alias("at")),
+        lambda q: F.struct(q.alias("q"), (q * (F.col("_s_n") - 1)).alias("at")),
+    )
+    start = F.col("_o_n")
+    wanted = _bucket_offsets(keyed, {"n": F.sum("n")}).select(
+        "_g", "_bucket", "_o_n",
+        F.filter(spots, lambda t: inside(t["at"], start, start + F.col("_t_n"))).alias("_spots"),
+    ).where(F.size("_spots") > 0)
+    # without groups at most two buckets for each quantile
+    placed = keyed.join(wanted if groups else F.broadcast(wanted), ["_g", "_bucket"])
+    order = Window.partitionBy("_g", "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_upto", F.sum("n").over(order) + F.col("_o_n"))
+    before, upto = F.col("_upto") - F.col("n"), F.col("_upto")
+    hits = ranked.select(
+        *groups, "_v", before.alias("_before"), "_upto",
+        F.explode(F.filter("_spots", lambda t: inside(t["at"], before, upto))).alias("t"),
     )
-    targets = counts.groupBy(*groups).agg(spots.alias("_spots"))
-    if groups:
-        same = F.lit(True)
-        for g in groups:
-            same = same & F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
-        joined = ranked.alias("l").join(targets.alias("r"), same).select("l.*", "r._spots")
-    else:
-        joined = ranked.crossJoin(F.broadcast(targets))  # one row, len(quantiles) numbers
-    before, upto = F.col("cum_n") - F.col("n"), F.col("cum_n")
 
     def covers(rank: Column) -> Column:
-        return (rank >= before) & (rank < upto)
+        return (rank >= F.col("_before")) & (rank < F.col("_upto"))
 
-    hits = joined.select(
-        *groups, "_v", "n", "cum_n",
-        F.explode(F.filter(
-            "_spots", lambda t: covers(F.floor(t["at"])) | covers(F.ceil(t["at"]))
-        )).alias("t"),
-    )
     low = F.max(F.when(covers(F.floor("t.at")), F.col("_v")))
     high = F.max(F.when(covers(F.ceil("t.at")), F.col("_v")))
     share = F.first("t.at") - F.floor(F.first("t.at"))
