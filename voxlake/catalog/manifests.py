@@ -275,6 +275,12 @@ def activity_skips(spark, d):
     return matched_activity(spark, d).where("skip is not null").groupBy("skip").agg(F.count("*").alias("n"))
 
 
+@query("activity_values", "SELECT o_orderkey AS row_no, 'S' || (o_orderkey % 120) AS structure_id, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_custkey % 50 AS INTEGER) ELSE -1 END AS res_no, o_orderpriority AS mutation, round(CAST(o_totalprice AS DOUBLE) / 1000, 4) AS value FROM orders JOIN customer ON o_custkey = c_custkey")
+def activity_values(spark, d):
+    rows = activity.activity_rows(activity_input(spark, d))
+    return V.rounded(rows.select("row_no", "structure_id", F.coalesce("res_no", F.lit(-1)).alias("res_no"), "mutation", "value"), 4, "value")
+
+
 BUILT = V.with_sql(V.BOXED, ACTIVITY) + """,
 sums AS (SELECT structure_id, chain_id, res_no, res_name, CAST(sum(v) AS BIGINT) AS atoms FROM voxels GROUP BY ALL)
 SELECT j.row_no, j.structure_id || '_' || j.chain_id || '_' || j.res_no || '_' || j.ordinal AS example_id, atoms
@@ -449,13 +455,20 @@ def correctness_groups(spark, d):
     return V.rounded(s, 4, "mean", "low", "high", "q1", "median", "q3")
 
 
+@query("topk_labels", """
+WITH parts AS (SELECT o_orderkey, str_split(upper(o_orderpriority) || '| ' || lower(o_orderstatus) || 'la |  ||x' || o_custkey, '|') AS p FROM orders)
+SELECT o_orderkey, array_to_string([upper(left(trim(t), 1)) || lower(substr(trim(t), 2, 2)) FOR t IN p IF trim(t) <> ''], '|') AS labels FROM parts""")
+def topk_label_rows(spark, d):
+    text = F.concat(F.upper("o_orderpriority"), F.lit("| "), F.lower("o_orderstatus"), F.lit("la |  ||x"), F.col("o_custkey").cast("string"))
+    return V.table(spark, d, "orders").select("o_orderkey", F.array_join(access.topk_labels(text), "|").alias("labels"))
+
+
 # ---- incremental -----------------------------------------------------------
 
 @query("config_fingerprints", "SELECT p_size, left(sha256('{\"box\":\"' || p_size || '\",\"scheme\":\"element4\"}'), 16) AS tag FROM (SELECT DISTINCT p_size FROM part)")
 def config_fingerprints(spark, d):
     p = V.table(spark, d, "part").select("p_size").distinct()
-    text = F.to_json(F.create_map(F.lit("box"), F.col("p_size").cast("string"), F.lit("scheme"), F.lit("element4")))
-    return p.select("p_size", F.substring(F.sha2(text, 256), 1, 16).alias("tag"))
+    return p.select("p_size", config_fingerprint({"scheme": "element4", "box": F.col("p_size")}).alias("tag"))
 
 
 @query("reconciled_accessions", "SELECT CAST(c_custkey AS VARCHAR) AS accession, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS landed FROM customer")

@@ -10,7 +10,7 @@ from voxlake.catalog import views as V
 from voxlake.functions.residues import label_name, normalize_label, parse_label
 from voxlake.operators import metrics as M
 from voxlake.operators.embeddings import embedding_sample, principal_variances
-from voxlake.operators.scoring import score_samples, with_predictions
+from voxlake.operators.scoring import format_site, score_samples, structure_name, with_predictions
 from voxlake.runtime import cut_lineage
 
 QUERIES, SQL = {}, {}
@@ -114,6 +114,44 @@ def evaluation_report(spark, d):
     return V.rounded(r, 6, "accuracy", "top5")
 
 
+WHOLE_REPORT = {"accuracy": "accuracy", "balanced_accuracy": "balanced_accuracy", "topk_accuracy": "top3", "auroc": "auroc", "average_precision": "prauc"}
+
+
+@query("whole_evaluation", "SELECT 'residue_identity' AS task, " + ", ".join(WHOLE_REPORT.values())
+       + ", (SELECT CAST(sum(n) AS BIGINT) FROM (" + SQL["confusion_ids"] + ")) AS num_examples FROM "
+       + " CROSS JOIN ".join(f"({SQL[name]}) AS {name}_row" for name in WHOLE_REPORT))
+def whole_evaluation(spark, d):
+    r = M.evaluate(cut_lineage(scored(spark, d)), ["accuracy", "balanced_accuracy", "top3", "auroc", "prauc", "confusion"], "residue_identity", 20)
+    counted = F.aggregate("confusion", F.lit(0).cast("bigint"), lambda t, c: t + c["n"])
+    return V.rounded(r.select("task", *WHOLE_REPORT.values(), counted.alias("num_examples")), 6, *WHOLE_REPORT.values())
+
+
+@query("regression_report", "SELECT 'regression' AS task, (SELECT count(*) FROM lineitem) AS num_examples, * FROM (" + SQL["regression_metrics"] + ")")
+def regression_report(spark, d):
+    r = M.evaluate(regression_rows(spark, d), None, "regression")
+    return r.select("task", "num_examples", F.round("mae", 3).alias("mae"), F.round("mse", 0).alias("mse"), F.round("rmse", 3).alias("rmse"))
+
+
+@query("site_names", """
+WITH p AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN ' S' || o_custkey || ' ' WHEN o_orderkey % 3 = 1 THEN '' END AS sid,
+                  'f' || (o_custkey % 10) AS folder, CASE WHEN o_orderkey % 5 = 0 THEN 'm' || o_custkey || '__x__' || o_orderkey ELSE 'n' || o_orderkey END AS stem FROM orders)
+SELECT o_orderkey,
+       CASE WHEN o_orderkey % 4 <> 0 THEN 'A:' || (o_custkey % 50) || ':GLY' WHEN o_orderkey % 8 = 0 THEN 'e' || o_orderkey
+            WHEN o_orderkey % 5 = 0 THEN 'x__' || o_orderkey ELSE stem END AS site,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'S' || o_custkey WHEN o_orderkey % 5 = 0 THEN 'm' || o_custkey ELSE folder END AS structure_name FROM p""")
+def site_names(spark, d):
+    o = V.table(spark, d, "orders")
+    path = F.expr("""concat('/data/f', o_custkey % 10, '/',
+        CASE WHEN o_orderkey % 5 = 0 THEN concat('m', o_custkey, '__x__', o_orderkey) ELSE concat('n', o_orderkey) END, '.npz')""")
+    named = o.select(
+        "o_orderkey", path.alias("path"),
+        F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat(' S', o_custkey, ' ') WHEN o_orderkey % 3 = 1 THEN '' END").alias("structure_id"),
+        F.lit(" A ").alias("chain_id"), (F.col("o_custkey") % 50).alias("res_no"),
+        F.expr("CASE WHEN o_orderkey % 4 <> 0 THEN 'gly' END").alias("res_name"),
+        F.expr("CASE WHEN o_orderkey % 8 = 0 THEN concat('e', o_orderkey) ELSE '' END").alias("example_id"))
+    return named.select("o_orderkey", format_site(F.col("path")).alias("site"), structure_name(F.col("path")).alias("structure_name"))
+
+
 def fixed_scorer(block):
     """Channel sums of each sample, repeated: a stand-in for a model."""
     sums = block.reshape(len(block), block.shape[1], -1).astype(np.float64).sum(axis=2)

@@ -366,6 +366,42 @@ def exposed_surface(spark, d):
     return e.groupBy(*RESIDUE_KEY).agg(F.sum("exposed").alias("exposed"))
 
 
+# Largest possible residue areas (published theoretical set, 2013).
+LARGEST = """('ALA', 129), ('ARG', 274), ('ASN', 195), ('ASP', 193), ('CYS', 167), ('GLN', 225), ('GLU', 223), ('GLY', 104), ('HIS', 224), ('ILE', 197), ('LEU', 201), ('LYS', 236), ('MET', 224), ('PHE', 240), ('PRO', 159), ('SER', 155), ('THR', 172), ('TRP', 285), ('TYR', 263), ('VAL', 174)"""
+_PARTS = {"total": "true", "sidechain": "NOT main", "mainchain": "main", "polar": "polar", "apolar": "NOT polar"}
+AREAS = SURFACE[:SURFACE.rindex("\nSELECT s.structure_id")] + f""",
+area AS (SELECT s.structure_id, s.chain_id, s.res_no, s.res_name, atom IN ('N', 'CA', 'C', 'O') AS main, element IN ('N', 'O') AS polar,
+                4 * pi() * rad * rad * (92 - coalesce(n, 0)) / 92e0 AS a
+         FROM sized s LEFT JOIN hidden h ON h.structure_id = s.structure_id AND h.line_no = s.line_no),
+sums AS (SELECT structure_id, chain_id, res_no, res_name, {', '.join(f'coalesce(sum(a) FILTER ({c}), 0) AS {n}' for n, c in _PARTS.items())} FROM area GROUP BY 1, 2, 3, 4)
+SELECT structure_id, chain_id, res_no, res_name, {', '.join(f'round({n}, 3) AS abs_{n}, round({n} / largest, 5) AS rel_{n}' for n in _PARTS)}
+FROM sums LEFT JOIN (VALUES {LARGEST}) AS m(name, largest) ON name = res_name"""
+
+
+@query("residue_areas", AREAS)
+def residue_area_rows(spark, d):
+    t = P.sasa_table(V.atoms(spark, d))
+    measures = {f"{kind}_{n}": digits for kind, digits in (("abs", 3), ("rel", 5)) for n in _PARTS}
+    return t.select(*RESIDUE_KEY, *[F.round(n, digits).alias(n) for n, digits in measures.items()])
+
+
+ODD = V.with_sql(V.ATOMS) + """,
+odd AS (SELECT structure_id, chain_id || CASE WHEN res_no % 2 = 0 THEN 'x' ELSE 'y' END AS chain_id, res_no,
+               CASE WHEN res_no % 5 = 0 THEN 'UNK' ELSE res_name END AS res_name, list(DISTINCT atom) AS names FROM atoms GROUP BY ALL)
+SELECT chain_id, CASE WHEN res_name = 'UNK' THEN 'invalid_label' WHEN NOT list_has_all(names, ['N', 'CA', 'C']) THEN 'missing_atoms' ELSE 'usable' END AS outcome,
+       count(*) AS n FROM odd GROUP BY 1, 2"""
+
+
+@query("odd_residues", ODD)
+def odd_residues(spark, d):
+    """Residues with unknown names and chains of several characters."""
+    atoms = V.atoms(spark, d).withColumns({
+        "chain_id": F.concat("chain_id", F.when(F.col("res_no") % 2 == 0, "x").otherwise("y")),
+        "res_name": F.when(F.col("res_no") % 5 == 0, "UNK").otherwise(F.col("res_name"))})
+    s = screen_centres(residues_from_atoms(atoms), VoxelConfig(template="backbone"))
+    return s.groupBy("chain_id", F.coalesce("skip", F.lit("usable")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
 @query("residue_vocabulary", f"SELECT s_suppkey, {V.RES}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS res3, substr('{K.ONE_LETTER}', CAST(s_suppkey % 20 AS INTEGER) + 1, 1) AS res1, {V.sql_list([K.GROUP_OF[i] for i in range(20)])}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS grp, {V.sql_list([K.TYPE_OF[n] for n in K.TITLE_NAMES])}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS aa_type, {[len(K.TEMPLATE_OF[n]) for n in K.RESIDUES]}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS atoms FROM supplier")
 def residue_vocabulary(spark, d):
     s = V.table(spark, d, "supplier").withColumn("label", F.expr("cast(s_suppkey % 20 as int)"))

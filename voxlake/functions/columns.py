@@ -200,8 +200,11 @@ def npz_hits(text: Column) -> Column:
 
 
 def config_fingerprint(config: dict) -> Column:
-    """Short hash of a configuration, independent of the key order."""
-    items = [x for k in sorted(config) for x in (F.lit(str(k)), F.lit(str(config[k])))]
+    """Short hash of a configuration, independent of the key order; values may be columns."""
+    items = [
+        x for k in sorted(config) for x in
+        (F.lit(str(k)), config[k].cast("string") if isinstance(config[k], Column) else F.lit(str(config[k])))
+    ]
     return F.substring(F.sha2(F.to_json(F.create_map(*items)), 256), 1, 16)
 
 
