@@ -275,10 +275,10 @@ def activity_skips(spark, d):
     return matched_activity(spark, d).where("skip is not null").groupBy("skip").agg(F.count("*").alias("n"))
 
 
-@query("activity_values", "SELECT o_orderkey AS row_no, 'S' || (o_orderkey % 120) AS structure_id, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_custkey % 50 AS INTEGER) ELSE -1 END AS res_no, o_orderpriority AS mutation, round(CAST(o_totalprice AS DOUBLE) / 1000, 4) AS value FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("activity_values", "SELECT o_orderkey AS row_no, 'S' || (o_orderkey % 120) AS structure_id, CASE WHEN o_orderkey % 31 <> 0 THEN CAST(o_custkey % 50 AS INTEGER) ELSE -1 END AS res_no, o_orderpriority AS mutation, round(CAST(o_totalprice AS DOUBLE) / 1000, 6) AS value FROM orders JOIN customer ON o_custkey = c_custkey")
 def activity_values(spark, d):
     rows = activity.activity_rows(activity_input(spark, d))
-    return V.rounded(rows.select("row_no", "structure_id", F.coalesce("res_no", F.lit(-1)).alias("res_no"), "mutation", "value"), 4, "value")
+    return V.rounded(rows.select("row_no", "structure_id", F.coalesce("res_no", F.lit(-1)).alias("res_no"), "mutation", "value"), 6, "value")
 
 
 BUILT = V.with_sql(V.BOXED, ACTIVITY) + """,

@@ -47,19 +47,22 @@ def pick_centres(
 
 def build_sites(
     atoms: DataFrame, config: VoxelConfig, targets: DataFrame | None = None,
-    max_sites: int | None = None, seed: int = 0,
+    max_sites: int | None = None, seed: int = 0, landed: bool = False,
 ) -> Examples:
     """Atoms -> packed voxel examples.
 
     ``targets`` is (structure_id, positions) for the mutated-site or
     active-site modes. The sampling comes before the label and template
-    filters, as the counters expect.
+    filters, as the counters expect. ``landed`` writes the examples once, for
+    callers that use both results: the counters then need no box join of their own.
     """
     residues = pick_centres(residues_from_atoms(atoms), targets, max_sites, seed)
     screened = screen_centres(residues, config)
     usable = screened.where("skip is null")
     counts = voxel_counts(box_join(usable, atoms, config))
     packed = pack_examples(counts, config)
+    if landed:
+        packed = cut_lineage(packed)
     dense_enough = usable.select(*RESIDUE_KEY).join(
         packed.select(*RESIDUE_KEY), RESIDUE_KEY, "left_anti"
     ).agg(F.count("*").alias("n")).select(F.lit("density").alias("skip"), "n")
@@ -79,7 +82,8 @@ def build_folder(
 ) -> Examples:
     """Structure files below a folder -> packed examples; of one id the first path is built."""
     files = first_files(discover_structures(spark, path, glob, recursive))
-    return build_sites(cut_lineage(parse_atoms(structure_lines(files), include_hetero)), config, targets, max_sites, seed)
+    atoms = cut_lineage(parse_atoms(structure_lines(files), include_hetero))
+    return build_sites(atoms, config, targets, max_sites, seed, landed=True)
 
 
 def site_manifest(samples: DataFrame, root: str, config: VoxelConfig) -> DataFrame:
