@@ -432,6 +432,80 @@ def test_minima_lose_no_similar_pair(spark, monkeypatch, crowd):
                 assert group[i] != group[j]
 
 
+def plain_shingles(text, words):
+    parts = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if w]
+    return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+
+def plain_similar(texts, words, similarity):
+    """Group number of each text: exact Jaccard of every pair; texts without words are one group."""
+    sets = [plain_shingles(t, words) for t in texts]
+    group = list(range(len(texts)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if (not sets[i] and not sets[j]) or (shared and shared >= similarity * (len(sets[i]) + len(sets[j]) - shared) - 1e-9):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def plain_representatives(rows, words=5, similarity=0.8):
+    """Smallest doc_id of each group; the rows have distinct ids."""
+    best = {}
+    for (i, _), g in zip(rows, plain_similar([t for _, t in rows], words, similarity), strict=True):
+        best[g] = min(best.get(g, i), i)
+    return sorted(best.values())
+
+
+def similar_texts():
+    """Copies around similarity 0.8 on both sides, of every length."""
+    rng, texts = random.Random(8), []
+    fresh = lambda: f"w{rng.randint(0, 10**6)}"
+    for n in [*range(1, 16), *range(20, 110, 9), 180, 300, 454]:
+        base = [fresh() for _ in range(n)]
+        texts.append(base)
+        for share in (0.6, 0.7, 0.78, 0.8, 0.82, 0.9):
+            size = max(1, n - 4)
+            cut = round(size * (1 - share))  # words cut at the end: similarity (size - cut) / size
+            texts += [base[: n - cut], [*base[: n - cut // 2], *(fresh() for _ in range(cut - cut // 2))]]
+            k = round(size * (1 - share) / (1 + share) / 5 + 0.3)  # each edit changes five shingles on both sides
+            copy = list(base)
+            for at in rng.sample(range(n), min(n, k)):
+                copy[at] = fresh()
+            texts.append(copy)
+    line = [fresh() for _ in range(30)]
+    texts += [[*line, *(fresh() for _ in range(rng.randint(0, 60)))] for _ in range(60)]  # one line in common
+    return [" ".join(t) for t in texts] + ["", " "]
+
+
+@pytest.mark.parametrize("work", [neardup.WORK, 2000])
+def test_representatives_are_those_of_exact_similarity(spark, monkeypatch, work):
+    monkeypatch.setattr(neardup, "WORK", work)
+    texts = similar_texts()
+    random.Random(1).shuffle(texts)
+    rows = list(enumerate(texts))
+    table = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "similar")
+    assert sorted(r["doc_id"] for r in neardup.keep_representatives(table).collect()) == plain_representatives(rows)
+
+
+def test_candidates_lie_within_the_finder():
+    rng, radius = np.random.default_rng(6), neardup.finder_radius(0.8, 128)
+    worst = 0
+    for n in (neardup.FEW + 1, 90, 180, 450):
+        for _ in range(300):
+            hashes = rng.integers(0, 256, (n + n // 9, 16), dtype=np.uint8)
+            a, b = (np.frombuffer(neardup.majority(x), "<u8") for x in (hashes[:n], hashes[n // 9 :]))
+            worst = max(worst, int(np.bitwise_count(a ^ b).sum()))
+    assert 25 < worst <= radius < 50
+
+
 def test_shards_lose_no_pair(spark, monkeypatch):
     rng = np.random.default_rng(9)
     centres = rng.integers(0, 2**64, 60, dtype=np.uint64)

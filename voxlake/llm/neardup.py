@@ -7,10 +7,14 @@ comes within the radius of the border, so it is sent to its own shard and to
 those shards whose borders it overlaps. Each shard builds a tree of its own,
 prunes branches in the same way and compares what is left bit by bit. Pairs are
 folded into a spanning forest at once, so a large group yields few edges.
+
+Where a similarity of shingle sets decides, fingerprints are only the finder: the
+sets of each group found are compared with each other, shingle by shingle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,6 +33,8 @@ SHARD, LEVELS, SAMPLE = 32_768, 16, 16_384
 LEAF, CELLS = 256, 1 << 20
 #: Keys that a group's rows are joined under.
 SALTS = 32
+#: Texts of at most FEW shingles are found by shared shingles; shingles that a task compares, aimed at.
+FEW, WORK = 64, 4_000_000
 
 
 def shingle_hashes(text: str, words: int, bits: int = 64) -> np.ndarray:
@@ -272,6 +278,24 @@ def edges_by_minima(rows: DataFrame, radius: int) -> DataFrame:
     return edges.unionByName(near_edges(dense, radius))
 
 
+def _first_order() -> F.Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
+
+
+def named_groups(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, row_id, fp, component_id, root_row of rows, whose classes (fp, first) the edges a, b link."""
+    stars = star_components(edges)
+    rooted = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    linked = classes.join(rooted, F.col("fp") == F.col("node"))
+    groups = linked.groupBy("root").agg(F.min("first").alias("group_first")).withColumnRenamed("root", "of")
+    groups = groups.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))  # a large group meets its first row in several tasks
+    named = salted.join(groups, (F.col("root") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).select(F.col("fp").alias("linked_fp"), "group_first")
+    whole = classes.join(named, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("group_first", "first").alias("head"))
+    joined = rows.join(stored(whole, "groups"), F.col("fp") == F.col("class_fp"))
+    return joined.select("doc_id", "row_id", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.row_id").alias("root_row"))
+
+
 def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64, minima: int = 0) -> DataFrame:
     """doc_id, row_id, fp, component_id, root_row of every row.
 
@@ -285,30 +309,163 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64
     other columns are ignored; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, words, bits, minima), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
-    classes = stored(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes")
-    stars = star_components(edges_by_minima(rows, radius) if minima else near_edges(classes, radius))
-    rooted = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
-    linked = classes.join(rooted, F.col("fp") == F.col("node"))
-    groups = linked.groupBy("root").agg(F.min("first").alias("group_first")).withColumnRenamed("root", "of")
-    groups = groups.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))  # a large group meets its first row in several tasks
-    named = salted.join(groups, (F.col("root") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).select(F.col("fp").alias("linked_fp"), "group_first")
-    whole = classes.join(named, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("group_first", "first").alias("head"))
-    joined = rows.join(stored(whole, "groups"), F.col("fp") == F.col("class_fp"))
-    return joined.select("doc_id", "row_id", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.row_id").alias("root_row"))
+    classes = stored(rows.groupBy("fp").agg(F.min(_first_order()).alias("first")), "classes")
+    return named_groups(rows, classes, edges_by_minima(rows, radius) if minima else near_edges(classes, radius))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets of at least the similarity, so many first elements of each in any common order share one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def finder_radius(similarity: float, bits: int) -> int:
+    """Six deviations beyond the mean distance of fingerprints of equally large sets of this similarity."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(bits, math.ceil(bits * share + 6 * math.sqrt(bits * share * (1 - share))))
+
+
+def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit hashes in order, and where each stands first among the 128-bit hashes."""
+    return np.unique(np.ascontiguousarray(hashes).view("<u8")[:, 0], return_index=True)
+
+
+def set_rows(docs: DataFrame, place: str, words: int, similarity: float, minima: int) -> DataFrame:
+    """doc_id, row_id (the column place), fp (digest of the shingle set), print (its fingerprint), size, minima (over FEW shingles), few (prefix shingles of sets that may be similar to one of FEW)."""
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = {"fp": [], "print": [], "size": [], "minima": [], "few": []}
+        for text in batch["text"].to_pylist():
+            hashes = shingle_hashes(text, words, 128)
+            own, at = shingle_set(hashes)
+            n = len(own)
+            out["fp"].append(xxhash.xxh128_digest(own.tobytes(), SEED))
+            out["print"].append(majority(hashes[at]))
+            out["size"].append(n)
+            out["minima"].append(shingle_minima(hashes[at], minima) if n > FEW else [])
+            out["few"].append(own[: prefix_length(n, similarity)].view(np.int64).tolist() if n * similarity <= FEW + 1e-9 else [])
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], **{c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(place).alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return map_rows(rows, part, "doc_id long, row_id long, fp binary, print binary, size long, minima array<bigint>, few array<bigint>")
+
+
+def candidate_groups(classes: DataFrame, similarity: float, bits: int = 128) -> DataFrame:
+    """fp, size, row_id, comp: sets that have any other within their group comp; similar sets are in one group.
+
+    Sets of more than FEW shingles are linked by fingerprints that share a
+    minimum and lie within the finder's radius; smaller ones, and those up to
+    FEW / similarity, by any shared prefix shingle, which misses none.
+    """
+    many = edges_by_minima(classes.where(F.col("size") > FEW).select(F.col("print").alias("fp"), "minima"), finder_radius(similarity, bits))
+    keyed = stored(classes.select("fp", F.explode("few").alias("shingle")), "few")
+    shared = keyed.groupBy("shingle").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("shingle").alias("of"), "b")
+    few = keyed.join(shared, F.col("shingle") == F.col("of")).select(F.col("fp").alias("a"), "b")
+    both = classes.where((F.col("size") > FEW) & (F.size("few") > 0)).select(F.col("fp").alias("a"), F.col("print").alias("b"))
+    stars = star_components(many.unionByName(few).unionByName(both))
+    nodes = classes.select("fp", "size", F.col("first.row_id").alias("row_id"), F.when(F.col("size") > FEW, F.col("print")).otherwise(F.col("fp")).alias("at"))
+    return nodes.join(stars, F.col("at") == F.col("node"), "left").select("fp", "size", "row_id", F.coalesce("root", "at").alias("comp"))
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of all pairs of sets with at least this Jaccard similarity; prefix filter in order of frequency, then counts."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((rank[ids], owner))  # owners keep their stretches
+    inside = np.arange(len(ids)) - (ends - sizes)[owner] < np.array([prefix_length(int(n), similarity) for n in sizes])[owner]
+    picked = order[inside & (counts[ids[order]] > 1)]
+    token, holder = ids[picked], owner[picked]
+    by_token = np.argsort(token, kind="stable")
+    postings, first = holder[by_token], np.searchsorted(token[by_token], np.arange(len(counts) + 1))
+    own_first = np.searchsorted(holder, np.arange(len(sets) + 1))
+    label, members, edges = np.arange(len(sets)), {i: [i] for i in range(len(sets))}, []
+    mark = np.zeros(len(counts), bool)
+    for i in range(len(sets)):
+        lists = [postings[first[t] : first[t + 1]] for t in token[own_first[i] : own_first[i + 1]].tolist()]
+        if not lists:
+            continue
+        near = np.unique(np.concatenate(lists))
+        near = near[(near < i) & (label[near] != label[i])]
+        near = near[np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9]
+        mark[ids[ends[i] - sizes[i] : ends[i]]] = True
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            shared = int(np.count_nonzero(mark[ids[ends[j] - sizes[j] : ends[j]]]))
+            if shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9:
+                edges.append((i, j))
+                a, b = sorted((int(label[i]), int(label[j])), key=lambda x: len(members[x]))
+                label[members[a]] = b
+                members[b] += members.pop(a)
+                near = near[label[near] != b]
+        mark[ids[ends[i] - sizes[i] : ends[i]]] = False
+    return edges
+
+
+def similar_edges(docs: DataFrame, place: str, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: forests of the pairs of fp in each group of found whose shingle sets have the similarity.
+
+    A group's sets meet in one task; of a group with more than WORK shingles,
+    every two parts meet.
+    """
+    loads = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / WORK).cast("int").alias("parts")).where("n > 1").select(F.col("comp").alias("of"), "parts")
+    dealt = found.join(loads, F.col("comp") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    dealt = stored(dealt.select("fp", "comp", "parts", "own", F.col("row_id").alias("of_row")), "candidates")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [shingle_set(shingle_hashes(t, words, 128))[0].tobytes() for t in batch["text"].to_pylist()]
+        return columns(fp=batch["fp"], comp=batch["comp"], parts=batch["parts"], own=batch["own"], shingles=pa.array(out, pa.binary()))
+
+    texts = docs.select(F.col(place).alias("at_row"), F.coalesce("text", F.lit("")).alias("text"))
+    held = map_rows(texts.join(dealt, F.col("at_row") == F.col("of_row")).select("fp", "comp", "parts", "own", "text"), sets, "fp binary, comp binary, parts int, own int, shingles binary")
+    pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = pairs.select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "shingles")
+    keys = ("comp", "low", "high")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fps, own = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            edges = similar_forest(own, similarity) if len(own) > 1 else []
+            if edges:
+                yield columns(**{c: pa.array([fps[e[k]] for e in edges], pa.binary()) for k, c in enumerate("ab")})
+
+        for batch in batches:
+            for *key, fp, shingles in zip(*(batch[c].to_pylist() for c in (*keys, "fp", "shingles")), strict=True):
+                if key != held:
+                    yield from close()
+                    held, fps, own = key, [], []
+                fps.append(fp)
+                own.append(np.frombuffer(shingles, "<u8"))
+        yield from close()
+
+    return pairs.repartition(shuffle_width(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(link, "a binary, b binary")
+
+
+def similar_groups(docs: DataFrame, place: str, words: int, similarity: float, bits: int = 128, minima: int = 10) -> DataFrame:
+    """Like near_groups, but texts are linked whose sets of shingles have at least this Jaccard similarity.
+
+    row_id is docs' column place; docs is read twice, so place must be a stored
+    column. Texts without words are linked with each other.
+    """
+    rows = stored(set_rows(docs, place, words, similarity, minima), "shingle-sets")
+    classes = rows.groupBy("fp").agg(F.min(_first_order()).alias("first"), *(F.first(c).alias(c) for c in ("print", "size", "minima", "few")))
+    classes = stored(classes, "classes")
+    return named_groups(rows, classes, similar_edges(docs, place, candidate_groups(classes, similarity, bits), words, similarity))
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 128, minima: int = 10) -> DataFrame:
-    """Rows of docs, all columns, one of each group of texts with equal shares of bits of at least similarity.
+    """Rows of docs, all columns, one of each group of texts whose sets of shingles have at least the Jaccard similarity.
 
-    128 bits keep unrelated texts apart at this radius: the share of their pairs
-    within 25 bits is about 1e-12. At such a radius borders part nothing, so
-    texts are compared within groups that share a shingle minimum; of pairs
-    with similarity 0.8, one in ten million shares none of ten. docs must be a
-    stored table (read twice the same way).
+    Fingerprints and shared shingles find the pairs (candidate_groups), the sets
+    decide. Of pairs with similarity 0.8 and over FEW shingles, one in ten
+    million shares none of ten minima, and about as few lie beyond the radius;
+    smaller texts are found without loss.
     """
     place = "__row_id"
-    radius = int((1 - similarity) * bits + 1e-9)
-    kept = near_groups(docs, words, radius, bits, minima).where(F.col("row_id") == F.col("root_row")).select(F.col("row_id").alias(place))
+    kept = similar_groups(docs.withColumn(place, F.monotonically_increasing_id()), place, words, similarity, bits, minima)
+    kept = kept.where(F.col("row_id") == F.col("root_row")).select(F.col("row_id").alias(place))
     return docs.withColumn(place, F.monotonically_increasing_id()).join(kept, place, "left_semi").drop(place)
