@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from voxlake.llm import bpe, exact, idfiles, licenses, neardup, packing, quality, token_counts, topk, urls
+from voxlake.llm import bpe, exact, idfiles, licenses, neardup, packing, quality, shared, token_counts, topk, urls
 from voxlake.llm.queries import QUERIES, SQL
 from voxlake.llm.shared import ascii_lower, stored, tokenizer_json
 
@@ -306,6 +306,29 @@ def test_perfect_hash_is_minimal_and_checked(spark, docs):
     assert len(found) == docs.count() and all(r["member"] == (bytes(r["digest"]) in old) for r in found)
 
 
+@pytest.mark.parametrize("keep", [exact.keep_winners, neardup.keep_representatives])
+def test_kept_rows_do_not_depend_on_splits(spark, monkeypatch, keep):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(300)]
+    rows = [(i, texts[i % 300]) for i in range(600)]
+    table = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), "copies")
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+
+    def then_other_splits(df, label):
+        out = stored(df, label)
+        spark.conf.set(size, "3k")
+        return out
+
+    for module in (exact, neardup, shared):
+        monkeypatch.setattr(module, "stored", then_other_splits)
+    try:
+        kept = sorted(r["doc_id"] for r in keep(table).collect())
+    finally:
+        spark.conf.set(size, before)
+    assert kept == (list(range(300, 600)) if keep is exact.keep_winners else list(range(300)))
+
+
 # 8 --------------------------------------------------------------------------
 
 

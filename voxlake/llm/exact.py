@@ -17,21 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored
+from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored, with_places
 
 #: Digests of a shard aimed at, and most shards; the table of shard sizes is broadcast, so it is bounded by the latter.
 SHARD, MAX_SHARDS = 32_768, 65_536
 SIZE = 32  # bytes of a digest
 
 
-def text_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row_id, digest: SHA-256 of the text with A-Z lower-cased; null counts as empty."""
+def text_digests(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """doc_id, row_id, digest: SHA-256 of the text with A-Z lower-cased; null counts as empty.
+
+    row_id is the column place; without one, the row's place in this reading.
+    """
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [hashlib.sha256(ascii_lower(t)).digest() for t in batch["text"].to_pylist()]
         return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], digest=pa.array(out, pa.binary()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    row_id = F.col(place) if place else F.monotonically_increasing_id()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id.alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
     return map_rows(rows, part, "doc_id long, row_id long, digest binary")
 
 
@@ -167,15 +171,16 @@ def digest_groups(digests: DataFrame) -> DataFrame:
     return digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row_id")).alias("winner"), F.count(F.lit(1)).alias("size"))
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, place: str | None = None) -> DataFrame:
     """doc_id, row_id, keep_id, keep_row, group_size, kept, text_sha256 of every row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty.
     The row with the largest doc_id stays; of rows that also share it, the last
     in reading order, so one row of each text stays. Rows without doc_id lose to
     rows with one. Other columns are ignored; an empty table gives no rows.
+    row_id is the column place, if given.
     """
-    digests = stored(text_digests(docs), "digests")
+    digests = stored(text_digests(docs, place), "digests")
     recurring = stored(digest_groups(digests).where(F.col("size") > 1), "recurring")
     shards = max(1, min(MAX_SHARDS, -(-recurring.count() // SHARD)))
     shards = max(shards, min(MAX_SHARDS, shuffle_width(docs.sparkSession)))
@@ -205,9 +210,10 @@ def new_groups(digests: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 def keep_winners(docs: DataFrame) -> DataFrame:
     """Rows of docs, all columns, with one row for each text.
 
-    The row is carried through its own place in the table, so docs must be read
-    the same way twice (a stored table).
+    A row's place differs between readings with other splits, so docs is
+    written once with it, and only that table is read.
     """
     place = "__row_id"
-    kept = exact_groups(docs).where("kept").select(F.col("row_id").alias(place))
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(kept, place, "left_semi").drop(place)
+    placed = with_places(docs, place)
+    kept = exact_groups(placed, place).where("kept").select(F.col("row_id").alias(place))
+    return placed.join(kept, place, "left_semi").drop(place)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.components import star_components
-from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored
+from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored, with_places
 
 SEED = 42
 #: Fingerprints of a shard aimed at, most levels of the shard tree, its sample; leaf of a tree, cells compared at a time.
@@ -466,6 +466,7 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     smaller texts are found without loss.
     """
     place = "__row_id"
-    kept = similar_groups(docs.withColumn(place, F.monotonically_increasing_id()), place, words, similarity, bits, minima)
+    placed = with_places(docs, place)  # a row's place differs between readings with other splits
+    kept = similar_groups(placed, place, words, similarity, bits, minima)
     kept = kept.where(F.col("row_id") == F.col("root_row")).select(F.col("row_id").alias(place))
-    return docs.withColumn(place, F.monotonically_increasing_id()).join(kept, place, "left_semi").drop(place)
+    return placed.join(kept, place, "left_semi").drop(place)

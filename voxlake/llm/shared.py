@@ -23,6 +23,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_places(docs: DataFrame, place: str) -> DataFrame:
+    """docs written once, with each row's place in this one reading as a column."""
+    return stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
