@@ -104,6 +104,16 @@ def test_quality_cases(spark, docs, none):
     assert quality.judged(none, untrained).count() == 0
 
 
+def test_score_depends_on_its_text_alone():
+    net, rng = quality.ByteNet.fresh(quality.Training()), np.random.default_rng(5)
+    for n in (0, 1, *range(118, 132), *range(248, 260), 1000, 1023, 1024):
+        text = rng.integers(1, 256, n, dtype=np.uint8).tobytes()
+        alone = net.scores([text])[0]
+        for _ in range(10):
+            others = [rng.integers(1, 256, rng.integers(1, 400), dtype=np.uint8).tobytes() for _ in range(2)]
+            assert net.scores([others[0], text, others[1]])[1] == pytest.approx(alone, abs=1e-6)
+
+
 def test_gradients_agree_with_differences():
     t = quality.Training(filters=3, hidden=2, embed=2)
     net = quality.ByteNet.fresh(t)

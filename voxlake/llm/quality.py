@@ -39,16 +39,21 @@ class Training:
 
 
 def _layout(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Padded bytes of a batch, the windows past a text's end, blocks and chunks."""
+    """Padded bytes of a batch, the windows past a text's end, blocks and chunks.
+
+    At least WIDTH zero bytes follow each text, if need be in a block more that
+    holds no window, so no window reads the next text.
+    """
     span = STRIDE * BLOCK
     lengths = np.array([max(1, len(t)) for t in texts])
     windows = -(-lengths // STRIDE)
     blocks = -(-windows // BLOCK)
-    data = b"".join(t.ljust(n * span, b"\0") for t, n in zip(texts, blocks.tolist(), strict=True)) + bytes(WIDTH)
-    first = np.cumsum(blocks) - blocks
-    total = int(blocks.sum())
-    doc = np.repeat(np.arange(len(texts)), blocks)
-    filled = np.minimum(BLOCK, windows[doc] - BLOCK * (np.arange(total) - first[doc]))
+    laid = -(-(lengths + WIDTH) // span)
+    data = b"".join(t.ljust(n * span, b"\0") for t, n in zip(texts, laid.tolist(), strict=True)) + bytes(WIDTH)
+    first = np.cumsum(laid) - laid
+    total = int(laid.sum())
+    doc = np.repeat(np.arange(len(texts)), laid)
+    filled = np.clip(windows[doc] - BLOCK * (np.arange(total) - first[doc]), 0, BLOCK)
     chunks = np.maximum(1, blocks - 1)
     chunk_doc = np.repeat(np.arange(len(texts)), chunks)
     left = first[chunk_doc] + np.arange(len(chunk_doc)) - (np.cumsum(chunks) - chunks)[chunk_doc]
