@@ -581,3 +581,27 @@ def test_pipeline_stages_take_odd_rows(spark, docs, none):
         for _, stage in corpus_pipeline.STAGES:
             table = stored(stage(spark, table, SF), "stage")
         assert table.columns[:2] == ["doc_id", "start"]
+
+
+def test_pipeline_equals_plain_computation(spark):
+    sf = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(similar_texts())] + [(2 * 10**6, "Same TEXT twice"), (2 * 10**6 + 1, "same text TWICE")], "doc_id long, text string")
+    docs = stored(sf.unionByName(more), "plain")
+    stages = dict(corpus_pipeline.STAGES)
+
+    net = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {i: net.scores([t.encode()])[0] for i, t in pairs(docs)}
+    kept = {i for i, _ in pairs(stages["quality"](spark, docs, SF))}
+    close = {i for i, s in scores.items() if abs(s - quality.THRESHOLD) < 1e-5}
+    assert kept - close == {i for i, s in scores.items() if s >= quality.THRESHOLD} - close
+
+    winners = {}
+    for i, t in pairs(docs):
+        winners[ascii_lower(t)] = max(winners.get(ascii_lower(t), i), i)
+    exact_kept = stored(stages["exact dedup"](spark, docs, SF), "exact")
+    assert sorted(i for i, _ in pairs(exact_kept)) == sorted(winners.values())
+
+    near_kept = stored(stages["near dedup"](spark, exact_kept, SF), "near")
+    assert sorted(i for i, _ in pairs(near_kept)) == plain_representatives(pairs(exact_kept))
+
+    check_pieces(stages["packing"](spark, near_kept, SF).collect(), pairs(near_kept))
