@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import bpe, exact, idfiles, licenses, neardup, packing, quality, token_counts, topk, urls
+from voxlake.llm import bpe, exact, idfiles, licenses, neardup, packing, quality, substrings, token_counts, topk, urls
 from voxlake.llm.shared import table
 
 
@@ -54,9 +54,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality, op3_bpe, op4_url_filters, op5_topk, op6_packing, op7_exact_dedup, op8_id_files, op9_licenses, op10_near_dedup)
+    for f in (op1_token_counts, op2_quality, op3_bpe, op4_url_filters, op5_topk, op6_packing, op7_exact_dedup, op8_id_files, op9_licenses, op10_near_dedup, op11_substring_dedup)
 } | {"pipeline": corpus_pipeline.run}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
