@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxlake.llm import bpe, exact, idfiles, licenses, neardup, packing, quality, substrings, token_counts, topk, urls
+from voxlake.llm import alignment, bpe, exact, idfiles, licenses, neardup, packing, quality, substrings, token_counts, topk, urls, whitening
 from voxlake.llm.shared import table
 
 
@@ -58,9 +58,17 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality, op3_bpe, op4_url_filters, op5_topk, op6_packing, op7_exact_dedup, op8_id_files, op9_licenses, op10_near_dedup, op11_substring_dedup)
+    for f in (op1_token_counts, op2_quality, op3_bpe, op4_url_filters, op5_topk, op6_packing, op7_exact_dedup, op8_id_files, op9_licenses, op10_near_dedup, op11_substring_dedup, op12_alignment, op13_whitening)
 } | {"pipeline": corpus_pipeline.run}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
