@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.bpe import BYTES
+from voxlake.llm.bpe import BYTES, UNUSUAL, bulk
 from voxlake.llm.shared import columns, slices, stored
 from voxlake.runtime import spread
 
@@ -36,15 +39,15 @@ FAN = 3
 #: Distinct pairs of a block's dictionary: indexes then take two bytes.
 PAIRS = 1 << 16
 #: Bytes of words remembered with their ids in a process.
-KNOWN = 48 << 20
+KNOWN = 96 << 20
+#: Words whose characters every library takes alike, without white space at their ends.
+PLAIN = re.compile(f"(?=\\S){UNUSUAL.pattern.replace('[^', '[', 1)}*(?<=\\S)")
 
 #: A space between two other characters: no token of either side reaches across it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _definitions(byte_level: str, pieces: str) -> tuple[str, str]:
-    import os
-
     import public_tokenizers
 
     return tuple(x if os.path.isabs(x) else public_tokenizers.path(x) for x in (byte_level, pieces))
@@ -72,7 +75,9 @@ class Pair:
         self.first = Tokenizer.from_file(byte_level)
         self.first.encode_special_tokens = True
         size = self.first.get_vocab_size()
-        special = {t.content for t in self.first.get_added_tokens_decoder().values()}
+        self.special = special = {t.content for t in self.first.get_added_tokens_decoder().values()}
+        with open(byte_level, encoding="utf-8") as file:
+            self.bulk = bulk(file.read())
         texts = [self.first.id_to_token(i) for i in range(size)]
         self.a = Side([b"" if t is None else t.encode() if t in special else bytes(map(BYTES.__getitem__, t)) for t in texts])
         self.second = sentencepiece.SentencePieceProcessor(model_file=pieces)
@@ -92,29 +97,60 @@ class Pair:
         self.starts, self.sound = [np.zeros(1, np.int64), np.zeros(1, np.int64)], np.zeros(0, bool)
 
     def learn(self, words: Iterable[str]) -> None:
-        """Tokenize words not met before."""
+        """Tokenize words not met before: plain ones in one run, as tokens end where words do, others one by one."""
         new = [w for w in dict.fromkeys(words) if w not in self.codes]
         if not new:
             return
-        spaced = [" " + w for w in new]
-        found = [[e.ids for e in self.first.encode_batch(spaced, add_special_tokens=False)], self.second.encode(new)]
-        self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
-        joins = lambda side, ids: b"".join([side.entries[i] for i in ids])
+        easy, hard = [], []
+        for w in new:
+            (easy if PLAIN.fullmatch(w) else hard).append(w)
+        if any(s in w for s in self.special for w in easy if "<" in w):
+            hard += [w for w in easy if any(s in w for s in self.special)]
+            easy = [w for w in easy if not any(s in w for s in self.special)]
+        parts = [self._run(easy)] if easy else []
+        if parts == [None]:
+            parts, hard, easy = [], [*easy, *hard], []
+        if hard:
+            parts.append(self._each(hard))
+        (a, a_ends), (b, b_ends) = (_chained([x[k] for x in parts]) for k in (0, 1))
+        sound = np.concatenate([x[2] for x in parts])
+        self.codes.update(zip([*easy, *hard], range(len(self.codes), len(self.codes) + len(new)), strict=True))
+        for k, (flat, ends) in enumerate(((a, a_ends), (b, b_ends))):
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + ends])
+            self.held[k] = np.concatenate([self.held[k], flat])
+        self.sound = np.concatenate([self.sound, sound])
+        self.bytes += sum(map(len, new)) + 200 * len(new)
+
+    def _run(self, words: list[str]) -> tuple | None:
+        """Ids of both sides with each word's end; None if any token reaches across words."""
+        spaced = " " + " ".join(words)
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + 1)
+        a = self.bulk.ids[np.frombuffer(array("I", self.bulk.tiktoken.encode_ordinary(spaced)), np.uint32)].astype(np.int64)
+        b = np.array(self.second.encode(spaced[1:]), np.int64)
+        out = []
+        for side, ids in ((self.a, a), (self.b, b)):
+            stops = np.cumsum(side.length[ids])
+            at = np.searchsorted(stops, ends)
+            if len(stops) <= at[-1] or (stops[at] != ends).any() or b"".join([side.entries[i] for i in ids.tolist()]) != spaced.encode():
+                return None
+            out.append((ids, at + 1))
+        return *out, np.ones(len(words), bool)
+
+    def _each(self, words: list[str]) -> tuple:
+        spaced = [" " + w for w in words]
+        found = [[self.first.encode(s, add_special_tokens=False).ids for s in spaced], self.second.encode(words)]
         whole = [s.encode("utf-8", "surrogatepass") for s in spaced]
+        joins = lambda side, ids: b"".join([side.entries[i] for i in ids])
         sound = [joins(self.a, x) == w and joins(self.b, y) == w for x, y, w in zip(*found, whole, strict=True)]
-        self.sound = np.concatenate([self.sound, np.array(sound, bool)])
-        for k, ids in enumerate(found):
-            flat = np.fromiter((i for x in ids for i in x), np.int64)
-            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum([len(x) for x in ids])])
-            self.held[k] = np.concatenate([self.held[k], flat])
-        self.bytes += sum(len(w) + 200 for w in new)
+        flat = [(np.fromiter(chain.from_iterable(ids), np.int64), np.cumsum([len(x) for x in ids])) for ids in found]
+        return *flat, np.array(sound, bool)
 
     def tokens(self, texts: list[list[str]]) -> list[Tokens]:
         """Of each text, given as words: ids of both sides and whether both join to the text."""
         if self.bytes > KNOWN:
             self.forget()
-        self.learn(w for words in texts for w in words)
-        codes = np.fromiter(map(self.codes.__getitem__, (w for words in texts for w in words)), np.int64)
+        self.learn(chain.from_iterable(texts))
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(texts)), np.int64)
         bounds = np.cumsum([0, *map(len, texts)])
         sound = np.concatenate([[0], np.cumsum(~self.sound[codes])]) if len(codes) else np.zeros(1, np.int64)
         flat, at = [], []
@@ -130,6 +166,12 @@ class Pair:
         return out
 
 
+def _chained(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of ids one behind the other, with the ends of their words."""
+    before = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([ends + n for (_, ends), n in zip(parts, before, strict=False)])
+
+
 @dataclass
 class Tokens:
     a: np.ndarray
@@ -142,6 +184,13 @@ def pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
+def union(*parts: np.ndarray) -> np.ndarray:
+    """Distinct values in order; quick where the parts are sorted."""
+    values = np.concatenate(parts)
+    values.sort(kind="stable")
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def words_of(text: str) -> list[str]:
     return SAFE.split(text) if text else []
 
@@ -152,7 +201,7 @@ def linked(p: Pair, a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np
     Between two neighbouring ends of either side lies one token of each side, and
     each overlapping pair has one such stretch.
     """
-    ends = np.union1d(a_ends, b_ends)
+    ends = union(a_ends, b_ends)
     return a[np.searchsorted(a_ends, ends)] * p.n_b + b[np.searchsorted(b_ends, ends)], ends
 
 
@@ -283,10 +332,11 @@ class Blocks:
         self.next, self.held, self.known = prefix, [], np.zeros(0, np.int64)
 
     def add(self, part: Aligned) -> Iterator[pa.RecordBatch]:
-        both = np.union1d(self.known, part.pairs)
+        own = union(part.pairs)
+        both = union(self.known, own)
         if self.held and len(both) > PAIRS:
             yield from self.close()
-            both = np.unique(part.pairs)
+            both = own
         self.held.append(part)
         self.known = both
 
