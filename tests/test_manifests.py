@@ -17,7 +17,7 @@ from voxlake.plans.reports import annotate_sasa, annotate_sasa_files
 from voxlake.sources.manifests import (
     list_files, read_accession_pages, read_id_list, read_manifest, read_sasa_cif, read_scop,
 )
-from voxlake.sources.samples import load_split_parts, read_samples
+from voxlake.sources.samples import load_split_parts, read_samples, shard_files
 from voxlake.sources.sinks import write_report_tables
 from voxlake.streaming.incremental import build_incremental, reconcile_accessions
 
@@ -175,7 +175,7 @@ def test_bundles(spark, tmp_path):
     for p, labels in (("v", [4, 5]), ("t", [6])):
         dat(root / "x" / f"X{p}_smooth_1.dat", np.ones((len(labels), 4, 2, 2, 2), np.float32))
         dat(root / "x" / f"y{p}_1.dat", np.array(labels, dtype=np.float32))
-    rows = load_split_parts(spark, str(root)).orderBy("split", "shard", "sample_index").collect()
+    rows = load_split_parts(shard_files(spark, str(root))).orderBy("split", "shard", "sample_index").collect()
     assert [(r["split"], r["label"]) for r in rows] == [("test", 6), ("train", 1), ("train", 2), ("train", 3), ("val", 4), ("val", 5)]
     datasets.convert_bundles(spark, str(root), str(tmp_path / "out"), ["train", "val", "test"], [1], 2, {"channels": 4, "class_map": {"HIS": 0}})
     meta = {r["split"]: r for r in spark.read.json(str(tmp_path / "out" / "metadata")).collect()}

@@ -61,4 +61,4 @@ def test_feature_matrices(spark, tmp_path):
 
 def test_sasa_table(spark):
     rows = {r["res_name"]: r for r in sasa_table(spark.createDataFrame(TOY, ATOMS)).collect()}
-    assert abs(rows["GLY"]["rel_total"] - rows["GLY"]["abs_total"] / 104.0) < 1e-12
+    assert abs(rows["SER"]["rel_total"] - rows["SER"]["abs_total"] / 155.0) < 1e-12

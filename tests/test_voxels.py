@@ -10,18 +10,16 @@ from voxlake.plans.voxels import build_activity, build_sites, legacy_boxes, site
 from voxlake.sources.sinks import activity_manifest, write_samples, write_sites
 
 ATOMS = "structure_id string, line_no int, atom string, res_name string, chain_id string, res_no int, x double, y double, z double, element string"
+#: Two residues of a made-up chain, all heavy atoms, at places of our own.
+SPOTS = {
+    ("SER", 14): {"N": (-0.4, 1.3, 0.2), "CA": (0.7, 0.6, -0.3), "CB": (0.85, -0.75, 0.45), "OG": (2.15, -1.3, 0.2), "C": (1.9, 1.45, 0.1), "O": (2.05, 2.6, -0.25)},
+    ("CYS", 15): {"SG": (4.4, 3.9, 2.35), "N": (2.8, 0.9, 0.95), "O": (6.3, 0.95, 1.85), "CB": (4.15, 2.15, 2.7), "C": (5.15, 0.55, 1.6), "CA": (4.05, 1.55, 1.3)},
+}
 TOY = [
-    ("S1", 1, "N", "ALA", "A", 1, -0.4, 1.3, 0.2, "N"),
-    ("S1", 2, "CA", "ALA", "A", 1, 0.7, 0.6, -0.3, "C"),
-    ("S1", 3, "C", "ALA", "A", 1, 1.9, 1.45, 0.1, "C"),
-    ("S1", 4, "O", "ALA", "A", 1, 2.05, 2.6, -0.25, "O"),
-    ("S1", 5, "CB", "ALA", "A", 1, 0.85, -0.75, 0.45, "C"),
-    ("S1", 6, "N", "GLY", "A", 2, 2.8, 0.9, 0.95, "N"),
-    ("S1", 7, "CA", "GLY", "A", 2, 4.05, 1.55, 1.3, "C"),
-    ("S1", 8, "C", "GLY", "A", 2, 5.15, 0.55, 1.6, "C"),
-    ("S1", 9, "O", "GLY", "A", 2, 6.3, 0.95, 1.85, "O"),
+    ("T7", 10 * number + i, atom, name, "B", number, *spot, atom[0])
+    for (name, number), atoms in SPOTS.items() for i, (atom, spot) in enumerate(atoms.items())
 ]
-CHANNEL = {"O": 0, "C": 1, "N": 2}
+CHANNEL = {"O": 0, "C": 1, "N": 2, "S": 3}
 
 
 def plain_axes(name):
@@ -56,8 +54,8 @@ def test_two_residue_golden_voxels(spark, toy):
     for r in counts:
         assert r["v"] == 1.0
         found.setdefault(r["res_name"], set()).add((r["ch"], r["ix"], r["iy"], r["iz"]))
-    assert found == {name: plain_voxels(name) for name in ("ALA", "GLY")}
-    assert len(found["ALA"]) == 4 and len(found["GLY"]) == 5
+    assert found == {name: plain_voxels(name) for name in ("SER", "CYS")}
+    assert len(found["SER"]) == len(found["CYS"]) == 6
 
 
 def brute_smooth(block):
@@ -92,14 +90,14 @@ def test_isolated_atom_peak(spark, toy):
     x = {r["res_name"]: np.array(r["x"]).reshape(4, 20, 20, 20) for r in dense_samples(built.packed, VoxelConfig()).collect()}
     taps = np.exp(-0.5 * (np.arange(-2, 3) / 0.6) ** 2)
     peak = 1000 * (taps[2] / taps.sum()) ** 3
-    (alone,) = [c for c in plain_voxels("ALA") if c[0] == CHANNEL["N"]]  # the only nitrogen around
-    assert abs(x["ALA"][alone] - peak) < 0.01
+    (alone,) = [c for c in plain_voxels("SER") if c[0] == CHANNEL["N"]]  # the only nitrogen around
+    assert abs(x["SER"][alone] - peak) < 0.01
 
 
 def test_skip_reasons_and_modes(spark, toy):
     extra = spark.createDataFrame([
-        ("S1", 10, "CA", "XXX", "A", 3, 0.0, 9.0, 0.0, "C"),
-        ("S1", 11, "CA", "SER", "A", 4, 0.0, 8.0, 0.0, "C"),
+        ("T7", 510, "CA", "XXX", "B", 3, 0.0, 9.0, 0.0, "C"),
+        ("T7", 511, "CA", "SER", "B", 4, 0.0, 8.0, 0.0, "C"),
         ("S2", 1, "N", "GLY", "A", 1, 0.0, 0.0, 0.0, "N"),
         ("S2", 2, "CA", "GLY", "A", 1, 1.0, 0.0, 0.0, "C"),
         ("S2", 3, "C", "GLY", "A", 1, 2.0, 0.0, 0.0, "C"),
@@ -112,9 +110,9 @@ def test_skip_reasons_and_modes(spark, toy):
     built = build_sites(toy.union(extra), VoxelConfig())
     assert {r["skip"]: r["n"] for r in built.skipped.collect()} == {
         "invalid_label": 1, "missing_atoms": 1, "degenerate": 1, "density": 1}
-    assert sorted(r["example_id"] for r in built.packed.collect()) == ["S1_A_1_ALA", "S1_A_2_GLY"]
-    targets = spark.createDataFrame([("S1", "2; 7")], "structure_id string, positions string")
-    assert [r["res_no"] for r in build_sites(toy, VoxelConfig(), targets).packed.collect()] == [2]
+    assert sorted(r["example_id"] for r in built.packed.collect()) == ["T7_B_14_SER", "T7_B_15_CYS"]
+    targets = spark.createDataFrame([("T7", "15; 7")], "structure_id string, positions string")
+    assert [r["res_no"] for r in build_sites(toy, VoxelConfig(), targets).packed.collect()] == [15]
     assert build_sites(toy, VoxelConfig(), max_sites=1).packed.count() == 1
 
 
@@ -126,42 +124,42 @@ def test_samples_and_manifest_round_trip(spark, toy, tmp_path):
     sites = site_manifest(stored, "/voxels", config)
     write_sites(sites, str(tmp_path / "sites"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "sites")).collect()
-    assert [r["example_id"] for r in rows] == ["S1_A_1_ALA", "S1_A_2_GLY"]
-    assert rows[0]["label"] == "9" and rows[0]["sample_path"] == "/voxels/S1/S1_A_1_ALA.npz"
+    assert [r["example_id"] for r in rows] == ["T7_B_14_SER", "T7_B_15_CYS"]
+    assert rows[0]["label"] == "5" and rows[0]["sample_path"] == "/voxels/T7/T7_B_14_SER.npz"
 
 
 def test_activity_examples(spark, toy):
-    structures = spark.createDataFrame([("S1", "/p/S1.pdb", 0)], "structure_id string, pdb_path string, row_no int")
+    structures = spark.createDataFrame([("T7", "/p/T7.pdb", 0)], "structure_id string, pdb_path string, row_no int")
     activity = spark.createDataFrame([
-        (0, "S1", "A", "1", "L7Q", "0.75"), (1, "S1", "A", "7", "", "2"), (2, "S9", "A", "1", "", "3"),
-        (3, "S1", "", "1", "", "4"),
+        (0, "T7", "B", "14", "L7Q", "0.75"), (1, "T7", "B", "7", "", "2"), (2, "S9", "A", "1", "", "3"),
+        (3, "T7", "", "14", "", "4"),
     ], "row_no int, structure_id string, chain_id string, res_no string, mutation string, activity_value string")
     built = build_activity(toy, structures, activity, VoxelConfig())
     rows = built.packed.collect()
-    assert [(r["example_id"], r["value"], r["mutation"]) for r in rows] == [("S1_A_1_0", 0.75, "L7Q")]
+    assert [(r["example_id"], r["value"], r["mutation"]) for r in rows] == [("T7_B_14_0", 0.75, "L7Q")]
     assert {r["skip"]: r["n"] for r in built.skipped.collect()} == {"missing_residue": 2, "missing_structure": 1}
     whole = build_activity(toy, structures, activity, VoxelConfig(), "whole_structure")
     kept = whole.packed.collect()
-    assert {r["example_id"] for r in kept} == {"S1_whole"} and len(kept) == 3
+    assert {r["example_id"] for r in kept} == {"T7_whole"} and len(kept) == 3
     manifest = activity_manifest(built.packed, "/act")
     assert manifest.columns == ["example_id", "structure_id", "chain_id", "res_no", "mutation", "label", "task", "sample_path", "channel_scheme", "example_unit"]
     (line,) = manifest.collect()
-    assert (line["label"], line["sample_path"], line["example_unit"]) == ("0.75", "/act/S1/S1_A_1_0.npz", "mutation_site")
+    assert (line["label"], line["sample_path"], line["example_unit"]) == ("0.75", "/act/T7/T7_B_14_0.npz", "mutation_site")
     assert activity_manifest(whole.packed, "/act").where("chain_id = '' and res_no = ''").count() == 3
     total = sum(c["v"] for c in kept[0]["cells"])
-    assert abs(total - (4 + 5) / 2) < 1e-6
+    assert abs(total - (6 + 6) / 2) < 1e-6
 
 
 def test_last_atom_row_wins(spark, toy):
-    twice = toy.union(spark.createDataFrame([("S1", 99, "CA", "ALA", "A", 1, 7.0, 7.0, 7.0, "C")], ATOMS))
-    ala = residues_from_atoms(twice).where("res_name = 'ALA'").first()
-    assert ala["ca"]["x"] == 7.0
-    full = atom_positions(twice).where("res_name = 'ALA'").first()["atoms"]
-    assert full["CA"]["y"] == 7.0 and len(full) == 5
+    twice = toy.union(spark.createDataFrame([("T7", 999, "CA", "SER", "B", 14, 7.0, 7.0, 7.0, "C")], ATOMS))
+    own = residues_from_atoms(twice).where("res_name = 'SER'").first()
+    assert own["ca"]["x"] == 7.0
+    full = atom_positions(twice).where("res_name = 'SER'").first()["atoms"]
+    assert full["CA"]["y"] == 7.0 and len(full) == 6
 
 
 def test_surface_against_brute_force(spark, toy):
-    radii = {"C": 1.7, "N": 1.55, "O": 1.52}
+    radii = {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}
     got = {r["line_no"]: r for r in exposed_points(toy, ["structure_id", "line_no"]).collect()}
     points = np.array(sphere_points(92))
     xyz = np.array([t[6:9] for t in TOY])
@@ -180,6 +178,6 @@ def test_surface_against_brute_force(spark, toy):
 
 
 def test_legacy_boxes_run(spark, toy):
-    far = spark.createDataFrame([("S1", 20, "CA", "TRP", "B", 1, 95.0, 3.0, 3.0, "C")], ATOMS)
+    far = spark.createDataFrame([("T7", 520, "CA", "TRP", "B", 1, 95.0, 3.0, 3.0, "C")], ATOMS)
     boxes = legacy_boxes(toy.union(far), density=0.0, block=2).collect()
     assert boxes and all(b["block"] == 0 for b in boxes)

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxlake import constants as K
 from voxlake.catalog import views as V
 from voxlake.functions.columns import (
-    bin_labels, config_fingerprint, file_stem, infer_metadata, labels_match, parse_example_name, resolve_path,
+    bin_labels, config_fingerprint, file_stem, labels_match, parse_example_name, resolve_path,
 )
 from voxlake.operators import access, activity, quality
 from voxlake.operators.residues import residues_from_atoms
 from voxlake.operators.voxels import VoxelConfig
+from voxlake.plans.checks import manifest_fields, repair_summary, repaired_rows, salvaged_sources, validate_manifest
 from voxlake.plans.voxels import build_activity
 from voxlake.runtime import cut_lineage, fresh_dir
-from voxlake.streaming.incremental import reconcile_accessions, run_incremental
+from voxlake.sources.arrays import named_payload, write_file
+from voxlake.sources.sinks import write_csv
+from voxlake.streaming.incremental import append_ledgers, ledgers, reconcile_accessions, run_incremental
 
 QUERIES, SQL = {}, {}
 
@@ -146,6 +152,39 @@ def payload_errors(spark, d):
     return keyed(payload_problems(spark, d))
 
 
+def written_archives(spark, d):
+    """One archive for each supplier, written by tasks; some lack an array, some are no archive."""
+    folder = fresh_dir(spark, "archives")
+    s = V.table(spark, d, "supplier").select(F.concat(F.lit(f"{folder}/S"), "s_suppkey", F.lit(".npz")).alias("path"), "s_suppkey", "s_nationkey")
+
+    def write(batches):
+        for pdf in batches:
+            for path, key, nation in zip(pdf["path"], pdf["s_suppkey"], pdf["s_nationkey"]):
+                parts = {"x": np.full((4, 2, 2, 2 + key % 2), key, np.float32), "y": np.int64(nation)}
+                for name, every in (("x", 7), ("y", 5)):
+                    if key % every == 0:
+                        del parts[name]
+                data = io.BytesIO()
+                np.savez(data, **parts)
+                write_file(path, b"no archive" if key % 11 == 0 else data.getvalue())
+            yield pdf[["path"]]
+
+    return s.mapInPandas(write, "path string")
+
+
+@query("archive_flags", """
+SELECT s_suppkey, s_suppkey % 11 = 0 AS unreadable, s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0 AS has_x, s_suppkey % 11 <> 0 AND s_suppkey % 5 <> 0 AS has_y,
+  CASE WHEN s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0 THEN 4 * 2 * 2 * (2 + s_suppkey % 2) ELSE 0 END AS cells, CASE WHEN s_suppkey % 11 <> 0 AND s_suppkey % 5 <> 0 THEN CAST(s_nationkey AS DOUBLE) END AS y
+FROM supplier""")
+def archive_flags(spark, d):
+    """What the importer finds in files of real bytes, by the names of a table."""
+    named = cut_lineage(written_archives(spark, d))
+    found = named_payload(named).withColumn("s_suppkey", F.regexp_extract("path", "/S(\\d+)\\.npz$", 1).cast("bigint"))
+    cells = F.aggregate(F.coalesce("raw_shape", F.array().cast("array<int>")), F.lit(1).cast("bigint"), lambda a, b: a * b)
+    return found.select("s_suppkey", F.col("read_error").isNotNull().alias("unreadable"), "has_x", "has_y",
+                        F.when(F.col("has_x"), cells).otherwise(F.lit(0)).alias("cells"), "y")
+
+
 _COUNTS = ", ".join(f"count(*) FILTER (code = '{c}') AS {n}" for n, c in quality.COUNTERS.items())
 
 
@@ -225,6 +264,64 @@ def label_equality(spark, d):
         labels_match(F.col("l_tax").cast("string"), F.col("l_discount"), "regression").alias("same_value"))
 
 
+TEXT_HEADER = ["sample_path", "label", "example_id", "note"]
+
+
+def manifest_text(spark, d):
+    """A manifest of several files, each with its header; notes hold line breaks, commas and quotes."""
+    li = V.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").distinct()
+    stem = F.concat_ws("_", F.concat(F.lit("S"), "l_orderkey"), "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    note = F.expr("CASE l_partkey % 4 WHEN 0 THEN concat('two\\nlines ', l_suppkey) WHEN 1 THEN 'said \"a, b\"\\n' WHEN 2 THEN concat('x', l_suppkey) ELSE '\\n\\n\"' END")
+    rows = li.select(F.concat(stem, F.lit(".npz")).alias("sample_path"), F.when(F.expr("l_orderkey % 83 = 0"), "").otherwise(F.expr("cast(l_partkey % 20 as string)")).alias("label"), stem.alias("example_id"), note.alias("note"))
+    path = fresh_dir(spark, "manifest")
+    write_csv(rows.repartition(5, "example_id"), path)
+    return path
+
+
+TEXT = """
+WITH li AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag FROM lineitem),
+t AS (SELECT 'S' || l_orderkey || '_' || l_partkey || '_' || l_suppkey || '_' || l_linenumber || '_' || l_returnflag AS example_id, CASE WHEN l_orderkey % 83 = 0 THEN '' ELSE CAST(l_partkey % 20 AS VARCHAR) END AS label,
+             CASE l_partkey % 4 WHEN 0 THEN 'two' || chr(10) || 'lines ' || l_suppkey WHEN 1 THEN 'said "a, b"' || chr(10) WHEN 2 THEN 'x' || l_suppkey ELSE chr(10) || chr(10) || '"' END AS note FROM li)
+"""
+
+
+@query("manifest_records", TEXT + "SELECT example_id || '.npz' AS sample_path, label, example_id, note FROM t")
+def manifest_records(spark, d):
+    """Records of manifest text with line breaks in quotes, as fields."""
+    header, rows = manifest_fields(spark, manifest_text(spark, d))
+    return rows.select(*[F.get("fields", F.lit(header.index(c))).alias(c) for c in TEXT_HEADER])
+
+
+@query("text_validation", TEXT + "SELECT count(*) AS total_rows_scanned, count(*) FILTER (label <> '') AS rows_validated, 0 AS corrupted_rows, count(*) FILTER (label = '') AS empty_labels FROM t")
+def text_validation(spark, d):
+    """The validation job over manifest text of several files."""
+    summary, errors = validate_manifest(spark, manifest_text(spark, d), "/none", check_files=False)
+    empty = errors.agg(F.count_if(F.col("code") == "empty_label").alias("empty_labels"))
+    return summary.select("total_rows_scanned", "rows_validated", "corrupted_rows").crossJoin(F.broadcast(empty))  # one row each
+
+
+REPAIR = MAN.rstrip() + """,
+old AS (SELECT example_id, path, row_no FROM man WHERE NOT merged AND NOT broken
+        UNION ALL SELECT example_id, path, row_no FROM man, (SELECT unnest([1, 2])) WHERE merged AND ends_with(path, '.npz')),
+disk AS (SELECT DISTINCT example_id, '/root/' || path AS path FROM clean WHERE l_suppkey % 11 <> 0),
+named AS (SELECT example_id FROM old WHERE path <> '' UNION ALL SELECT example_id FROM disk),
+n AS (SELECT (SELECT count(*) FROM disk) AS disk, (SELECT count(*) FROM old) AS salvaged, (SELECT count(*) FROM named) AS named,
+             (SELECT count(DISTINCT example_id) FROM named) AS kept, (SELECT count(*) FILTER (merged AND ends_with(path, '.npz')) FROM man) AS joined,
+             (SELECT count(*) FILTER (broken OR (merged AND NOT ends_with(path, '.npz'))) FROM man) AS failed)
+SELECT disk AS files_discovered_on_disk, disk AS rows_recovered_from_disk, salvaged AS rows_salvaged_from_manifest, named - kept AS duplicates_removed,
+       kept - disk AS invalid_files_skipped, disk AS rows_written, 0 AS rows_missing_metadata, joined AS likely_concatenated_rows_detected, failed AS parse_failures FROM n"""
+
+
+@query("repair_counters", REPAIR)
+def repair_counters(spark, d):
+    """The nine counters of a repair, observed in the two jobs that land its rows."""
+    files = cut_lineage(listing(spark, d))
+    found = quality.salvage_rows(field_rows(spark, d), HEADER)
+    merged, counted = salvaged_sources(found, quality.disk_rows(files, "/root/v", "residue_identity", "element4"))
+    _, ends = repaired_rows(merged, files, "residue_identity", "element4", dedupe=True)
+    return spark.createDataFrame([repair_summary(counted, ends, True)])
+
+
 # ---- activity --------------------------------------------------------------
 
 def activity_input(spark, d):
@@ -372,8 +469,11 @@ def annotated_predictions(spark, d):
 
 @query("missing_scores", ACC + "SELECT DISTINCT s AS structure_id, n AS res_no, res_name FROM final WHERE ok AND total IS NULL")
 def missing_scores(spark, d):
+    """Against a bucketed cache, which is joined where it lies."""
     wanted = access.requested_residues(matched_predictions(spark, d))
-    return access.missing_from_cache(wanted, score_table(spark, d)).select("structure_id", "res_no", "res_name")
+    path = fresh_dir(spark, "cache")
+    cache = access.write_cache(score_table(spark, d), path.split("/")[-1].replace("-", "_"), path, 8)
+    return access.missing_from_cache(wanted, cache, 8).select("structure_id", "res_no", "res_name")
 
 
 @query("requested_scores", ACC + "SELECT DISTINCT s AS structure_id, n AS res_no, res_name, round(total, 2) AS abs_total FROM final WHERE ok AND total IS NOT NULL")
@@ -480,6 +580,23 @@ def reconciled_accessions(spark, d):
     return landed.withColumn("landed", F.lit(True)).unionByName(missing.withColumn("landed", F.lit(False)))
 
 
+@query("accession_ledgers", """
+WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS accession, c_nationkey >= 12 AS late,
+                  EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS f,
+                  EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus IN ('F', 'O')) AS fo FROM customer)
+SELECT accession, CAST(CASE WHEN f AND NOT late THEN 0 WHEN fo THEN 1 END AS BIGINT) AS batch FROM c""")
+def accession_ledgers(spark, d):
+    """Two batches of accessions, the first run twice; what it could not get is asked for again in the second."""
+    out = fresh_dir(spark, "ledgers")
+    wanted = V.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("accession"), (F.col("c_nationkey") >= 12).alias("late"))
+    listed = V.table(spark, d, "orders").select("o_orderstatus", F.concat(F.lit("/in/AF-"), "o_custkey", F.lit("-F1-model_v6.pdb")).alias("path"))
+    first = wanted.where(~F.col("late")), listed.where("o_orderstatus = 'F'"), 0
+    for rows, files, batch in (first, first, (wanted.where("late"), listed.where("o_orderstatus in ('F', 'O')"), 1)):
+        append_ledgers(rows, files, batch, out)
+    got, missing = ledgers(spark, out)
+    return got.unionByName(missing.withColumn("batch", F.lit(None).cast("bigint")))
+
+
 @query("incremental_structures", "SELECT 'S' || l_suppkey AS structure_id, count(*) AS n_rows FROM lineitem GROUP BY 1")
 def incremental_structures(spark, d):
     """Two streaming runs over the same rows: the second finds nothing new."""

@@ -309,8 +309,8 @@ def quantiles(spark, d):
 
 SHARD_FILES = """
 groups AS (
-  SELECT CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'val' ELSE 'test' END AS split, l_suppkey AS shard, l_linenumber AS part, count(*) AS n
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+  SELECT CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'val' ELSE 'test' END AS split, l_suppkey AS shard, CAST((l_linenumber - 1) % 3 + 1 AS INTEGER) AS part, count(*) AS n
+  FROM lineitem GROUP BY ALL),
 files AS (
   SELECT split, shard, part, CASE WHEN (shard + part) % 19 <> 0 THEN n END AS nx, CASE WHEN (shard * part) % 17 <> 0 THEN n + CASE WHEN shard % 13 = 0 THEN 1 ELSE 0 END END AS ny
   FROM groups),
@@ -324,8 +324,8 @@ SELECT * FROM (
   FROM expected e LEFT JOIN files f ON e.split = f.split AND e.part = f.part AND e.shard = f.shard) WHERE problem IS NOT NULL""")
 def shard_completeness(spark, d):
     split = F.when(F.col("l_returnflag") == "A", "train").when(F.col("l_returnflag") == "N", "val").otherwise("test")
-    groups = V.table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(
-        split.alias("split"), F.col("l_suppkey").alias("shard"), F.col("l_linenumber").alias("part")).agg(F.count("*").alias("n"))
+    groups = V.table(spark, d, "lineitem").groupBy(
+        split.alias("split"), F.col("l_suppkey").alias("shard"), F.expr("cast((l_linenumber - 1) % 3 + 1 as int)").alias("part")).agg(F.count("*").alias("n"))
     x = groups.where("(shard + part) % 19 <> 0").select(F.lit("X").alias("kind"), "split", "shard", "part", "n")
     y = groups.where("(shard * part) % 17 <> 0").select(
         F.lit("y").alias("kind"), "split", "shard", "part", (F.col("n") + F.expr("CASE WHEN shard % 13 = 0 THEN 1 ELSE 0 END")).alias("n"))

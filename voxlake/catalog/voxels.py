@@ -402,7 +402,17 @@ def odd_residues(spark, d):
     return s.groupBy("chain_id", F.coalesce("skip", F.lit("usable")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("residue_vocabulary", f"SELECT s_suppkey, {V.RES}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS res3, substr('{K.ONE_LETTER}', CAST(s_suppkey % 20 AS INTEGER) + 1, 1) AS res1, {V.sql_list([K.GROUP_OF[i] for i in range(20)])}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS grp, {V.sql_list([K.TYPE_OF[n] for n in K.TITLE_NAMES])}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS aa_type, {[len(K.TEMPLATE_OF[n]) for n in K.RESIDUES]}[CAST(s_suppkey % 20 AS INTEGER) + 1] AS atoms FROM supplier")
+# Label, names, group, type and number of template atoms, written out apart from the constants.
+VOCABULARY = """
+(0, 'HIS', 'H', 'group1', 'Positively Charged', 10), (1, 'LYS', 'K', 'group1', 'Positively Charged', 9), (2, 'ARG', 'R', 'group1', 'Positively Charged', 11),
+(3, 'ASP', 'D', 'group2', 'Negatively Charged', 8), (4, 'GLU', 'E', 'group2', 'Negatively Charged', 9),
+(5, 'SER', 'S', 'group3', 'Polar Uncharged', 6), (6, 'THR', 'T', 'group3', 'Polar Uncharged', 7), (7, 'ASN', 'N', 'group3', 'Polar Uncharged', 8), (8, 'GLN', 'Q', 'group3', 'Polar Uncharged', 9),
+(9, 'ALA', 'A', 'group4', 'Hydrophobic', 5), (10, 'VAL', 'V', 'group4', 'Hydrophobic', 7), (11, 'LEU', 'L', 'group4', 'Hydrophobic', 8), (12, 'ILE', 'I', 'group4', 'Hydrophobic', 8), (13, 'MET', 'M', 'group4', 'Hydrophobic', 8),
+(14, 'PHE', 'F', 'group5', 'Hydrophobic', 11), (15, 'TYR', 'Y', 'group5', 'Hydrophobic', 12), (16, 'TRP', 'W', 'group5', 'Hydrophobic', 14),
+(17, 'PRO', 'P', 'group6', 'Special Case', 7), (18, 'GLY', 'G', 'group6', 'Special Case', 4), (19, 'CYS', 'C', 'group7', 'Special Case', 6)"""
+
+
+@query("residue_vocabulary", f"SELECT s_suppkey, res3, res1, grp, aa_type, CAST(atoms AS INTEGER) AS atoms FROM supplier JOIN (VALUES {VOCABULARY}) AS v(label, res3, res1, grp, aa_type, atoms) ON label = s_suppkey % 20")
 def residue_vocabulary(spark, d):
     s = V.table(spark, d, "supplier").withColumn("label", F.expr("cast(s_suppkey % 20 as int)"))
     dim = F.broadcast(residue_dim(spark))  # 20 rows

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxlake.functions.columns import edge_bin
 from voxlake.functions.residues import three_letter
 from voxlake.operators.ranking import exact_quantiles
+from voxlake.operators.skew import lookup_join
 
 SASA_KEY = ["structure_id", "chain_id", "res_no", "res_name"]
 # Names of the ten measures, kind then field.
@@ -49,7 +50,8 @@ def match_predictions(
 
     The manifest is reduced to one row per key before each join: the last
     exact duplicate wins, and the fallback knows how many candidates share the
-    three-part key. A prediction therefore never multiplies.
+    three-part key. A prediction therefore never multiplies. Predictions of one
+    residue, or with an unreadable site, are dealt over tasks.
     """
     def text(c: str) -> Column:
         return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
@@ -67,9 +69,9 @@ def match_predictions(
         "_s": text("structure_name"), "_c": F.col("_site.chain_id"), "_n": F.col("_site.res_no"),
         "_r": F.when(F.col("_site").isNotNull(), three_letter(F.col("_site.res_name"))),
     })
-    joined = keyed.join(exact, ["_s", "_c", "_n", "_r"], "left").join(
-        loose, ["_s", "_c", "_n"], "left"
-    )
+    # the finer key is never heavier than the coarser one, whose counts say which to deal out
+    full = lookup_join(keyed, exact, ["_s", "_c", "_n", "_r"], "left")
+    joined = lookup_join(full, loose, ["_s", "_c", "_n"], "left", deal=keyed.columns, counts=keyed.groupBy("_s", "_c", "_n").agg(F.count("*").alias("n")))
     is_exact = F.col("_exact").isNotNull()
     alone = F.coalesce(F.col("_candidates") == 1, F.lit(False))
     status = (
@@ -97,7 +99,26 @@ def requested_residues(matched: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def missing_from_cache(requested: DataFrame, cache: DataFrame) -> DataFrame:
+#: Buckets of a score cache unless told otherwise.
+BUCKETS = 64
+
+
+def write_cache(scores: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """Scores as a table in buckets of their residue key, sorted inside; returns the table."""
+    scores.write.mode("overwrite").option("path", path).bucketBy(buckets, *SASA_KEY).sortBy(*SASA_KEY).saveAsTable(name)
+    return scores.sparkSession.table(name)
+
+
+def missing_from_cache(requested: DataFrame, cache: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Requested residues that the cache lacks.
+
+    With ``buckets``, the number of a bucketed cache, the requested residues are
+    dealt into the same buckets and the cache is joined where it lies: of its
+    files only key columns are read and nothing of it is exchanged.
+    """
+    if buckets is not None:
+        requested = requested.repartition(buckets, *SASA_KEY)
+        return requested.join(cache.select(*SASA_KEY).hint("merge"), SASA_KEY, "left_anti")
     return requested.join(cache.select(*SASA_KEY), SASA_KEY, "left_anti")
 
 

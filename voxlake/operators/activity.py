@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.columns import (
-    ACTIVITY_ALIASES, RES_NO_ALIASES, STRUCTURE_ID_ALIASES, chain_column, first_alias,
+    ACTIVITY_ALIASES, RES_NO_ALIASES, STRUCTURE_ID_ALIASES, STRUCTURE_PATH_ALIASES, ManifestError, chain_column,
+    first_alias, resolve_path,
 )
 from voxlake.functions.residues import residue_label
 from voxlake.operators.ranking import rank_in_order
@@ -25,6 +26,21 @@ def activity_rows(raw: DataFrame, order: str = "row_no") -> DataFrame:
     ).where("structure_id is not null")
 
 
+def structure_paths(raw: DataFrame, root: str, order: str = "row_no") -> DataFrame:
+    """(structure_id, pdb_path) of an activity manifest with structure paths: of each id the last row's path.
+
+    Rows need both an id and a path; relative paths are below ``root``.
+    """
+    named = raw.select(
+        F.col(order).alias("row_no"), first_alias(raw, STRUCTURE_ID_ALIASES).alias("structure_id"),
+        first_alias(raw, STRUCTURE_PATH_ALIASES).alias("path"))
+    lacking = named.where("structure_id is null or path is null").limit(1).collect()
+    if lacking:
+        raise ManifestError(f"row {lacking[0]['row_no']} lacks a structure id or a structure path")
+    last = named.groupBy("structure_id").agg(F.max_by("path", "row_no").alias("path"))
+    return last.select("structure_id", resolve_path(F.col("path"), root).alias("pdb_path"))
+
+
 def with_ordinals(rows: DataFrame) -> DataFrame:
     """Add ``ordinal``: 0-based position among the rows of a structure.
 

@@ -10,56 +10,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.columns import ManifestError
+from voxlake.runtime import cut_lineage
 
 STD_FLOOR = 1e-6
 VARIANCE_FLOOR = 1e-12
 
 
-def _finish(sum_, square, count, floor: float = STD_FLOOR):
-    mean = sum_ / count
-    variance = F.greatest(square / count - mean * mean, F.lit(0.0))
-    return mean.alias("mean"), F.greatest(F.sqrt(variance), F.lit(floor)).alias("std")
+#: Vectors that one task merges, and cells of a vector that travel together.
+FAN_IN = 32
+
+MOMENTS = "part int, n bigint, mean array<double>, square array<double>"
+
+
+def merged_moments(a: tuple | None, b: tuple) -> tuple:
+    """(n, mean, centred squares) of two disjoint sets from those of each."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + gap * gap * (a[0] * (b[0] / n))
+
+
+def _moment_rows(held: dict) -> pa.RecordBatch:
+    keys = list(held)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()),
+         pa.array([held[k][1] for k in keys], pa.list_(pa.float64())), pa.array([held[k][2] for k in keys], pa.list_(pa.float64()))],
+        names=["part", "n", "mean", "square"])
+
 
+def moments(samples: DataFrame, x: str, part: str | None = None, channels: int | None = None) -> DataFrame:
+    """(part, n, mean, square): count, mean and centred squares of each array position, or of each channel.
 
-def _channel_partials(samples: DataFrame, x: str, channels: int) -> DataFrame:
-    """Per Arrow batch and channel: cells, sum and sum of squares."""
-    def partial(batches):
+    Each task centres its batches before squaring and merges them; tasks' vectors
+    are written and merged pairwise by levels of FAN_IN, as many as the tasks
+    need, so the number of input partitions may be any. Every sample counts once
+    for a position, and once for each cell of a channel.
+    """
+    def of_samples(batches):
+        held: dict = {}
         for record in batches:
-            column = record.column(0)
-            lengths = np.asarray(column.value_lengths())
-            flat = np.asarray(column.flatten(), dtype=np.float64)
-            if not len(lengths):
+            if not record.num_rows:
                 continue
-            if (lengths != lengths[0]).any() or lengths[0] % channels:
+            column = record.column(1)
+            lengths = np.asarray(column.value_lengths())
+            if (lengths != lengths[0]).any() or channels and lengths[0] % channels:
                 raise ValueError("samples differ in their channel count or size")
-            block = flat.reshape(len(lengths), channels, -1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(channels, dtype=np.int32)),
-                    pa.array(np.full(channels, block.shape[0] * block.shape[2], dtype=np.int64)),
-                    pa.array(block.sum(axis=(0, 2))),
-                    pa.array(np.square(block).sum(axis=(0, 2))),
-                ],
-                names=["ch", "n", "s", "q"],
-            )
+            parts = np.asarray(record.column(0))
+            block = np.asarray(column.flatten(), dtype=np.float64).reshape(record.num_rows, channels or -1, *([-1] if channels else []))
+            axes = (0, 2) if channels else (0,)
+            for key in np.unique(parts):
+                mine = block[parts == key]
+                mean = mine.mean(axis=axes)
+                mine -= mean[None, :, None] if channels else mean
+                n = len(mine) * (mine.shape[2] if channels else 1)
+                if n:
+                    held[int(key)] = merged_moments(held.get(int(key)), (n, mean, np.square(mine).sum(axis=axes)))
+        if held:
+            yield _moment_rows(held)
+
+    def of_vectors(batches):
+        held: dict = {}
+        for record in batches:
+            for i in range(record.num_rows):
+                key, n = record.column(0)[i].as_py(), record.column(1)[i].as_py()
+                held[key] = merged_moments(held.get(key), (n, *(np.asarray(record.column(c)[i].values) for c in (2, 3))))
+        if held:
+            yield _moment_rows(held)
+
+    key = F.lit(0) if part is None else F.col(part).cast("int")
+    now = cut_lineage(samples.select(key.alias("part"), x).mapInArrow(of_samples, MOMENTS))
+    groups = now.select("part").distinct().count()
+    tasks = -(-now.count() // max(1, groups))
+    while tasks > 1:  # one level of the tree
+        tasks = -(-tasks // FAN_IN)
+        dealt = now.withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.lit(tasks))) if tasks > 1 else now.withColumn("_b", F.lit(0))
+        now = cut_lineage(dealt.repartition(tasks * groups, "part", "_b").drop("_b").mapInArrow(of_vectors, MOMENTS))
+        tasks = -(-now.count() // max(1, groups)) if tasks > 1 else 1
+    return now
+
+
+def _spread_of(square, n, floor: float = STD_FLOOR):
+    return F.greatest(F.sqrt(F.greatest(square / n, F.lit(0.0))), F.lit(floor)).alias("std")
 
-    return samples.select(x).mapInArrow(partial, "ch int, n bigint, s double, q double")
+
+def _finish(sum_, square, count, floor: float = STD_FLOOR):
+    mean = sum_ / count
+    variance = F.greatest(square / count - mean * mean, F.lit(0.0))
+    return mean.alias("mean"), F.greatest(F.sqrt(variance), F.lit(floor)).alias("std")
 
 
 def channel_stats(samples: DataFrame, channels: int, x: str = "x") -> DataFrame:
     """(ch, mean, std) over all cells of all samples, zeros included."""
-    totals = _channel_partials(samples, x, channels).groupBy("ch").agg(
-        F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")
-    )
-    return totals.select("ch", *_finish(F.col("s"), F.col("q"), F.col("n")))
+    rows = moments(samples, x, None, channels)
+    cells = rows.select("n", F.posexplode(F.arrays_zip("mean", "square")).alias("ch", "p"))
+    return cells.select("ch", F.col("p.mean").alias("mean"), _spread_of(F.col("p.square"), F.col("n")))
 
 
 def global_stats(samples: DataFrame, x: str = "x") -> DataFrame:
     """One (mean, std) row over every cell; no samples is an error downstream."""
-    totals = _channel_partials(samples, x, 1).agg(
-        F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n")
-    ).where("n > 0")
-    return totals.select(*_finish(F.col("s"), F.col("q"), F.col("n")))
+    return channel_stats(samples, 1, x).drop("ch")
 
 
 def sparse_channel_stats(
@@ -76,77 +126,19 @@ def sparse_channel_stats(
     )
 
 
-VECTOR = "part int, n bigint, s array<double>, q array<double>"
-
-
-def _vector_sums(samples: DataFrame, x: str, part: str | None, fan_in: int = 256) -> DataFrame:
-    """(part, n, s, q): element-wise sums and square sums of the samples.
-
-    Each task adds its samples into one vector per part; the vectors of up to
-    ``fan_in`` tasks are added again. What is left grows with tasks / fan_in
-    and not with the samples.
-    """
-    def rows(sums: dict):
-        for key, (n, total, square) in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key], pa.int32()), pa.array([n]), pa.array([total], pa.list_(pa.float64())),
-                 pa.array([square], pa.list_(pa.float64()))], names=["part", "n", "s", "q"],
-            )
-
-    def add(sums: dict, key: int, n: int, total, square) -> None:
-        if key in sums:
-            old = sums[key]
-            sums[key] = (old[0] + n, old[1] + total, old[2] + square)
-        else:
-            sums[key] = (n, total, square)
-
-    def add_samples(batches):
-        sums: dict = {}
-        for record in batches:
-            if record.num_rows:
-                parts = np.asarray(record.column(0))
-                block = np.asarray(record.column(1).flatten(), dtype=np.float64)
-                block = block.reshape(record.num_rows, -1)
-                for key in np.unique(parts):
-                    mine = block[parts == key]
-                    add(sums, int(key), len(mine), mine.sum(axis=0), np.square(mine).sum(axis=0))
-        yield from rows(sums)
-
-    def add_vectors(batches):
-        sums: dict = {}
-        for record in batches:
-            for i in range(record.num_rows):
-                add(sums, record.column(0)[i].as_py(), record.column(1)[i].as_py(),
-                    np.asarray(record.column(2)[i].values), np.asarray(record.column(3)[i].values))
-        yield from rows(sums)
-
-    key = F.lit(0) if part is None else F.col(part).cast("int")
-    partial = samples.select(key.alias("part"), x).mapInArrow(add_samples, VECTOR)
-    session = samples.sparkSession  # one vector for each input task: the more tasks, the more merges
-    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    return partial.repartition(max(1, tasks // fan_in + 1)).mapInArrow(add_vectors, VECTOR)
-
-
-def _cell_sums(vectors: DataFrame) -> DataFrame:
-    cells = vectors.select("part", "n", F.posexplode(F.arrays_zip("s", "q")).alias("cell", "p"))
-    return cells.groupBy("part", "cell").agg(
-        F.sum("n").alias("n"), F.sum("p.s").alias("s"), F.sum("p.q").alias("q")
-    )
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.select("part", "n", F.posexplode(F.arrays_zip("mean", "square")).alias("cell", "p"))
 
 
 def voxelwise_stats(samples: DataFrame, x: str = "x") -> DataFrame:
     """(cell, mean, std) per array position."""
-    mean = F.col("s") / F.col("n")
-    variance = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(VARIANCE_FLOOR))
-    return _cell_sums(_vector_sums(samples, x, None)).select(
-        "cell", mean.alias("mean"), F.sqrt(variance).alias("std")
-    )
+    variance = F.greatest(F.col("p.square") / F.col("n"), F.lit(VARIANCE_FLOOR))
+    return _cells(moments(samples, x)).select("cell", F.col("p.mean").alias("mean"), F.sqrt(variance).alias("std"))
 
 
 def mean_of_part_means(samples: DataFrame, part: str, x: str = "x") -> DataFrame:
     """Legacy (cell, mean): every part weighs the same, whatever its size."""
-    per_part = _cell_sums(_vector_sums(samples, x, part))
-    return per_part.groupBy("cell").agg(F.avg(F.col("s") / F.col("n")).alias("mean"))
+    return _cells(moments(samples, x, part)).groupBy("cell").agg(F.avg("p.mean").alias("mean"))
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:

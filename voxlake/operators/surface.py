@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake import constants as K
 from voxlake.functions import geometry as G
 from voxlake.functions.residues import lookup
-from voxlake.runtime import spread
+from voxlake.runtime import extended, spread
 
 PROBE = 1.4
 # Van der Waals radii by element.
@@ -23,7 +27,6 @@ MAX_AREA = {
     "LEU": 201.0, "LYS": 236.0, "MET": 224.0, "PHE": 240.0, "PRO": 159.0,
     "SER": 155.0, "THR": 172.0, "TRP": 285.0, "TYR": 263.0, "VAL": 174.0,
 }
-WORD = 62  # points per 64-bit word
 
 
 def sphere_points(n: int) -> list[tuple[float, float, float]]:
@@ -41,59 +44,122 @@ def atom_radius(element: Column) -> Column:
     return F.coalesce(lookup(RADII, F.upper(element)), F.lit(DEFAULT_RADIUS))
 
 
+#: Grid cells along the edge of a tile; a cell is as wide as two expanded radii.
+TILE = 4
+#: Rows of whole tiles that a task works on at a time, and pairs tested at a time.
+ROWS, PAIRS = 8192, 16_384
+
+
+def _tiled(atoms: DataFrame, edge: float) -> DataFrame:
+    """Atoms with the tile they own a place in, and copies for the tiles whose border they touch.
+
+    ``_lx``, ``_ly``, ``_lz`` are cells inside the tile; a copy's lie one cell outside, at -1
+    or TILE, along at least one axis.
+    """
+    placed = atoms
+    for k in "xyz":
+        cell = G.cell(F.col(k), edge)
+        tile = F.floor(cell / F.lit(TILE))
+        place = cell - tile * TILE
+        spots = F.array_compact(F.array(
+            F.struct(tile.alias("t"), place.cast("int").alias("l")),
+            F.when(place == 0, F.struct((tile - 1).alias("t"), F.lit(TILE).alias("l"))),
+            F.when(place == TILE - 1, F.struct((tile + 1).alias("t"), F.lit(-1).alias("l"))),
+        ))
+        placed = placed.withColumn(f"_{k}", F.explode(spots))
+    return placed.withColumns({
+        **{f"_t{k}": F.col(f"_{k}.t") for k in "xyz"}, **{f"_l{k}": F.col(f"_{k}.l") for k in "xyz"},
+    }).drop("_x", "_y", "_z")
+
+
+def _exposed_of_tiles(table: pa.Table, keys: list[str], spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that their tile owns, exposed points of each) for rows of whole tiles, sorted by tile.
+
+    Atoms meet by cell inside their tile. Buried points are booleans of one pair
+    at a time and bits of a word row for each atom.
+    """
+    column = lambda name: table[name].to_numpy(zero_copy_only=False)
+    codes = lambda name: table[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    tile = np.stack([codes("structure_id"), *(column(f"_t{k}") for k in "xyz")])
+    number = np.concatenate([[0], np.cumsum((tile[:, 1:] != tile[:, :-1]).any(0))])
+    local = [column(f"_l{k}") + 1 for k in "xyz"]
+    side = TILE + 2
+    cell = ((number * side + local[0]) * side + local[1]) * side + local[2]
+    own = np.flatnonzero(np.all([(c > 0) & (c <= TILE) for c in local], axis=0))
+    order = np.argsort(cell, kind="stable")
+    sorted_cell = cell[order]
+    spot, radius = np.stack([column(k) for k in "xyz"], axis=1).astype(np.float64), column("_rad")
+    ids = [codes(k) for k in keys]
+    words = -(-len(spots) // 64)
+    buried = np.zeros((table.num_rows, words), np.uint64)
+    steps = [(a * side + b) * side + c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    for step in steps:
+        low = np.searchsorted(sorted_cell, cell[own] + step, "left")
+        n = np.searchsorted(sorted_cell, cell[own] + step, "right") - low
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(own):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            part = n[at:stop]
+            mine = np.repeat(own[at:stop], part)
+            first = np.concatenate([[0], np.cumsum(part)[:-1]])
+            other = order[np.repeat(low[at:stop] - first, part) + np.arange(len(mine))]
+            at = stop
+            same = np.all([i[mine] == i[other] for i in ids], axis=0)
+            delta = spot[mine] - spot[other]
+            limit = radius[mine] + radius[other]
+            near = ~same & (delta[:, 0] * delta[:, 0] + delta[:, 1] * delta[:, 1] + delta[:, 2] * delta[:, 2] < limit * limit)
+            mine, delta, reach, rad = mine[near], delta[near], radius[other[near]], radius[mine[near]]
+            if not len(mine):
+                continue
+            d = [spots[:, k][None, :] * rad[:, None] + delta[:, k][:, None] for k in range(3)]
+            hit = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < (reach * reach)[:, None]
+            bits = np.zeros((len(mine), words * 64), bool)
+            bits[:, : len(spots)] = hit
+            packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+            heads = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+            buried[mine[heads]] |= np.bitwise_or.reduceat(packed, heads, axis=0)
+    return own, len(spots) - np.bitwise_count(buried[own]).sum(axis=1, dtype=np.int64)
+
+
 def exposed_points(atoms: DataFrame, atom_key: list[str], points: int = 92, probe: float = PROBE) -> DataFrame:
     """Add ``exposed``: sphere points of each atom outside all neighbours.
 
-    Neighbours meet in grid cells as wide as two expanded radii. Buried points
-    are bits, so the aggregation per atom is a bitwise OR of a few words,
-    combined on the map side, at any neighbour count.
+    Atoms are dealt to tiles with copies of the atoms around each tile's border,
+    so a tile knows all neighbours of its own atoms; a numpy kernel tests the
+    points of a tile's pairs. Neither pairs nor points are rows.
     """
     edge = 2.0 * (max([*RADII.values(), DEFAULT_RADIUS]) + probe)
     sized = atoms.withColumn("_rad", atom_radius(F.col("element")) + F.lit(probe))
-    left = sized.select(
-        *atom_key, "x", "y", "z", "_rad", F.explode(G.neighbour_offsets()).alias("_o")
-    ).withColumns({f"_c{k}": G.cell(F.col(k), edge) + F.col(f"_o.d{k}") for k in "xyz"}).drop("_o")
-    right = sized.select(
-        *[F.col(k).alias(f"_n_{k}") for k in atom_key],
-        *[F.col(k).alias(f"_q{k}") for k in "xyz"], F.col("_rad").alias("_qrad"),
-        *[G.cell(F.col(k), edge).alias(f"_k{k}") for k in "xyz"],
-    )
-    cells = [f"_c{k}" for k in "xyz"], [f"_k{k}" for k in "xyz"]
-    left = spread(left, "structure_id", *cells[0])
-    right = spread(right, "_n_structure_id", *cells[1])
-    same = F.col("structure_id") == F.col("_n_structure_id")
-    for mine, other in zip(*cells):
-        same = same & (F.col(mine) == F.col(other))
-    itself = F.lit(True)
-    for k in atom_key:
-        itself = itself & (F.col(k) == F.col(f"_n_{k}"))
-    delta = tuple(F.col(k) - F.col(f"_q{k}") for k in "xyz")
-    limit = F.col("_rad") + F.col("_qrad")
-    pairs = left.join(right, same).where(~itself & (G.dot(delta, delta) < limit * limit))
-    spots = F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z"),
-                 F.lit(i // WORD).alias("word"), F.lit(1 << (i % WORD)).cast("bigint").alias("bit"))
-        for i, (x, y, z) in enumerate(sphere_points(points))
-    ])
-    tested = pairs.select(
-        *atom_key, "_rad", "_qrad", *[d.alias(f"_d{k}") for k, d in zip("xyz", delta)],
-        F.explode(spots).alias("p"),
-    )
-    reach = tuple(F.col(f"p.{k}") * F.col("_rad") + F.col(f"_d{k}") for k in "xyz")
-    hit = tested.where(G.dot(reach, reach) < F.col("_qrad") * F.col("_qrad"))
-    words = range((points + WORD - 1) // WORD)
-    buried = hit.groupBy(*atom_key).agg(*[
-        F.bit_or(F.when(F.col("p.word") == w, F.col("p.bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{w}")
-        for w in words
-    ])
-    hidden = F.lit(0)
-    for w in words:
-        hidden = hidden + F.coalesce(F.bit_count(f"_m{w}"), F.lit(0))
-    return sized.join(buried, atom_key, "left").withColumns({
-        "exposed": (F.lit(points) - hidden).cast("int"),
-        "area": F.lit(4.0 * math.pi) * F.col("_rad") * F.col("_rad")
-        * (F.lit(points) - hidden) / F.lit(float(points)),
-    }).drop("_rad", *[f"_m{w}" for w in words])
+    spots = np.array(sphere_points(points))
+    kept, tile = sized.columns, ["structure_id", "_tx", "_ty", "_tz"]
+    names = [c for c in kept if c != "_rad"]
+
+    def exposed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows:
+            own, count = _exposed_of_tiles(table, atom_key, spots)
+            mine = table.select(kept).take(pa.array(own)).append_column("exposed", pa.array(count, pa.int32()))
+            yield from mine.combine_chunks().to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= ROWS:
+                whole = pa.Table.from_batches(held)
+                same = [pc.fill_null(pc.equal(whole[c], whole[c][rows - 1]), False) for c in tile]
+                cut = rows - int(np.logical_and.reduce([m.to_numpy() for m in same]).sum())  # sorted: the last tile's rows
+                yield from exposed(whole.slice(0, cut))
+                held, rows = whole.slice(cut).to_batches(), rows - cut
+        if held:
+            yield from exposed(pa.Table.from_batches(held))
+
+    dealt = spread(_tiled(sized, edge), *tile).sortWithinPartitions(*tile)
+    counted = dealt.mapInArrow(run, extended(sized.schema, "exposed int"))
+    area = F.lit(4.0 * math.pi) * F.col("_rad") * F.col("_rad") * F.col("exposed") / F.lit(float(points))
+    return counted.withColumn("area", area).select(*names, "exposed", "area")
 
 
 def residue_areas(atoms: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxlake.functions.columns import ManifestError
 from voxlake.operators import sampling, stats
 from voxlake.runtime import cut_lineage
-from voxlake.sources.samples import discover_shards, load_split_parts, read_feature_shards, read_shards, shard_files, shard_gaps
+from voxlake.sources.samples import discover_shards, load_split_parts, read_feature_shards, read_samples, shard_files, shard_gaps
 from voxlake.sources.sinks import write_bundles, write_csv, write_stats
 
 
@@ -49,8 +49,7 @@ def prepare_dataset(
     ):
         write_csv(rows.select(*columns), f"{out}/manifest_{name}.csv")
     chosen = split.where("split = 'train'")
-    data = read_shards(spark, f"{root}/train").withColumnRenamed("path", "sample_path")
-    used = data.join(chosen.select(*key), key, "left_semi")
+    used = read_samples(spark, chosen.select(*key), f"{root}/train")
     n = chosen.count()
     if not n:
         raise ManifestError("the training split is empty")
@@ -68,14 +67,16 @@ def convert_bundles(
 
     Every shard found is used. ``train_shards`` says how many the training
     split must have. Nothing is written when a shard is missing, has no partner
-    or differs from it in its number of rows.
+    or differs from it in its number of rows. Headers are read once, samples
+    once; metadata comes from the rows written.
     """
     wanted = F.col("split").isin(splits) & F.col("part").isin(parts)
-    gaps = shard_gaps(shard_files(spark, root).where(wanted), splits, parts, train_shards)
+    files = cut_lineage(shard_files(spark, root).where(wanted))
+    gaps = shard_gaps(files, splits, parts, train_shards)
     if found := gaps.orderBy("split", "part", "shard").limit(20).collect():  # the message names the first
         named = ", ".join(f"{g['split']}/part {g['part']}/shard {g['shard']}: {g['problem']}" for g in found)
         raise ManifestError(f"incomplete input arrays: {named}")
-    write_bundles(load_split_parts(spark, root).where(wanted), out, details or {})
+    write_bundles(load_split_parts(files), out, details or {})
 
 
 def legacy_atom_box(bundles: DataFrame, parts: int, mean: list[float] | None = None,

@@ -11,6 +11,7 @@ from voxlake import constants as K
 from voxlake.operators import access, metrics, scoring, stats
 from voxlake.operators.surface import exposed_points, residue_areas
 from voxlake.runtime import cut_lineage
+from voxlake.sources.sinks import augmented_columns, report_table, write_csv, write_predictions, write_report, write_report_tables
 from voxlake.sources.structures import discover_structures, first_files, parse_atoms, structure_lines
 
 
@@ -34,19 +35,24 @@ def predict(samples: DataFrame, norm: DataFrame, scorer: Callable, k: int = 5,
 
 def prediction_reports(
     predictions: DataFrame, order: str, normalise: str = "row", bins: int = 10, max_confusions: int | None = 50,
+    out: str | None = None, output_probs: bool = False,
 ) -> dict[str, DataFrame]:
     """Every table of the prediction report, each one aggregation.
 
     The predictions are written once, so a lazy input is not scored again for
-    each table. ``max_confusions`` None lists every confusion.
+    each table. ``max_confusions`` None lists every confusion. ``out`` names a
+    folder for the predictions and every table as CSV.
     """
+    if out is not None:
+        predictions = cut_lineage(predictions)
+        write_predictions(predictions, f"{out.rstrip('/')}/predictions", output_probs)
     labelled = cut_lineage(predictions.where("actual <> ''").withColumn(
         "correct", F.col("predicted") == F.col("actual")
     ))
     cells = metrics.confusion(labelled, K.REPORT_NAMES)
     kinds = metrics.confusion(labelled, K.TYPE_NAMES, "actual_type", "predicted_type")
     support = metrics.class_support(labelled)
-    return {
+    tables = {
         "confusion": metrics.normalize_confusion(cells, normalise),
         "type_confusion": metrics.normalize_confusion(kinds, normalise),
         "per_class": metrics.per_class_metrics(labelled),
@@ -60,15 +66,22 @@ def prediction_reports(
         "accuracy_by_type": metrics.accuracy_by_type(labelled),
         "type_accuracy": metrics.type_accuracy(labelled),
     }
+    if out is not None:
+        write_report_tables(tables, out)
+    return tables
 
 
 def annotate_sasa(
     predictions: DataFrame, manifest: DataFrame, scores: DataFrame, kind: str = "relative",
     field: str = "total", strict: bool = False, binning: str = "equal_width", bins: int = 10,
     custom: Sequence[float] | None = None, cache: DataFrame | None = None, structures: DataFrame | None = None,
+    out: str | None = None,
 ) -> dict[str, DataFrame]:
     """Annotated predictions, bins, groups and the match summary.
 
+    ``out`` names a folder for the augmented predictions, bins and groups as CSV
+    and the summary as JSON.
+
     With a ``cache`` only the requested residues it lacks are taken from
     ``scores``; ``new_scores`` is what to append to the cache. With
     ``structures`` (structure_id) the summary counts those without a file.
@@ -84,11 +97,17 @@ def annotate_sasa(
     usable = annotated.where("sasa_selected is not null and trim(actual) <> ''")
     edges = access.bin_edges(usable, "sasa_selected", binning, bins, custom)
     groups = access.correctness_groups(usable)
-    return {
+    tables = {
         "annotated": annotated, "new_scores": fresh, "edges": edges,
         "bins": access.binned_accuracy(usable, edges), "groups": access.group_summary(groups),
         "summary": access.match_summary(annotated, structures),
     }
+    if out is not None:
+        folder = out.rstrip("/")
+        write_csv(report_table(augmented_columns(annotated, predictions.columns, access.ADDED)), f"{folder}/predictions")
+        write_report_tables({name: tables[name] for name in ("bins", "groups")}, folder)
+        write_report(tables["summary"], f"{folder}/summary")
+    return tables
 
 
 def annotate_sasa_files(

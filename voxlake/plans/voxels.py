@@ -20,7 +20,8 @@ from voxlake.operators.voxels import (
     screen_centres, voxel_counts,
 )
 from voxlake.runtime import cut_lineage
-from voxlake.sources.structures import discover_structures, first_files, parse_atoms, structure_lines
+from voxlake.sources.sinks import write_activity
+from voxlake.sources.structures import discover_structures, first_files, named_structures, parse_atoms, structure_lines
 
 
 @dataclass
@@ -142,6 +143,25 @@ def build_activity(
     return Examples(kept, skipped)
 
 
+def build_activity_files(
+    activity: DataFrame, root: str, config: VoxelConfig, unit: str = "mutation_site", include_hetero: bool = False,
+    out: str | None = None,
+) -> Examples:
+    """``build_activity`` from the structure files that the activity rows name.
+
+    Of rows that name several files for one id the last wins; only these files
+    are opened, and an id whose file is not there is a missing structure. ``out``
+    names a folder for the activity manifest.
+    """
+    files = cut_lineage(named_structures(act.structure_paths(activity, root)))
+    atoms = cut_lineage(parse_atoms(structure_lines(files), include_hetero))
+    built = build_activity(atoms, files.select("structure_id"), activity, config, unit)
+    if out is not None:
+        built = Examples(cut_lineage(built.packed), built.skipped)
+        write_activity(built.packed, root, out)
+    return built
+
+
 def legacy_boxes(
     atoms: DataFrame, scheme: str = "element4", density: float = 0.01, block: int = 1000, seed: int = 0,
 ) -> DataFrame:

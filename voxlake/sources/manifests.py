@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from voxlake.functions.columns import ManifestError
 from voxlake.functions.residues import lookup
 from voxlake import constants as K
+from voxlake.sources.arrays import array_files
 
 
 def read_manifest_csv(
@@ -36,22 +37,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     raise ManifestError(f"unsupported manifest format: {path}")
 
 
-def read_raw_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Unparsed manifest lines with a sortable position.
-
-    The position is (file, block start, running number), so the read stays
-    splittable and ordering the lines needs no global numbering.
-    """
-    return spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-        ).alias("row_no"),
-    )
-
-
 def read_accession_pages(spark: SparkSession, path: str) -> DataFrame:
     """Accessions of landed JSON result pages."""
     schema = "results array<struct<metadata:struct<accession:string>>>"
@@ -106,11 +91,5 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path and size of the files below a folder; no content is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "length")
-    )
+    """Path and size of the files below a folder, empty ones too; none is opened."""
+    return array_files(spark, path, "listing", glob)

@@ -1,13 +1,9 @@
-"""Importers of array files: once into Parquet, columnar from then on."""
+"""Examples in array files: shards, archives, feature matrices; once into Parquet, columnar from then on."""
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,148 +11,36 @@ from voxlake.functions.columns import (
     blank_to_null, file_stem, parse_shard_name, resolve_path, sample_path_column,
 )
 from voxlake.functions.residues import residue_label
-
-
-def channels_first(sample: np.ndarray) -> np.ndarray:
-    """Add a channel axis to 3-D data, move a trailing channel axis first."""
-    if sample.ndim == 3:
-        return sample[None]
-    if sample.ndim == 4:
-        trailing = sample.shape[-1] <= 8 < sample.shape[0]
-        return np.moveaxis(sample, -1, 0) if trailing else sample
-    raise ValueError(f"expected a 3-D or 4-D sample, got shape {sample.shape}")
-
-
-def load_array_file(content: bytes):
-    """Array or archive of a file; pickled content is refused."""
-    return np.load(io.BytesIO(content), allow_pickle=False)
-
-
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
-    )
-
-
-PAYLOAD = (
-    "path string, read_error string, has_x boolean, has_y boolean, "
-    "shape array<int>, raw_shape array<int>, x array<float>, y double"
-)
-
-
-def _member_shape(archive, name: str) -> list[int]:
-    """Shape of an archive's array from its header."""
-    with archive.zip.open(f"{name}.npy") as member:
-        return list(_header_shape(member))
-
-
-def _header_shape(handle) -> tuple[int, ...]:
-    version = np.lib.format.read_magic(handle)
-    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-    return read(handle)[0]
-
-
-def _payload_rows(batches, arrays: bool = True, block: int = 64):
-    """One row per archive: its arrays (or their shapes), or why it could not be read."""
-    names = [f.split()[0] for f in PAYLOAD.split(", ")]
-    for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            row = {
-                "path": path, "read_error": None, "has_x": False, "has_y": False,
-                "shape": None, "raw_shape": None, "x": None, "y": None,
-            }
-            try:
-                with load_array_file(content) as archive:
-                    row["has_x"], row["has_y"] = "x" in archive, "y" in archive
-                    if row["has_y"]:
-                        row["y"] = float(np.asarray(archive["y"]).reshape(-1)[0])
-                    if row["has_x"] and not arrays:
-                        row["raw_shape"] = _member_shape(archive, "x")
-                    elif row["has_x"]:
-                        x = archive["x"]
-                        row["raw_shape"] = list(x.shape)
-                        if x.ndim in (3, 4):
-                            x = channels_first(x)
-                            row["shape"] = list(x.shape)
-                            row["x"] = x.astype(np.float32).ravel()
-            except (ValueError, OSError, EOFError, KeyError, AttributeError,
-                    TypeError, zipfile.BadZipFile) as problem:
-                row["read_error"] = str(problem)
-            rows.append(row)
-            if len(rows) == block:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        yield pd.DataFrame(rows, columns=names)
+from voxlake.sources.arrays import array_files, paired_samples, with_samples
 
 
 def read_archives(spark: SparkSession, path: str, arrays: bool = True) -> DataFrame:
     """Payload of every per-example archive below a folder; without ``arrays`` only raw shapes and labels."""
-    return _files(spark, path, "*.npz").mapInPandas(lambda batches: _payload_rows(batches, arrays), PAYLOAD)
-
-
-def _shard_rows(batches):
-    """One row per sample of an array shard."""
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            data = np.asarray(load_array_file(content))
-            data = data[None] if data.ndim == 0 else data
-            for start in range(0, len(data), 256):
-                block = data[start:start + 256]
-                yield pd.DataFrame({
-                    "path": path,
-                    "sample_index": np.arange(start, start + len(block), dtype=np.int64),
-                    "shape": [list(block.shape[1:])] * len(block),
-                    "x": [row.astype(np.float32).ravel() for row in block],
-                })
-
-
-SHARD = "path string, sample_index bigint, shape array<int>, x array<float>"
+    return array_files(spark, path, "payload" if arrays else "payload-headers", "*.npz")
 
 
 def read_shards(spark: SparkSession, path: str, glob: str = "*.dat") -> DataFrame:
-    return _files(spark, path, glob).mapInPandas(_shard_rows, SHARD)
+    """(path, sample_index, shape, x) of every array shard below a folder; filters on path and sample_index prune the reading."""
+    return array_files(spark, path, "samples", glob)
 
 
 def read_samples(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """Samples named by a manifest: per-example archives or shard rows."""
-    located = manifest.withColumn("path", resolve_path(sample_path_column(manifest), root))
+    """Samples named by a manifest: per-example archives or shard rows.
+
+    Only files that the manifest names are opened, and of shards only the
+    samples named. What is not there gives nulls.
+    """
     index = (
         blank_to_null(F.col("sample_index")).try_cast("bigint")
         if "sample_index" in manifest.columns else F.lit(None).cast("bigint")
     )
-    located = located.withColumn("sample_index", index)
-    shards = read_shards(spark, root, "*.{dat,npy}").select(
-        "path", "sample_index", F.col("shape").alias("s_shape"), F.col("x").alias("s_x")
-    )
-    archives = read_archives(spark, root).where("has_x").select(
-        "path", F.col("shape").alias("a_shape"), F.col("x").alias("a_x"), "y"
-    )
-    joined = located.join(shards, ["path", "sample_index"], "left").join(archives, "path", "left")
-    return joined.select(
-        "*",
-        F.coalesce("s_shape", "a_shape").alias("shape"),
-        F.coalesce("s_x", "a_x").alias("x"),
-    ).drop("s_shape", "a_shape", "s_x", "a_x")
-
-
-def _shard_lengths(batches):
-    """Sample count from the array header only."""
-    for pdf in batches:
-        counts = []
-        for content in pdf["content"]:
-            shape = _header_shape(io.BytesIO(content))
-            counts.append(shape[0] if shape else 1)
-        yield pd.DataFrame({"path": pdf["path"], "n": counts})
+    located = manifest.withColumns({"path": resolve_path(sample_path_column(manifest), root), "sample_index": index})
+    return with_samples(located)
 
 
 def discover_shards(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """Shard-example rows; shards of unknown residues are left out."""
-    lengths = _files(spark, path, "*.dat").mapInPandas(_shard_lengths, "path string, n bigint")
+    """Shard-example rows of the files in a folder, from their headers; shards of unknown residues are left out."""
+    lengths = array_files(spark, path, "headers", "*.dat", recursive=False).select("path", "n")
     meta = parse_shard_name(file_stem(F.col("path")))
     return (
         lengths.withColumn("m", meta)
@@ -189,10 +73,9 @@ def split_file_key(path: Column) -> Column:
 
 
 def shard_files(spark: SparkSession, root: str) -> DataFrame:
-    """(kind, split, shard, part, n) of the paired shard files, from their headers."""
-    lengths = _files(spark, root, "*.dat").mapInPandas(_shard_lengths, "path string, n bigint")
-    keyed = lengths.withColumn("k", split_file_key(F.col("path"))).where("k.kind <> ''")
-    return keyed.select("k.kind", "k.split", F.coalesce("k.shard", F.lit(0)).alias("shard"), "k.part", "n")
+    """(kind, split, shard, part, n, path) of the paired shard files, from their headers."""
+    keyed = array_files(spark, root, "headers", "*.dat").withColumn("k", split_file_key(F.col("path"))).where("k.kind <> ''")
+    return keyed.select("k.kind", "k.split", F.coalesce("k.shard", F.lit(0)).alias("shard"), "k.part", "n", "path")
 
 
 def shard_gaps(
@@ -221,30 +104,24 @@ def shard_gaps(
     return expected.join(sizes, ["split", "part", "shard"], "left").select("split", "part", "shard", problem.alias("problem")).where("problem is not null")
 
 
-def load_split_parts(spark: SparkSession, root: str) -> DataFrame:
-    """(split, part, shard, sample_index, shape, x, label) of all paired shards."""
-    rows = read_shards(spark, root).withColumn("k", split_file_key(F.col("path"))).where("k.kind <> ''")
-    keys = ["split", "part", "shard", "sample_index"]
-    flat = rows.select("k.*", "sample_index", "shape", "x").withColumn(
-        "shard", F.coalesce("shard", F.lit(0))
-    )
-    data = flat.where("kind = 'X'").drop("kind")
-    labels = flat.where("kind = 'y'").select(*keys, F.get("x", F.lit(0)).cast("int").alias("label"))
-    return data.join(labels, keys, "left")
+def load_split_parts(files: DataFrame) -> DataFrame:
+    """(split, part, shard, sample_index, shape, x, label) of the paired files of ``shard_files``.
+
+    The task that reads a run of samples reads its labels too: dense rows are not
+    shuffled.
+    """
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    pairs = files.groupBy("split", "part", "shard").agg(of("X", "path").alias("x_path"), of("y", "path").alias("y_path"), of("X", "n").alias("n"))
+    return paired_samples(pairs.where("x_path is not null").select("split", "part", "shard", "x_path", "y_path", "n"))
 
 
 def read_feature_shards(spark: SparkSession, root: str, parts: Sequence[int] | None = None) -> DataFrame:
     """(split, part, sample_index, x, label) of the generic feature matrices; ``parts`` may select."""
     pattern = "^FEATURE_(train|val|test)_(X|y)(?:_(\\d+))?\\.dat$"
     name = F.substring_index("path", "/", -1)
-    rows = read_shards(spark, root, "FEATURE_*.dat").select(
-        F.regexp_extract(name, pattern, 1).alias("split"),
-        F.regexp_extract(name, pattern, 2).alias("kind"),
-        F.coalesce(F.regexp_extract(name, pattern, 3).try_cast("int"), F.lit(0)).alias("part"),
-        "sample_index", "x",
-    )
+    files = array_files(spark, root, "headers", "FEATURE_*.dat").select(
+        F.regexp_extract(name, pattern, 1).alias("split"), F.regexp_extract(name, pattern, 2).alias("kind"),
+        F.coalesce(F.regexp_extract(name, pattern, 3).try_cast("int"), F.lit(0)).alias("part"), F.lit(0).alias("shard"), "n", "path")
     if parts is not None:
-        rows = rows.where(F.col("part").isin(list(parts)))
-    keys = ["split", "part", "sample_index"]
-    labels = rows.where("kind = 'y'").select(*keys, F.get("x", F.lit(0)).alias("label"))
-    return rows.where("kind = 'X'").drop("kind").join(labels, keys, "left")
+        files = files.where(F.col("part").isin(list(parts)))
+    return load_split_parts(files).select("split", "part", "sample_index", "x", F.col("label").cast("float").alias("label"))

@@ -19,7 +19,8 @@ def assert_empty(violations: DataFrame, message: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """With a header in each file; values keep their white space."""
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_structures(structures: DataFrame, path: str) -> None:
@@ -94,26 +95,40 @@ def activity_manifest(examples: DataFrame, root: str) -> DataFrame:
     )
 
 
+#: Samples that one task writes.
+SAMPLE_ROWS = 4096
+
+
 def write_samples(samples: DataFrame, path: str, buckets: int = 64) -> None:
     """Dense samples, partitioned by a hash of the structure.
 
     Rows are dealt by bucket first, so a bucket gets few files; a second key
-    lets a bucket with a large structure fill several tasks.
+    lets a bucket fill as many tasks as its rows need. ``samples`` is counted
+    and then written, so it should be a written table.
     """
-    bucketed = samples.withColumn("bucket", F.pmod(F.xxhash64("structure_id"), F.lit(buckets)))
-    (
-        bucketed.repartition("bucket", F.pmod(F.xxhash64("example_id"), F.lit(4)))
-        .write.mode("overwrite").partitionBy("bucket").parquet(path)
-    )
+    bucket = F.pmod(F.xxhash64("structure_id"), F.lit(buckets)).alias("bucket")
+    loads = samples.groupBy(bucket).agg(F.ceil(F.count("*") / F.lit(SAMPLE_ROWS)).cast("int").alias("salts")).collect()  # a row a bucket
+    salts = F.create_map(*[F.lit(x) for r in loads for x in (r["bucket"], r["salts"])]) if loads else F.create_map(F.lit(0), F.lit(1))
+    tasks = sum(r["salts"] for r in loads) or 1
+    bucketed = samples.withColumn("bucket", bucket)
+    salt = F.pmod(F.xxhash64("example_id"), F.element_at(salts, F.col("bucket")))
+    bucketed.repartition(tasks, "bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_bundles(rows: DataFrame, path: str, details: dict[str, object]) -> None:
-    """Samples per (split, part) and one metadata row each, as JSON."""
-    rows.write.mode("overwrite").partitionBy("split", "part").parquet(f"{path}/data")
-    extra = {k: v for k, v in details.items()}
-    meta = bundle_metadata(rows).withColumns(
+    """Samples per (split, part) and one metadata row each, as JSON.
+
+    Rows are dealt by part and run of samples, so a part has one file for each
+    run; metadata comes from the shapes written.
+    """
+    spark, width = rows.sparkSession, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = F.expr(f"sample_index div {SAMPLE_ROWS}")
+    dealt = rows.repartition(width, "split", "part", "shard", run) if {"shard", "sample_index"} <= set(rows.columns) else rows
+    dealt.write.mode("overwrite").partitionBy("split", "part").parquet(f"{path}/data")
+    written = spark.read.schema(rows.select("split", "part", "shape").schema).parquet(f"{path}/data")
+    meta = bundle_metadata(written).withColumns(
         {k: F.lit(v) if not isinstance(v, dict)
-         else F.create_map(*[F.lit(x) for kv in v.items() for x in kv]) for k, v in extra.items()}
+         else F.create_map(*[F.lit(x) for kv in v.items() for x in kv]) for k, v in details.items()}
     )
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.functions.columns import computed_once, file_stem
+from voxlake.runtime import spread
+from voxlake.sources.arrays import Handle, exists
 
 
 def discover_structures(
@@ -22,6 +27,23 @@ def discover_structures(
     return with_structure_id(raw)
 
 
+def named_structures(paths: DataFrame) -> DataFrame:
+    """(structure_id, pdb_path, text) of the files that a table (structure_id, pdb_path) names.
+
+    No other file is opened; a file that is not there gives no row.
+    """
+    schema = "structure_id string, pdb_path string, text string"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            if exists(row["pdb_path"]):
+                with Handle(row["pdb_path"]) as handle:
+                    text = handle.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"structure_id": [row["structure_id"]], "pdb_path": [row["pdb_path"]], "text": [text]})
+
+    return spread(paths.select("structure_id", "pdb_path"), "pdb_path").mapInArrow(run, schema)
+
+
 def with_structure_id(raw: DataFrame) -> DataFrame:
     """Turn whole-text rows (batch or streaming) into structure rows."""
     location = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
