@@ -73,10 +73,11 @@ def test_token_counts(spark, docs, none):
 
     lines = tokenizer_json("byte_bpe_50k.tiktoken").splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, lines)}
-    some = [(i, t) for i, t in [*pairs(docs), *pairs(sf_docs(spark).where("n_chars < 3000"))] if len(t) < 5000]
-    want = sorted(((i, plain_count(t, ranks), len(t.encode())) for i, t in some), key=str)
-    both = docs.where("text is null or length(text) < 5000").select("doc_id", "text").unionByName(sf_docs(spark).where("n_chars < 3000").select("doc_id", "text").where("length(text) < 5000"))
-    assert rows_of(token_counts.token_counts(both), "doc_id", "n_tokens", "n_bytes") == want
+    counted = {}
+    plain = lambda rows: sorted(((i, counted.setdefault(t, plain_count(t, ranks)) if t not in counted else counted[t], len(t.encode())) for i, t in rows), key=str)
+    few = sf_docs(spark).where("n_chars < 3000")
+    assert rows_of(token_counts.token_counts(few), "doc_id", "n_tokens", "n_bytes") == plain(pairs(few))
+    assert rows_of(token_counts.token_counts(docs), "doc_id", "n_tokens", "n_bytes") == plain(pairs(docs))  # long texts, clashing names
     assert token_counts.token_counts(none).count() == 0
 
 
@@ -114,6 +115,42 @@ def test_score_depends_on_its_text_alone():
             assert net.scores([others[0], text, others[1]])[1] == pytest.approx(alone, abs=1e-6)
 
 
+def plain_score(net, text):
+    """The network written out, window by window."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    data = text + bytes(quality.WIDTH)
+    windows = [np.concatenate([p["embed"][b] for b in data[at : at + quality.WIDTH]]) @ p["filters"] for at in range(0, max(1, len(text)), quality.STRIDE)]
+    blocks = [windows[at : at + quality.BLOCK] for at in range(0, len(windows), quality.BLOCK)]
+    chunks = [blocks[i] + blocks[i + 1] for i in range(len(blocks) - 1)] or blocks
+    acts = []
+    for chunk in chunks:
+        pooled = np.maximum(np.max(chunk, axis=0) + p["shift"], 0)
+        acts.append(np.maximum(np.append(pooled, math.log(len(chunk) / (2 * quality.BLOCK))) @ p["hidden"] + p["bias"], 0))
+    logit = np.concatenate([np.mean(acts, axis=0), np.max(acts, axis=0)]) @ p["out"] + p["prior"][0]
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_are_those_of_the_plain_network(monkeypatch):
+    net, rng = quality.ByteNet.fresh(quality.Training()), np.random.default_rng(4)
+    texts = [rng.integers(1, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 2, 127, 128, 129, 130, 255, 256, 257, 900, 1024, 3000, 1)]
+    want = [plain_score(net, t) for t in texts]
+    assert net.scores(texts) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(quality, "PART", 2 * quality.STRIDE * quality.BLOCK)  # runs of two blocks
+    assert net.scores(texts) == pytest.approx(want, abs=1e-5)
+
+
+def test_memory_does_not_follow_the_text():
+    import tracemalloc
+
+    net = quality.ByteNet.fresh(quality.Training())
+    text = b"some words of a very long text " * (50_000_000 // 31)
+    tracemalloc.start()
+    score = net.scores([b"short", text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000 and 0 <= score[1] <= 1
+
+
 def test_gradients_agree_with_differences():
     t = quality.Training(filters=3, hidden=2, embed=2)
     net = quality.ByteNet.fresh(t)
@@ -153,6 +190,8 @@ def test_bpe_equals_library(spark, docs, none, name):
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
     assert rows_of(bpe.encoding_digests(both, name), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=str)
+    digests = {(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.encoding_digests(docs, name).collect()}
+    assert digests <= {x[:3] for x in want} and len(digests) == len(set(pairs(docs)))
     ids = bpe.encode_documents(docs, name)
     texts = bpe.decode_documents(ids, name)
     assert rows_of(texts, "doc_id", "text") == sorted(((i, library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in pairs(docs)), key=str)
@@ -188,9 +227,59 @@ def test_url_cases(spark):
     everything = (*urls.SITES, *urls.PATTERNS)
     index = urls.RuleIndex(list(everything), {})
     for url in (c[0] or "" for c in cases):  # the index loses no fitting rule
+        assert {r for r in everything if r.fits(*urls.host_path(url), url)} <= set(index.candidates(url))
+    again = spark.createDataFrame([(1, "http://org/", "h", "z")] * 3, "page_id long, url string, html string, host string")
+    assert [tuple(r)[:5] for r in urls.judge_urls(again).collect()] == [(1, "org", "/", "org/", "allow")] * 3
+
+
+def test_thousands_of_rules_from_a_table(spark):
+    """Every rule against every URL, by plain text operations, and by the index."""
+    rng = random.Random(13)
+    words = ["ads", "shop", "cart", "img", "a", "b1", "news", "de", "x", "utm", "id", "page", "js", "org", "com", "example"]
+    word = lambda: rng.choice(words) + (str(rng.randrange(40)) if rng.random() < 0.5 else "")
+    rows = [("site", f"{word()}.{rng.choice(['com', 'org'])}/" + "/".join(word() for _ in range(rng.randrange(3))), rng.choice(["allow", "block"])) for _ in range(2500)]
+    rows += [("pattern", "".join(rng.choice(["*", "^", "/", "?", "=", ".", "-", "_"]) + rng.choice([word(), word(), ""]) for _ in range(rng.randrange(1, 5))), rng.choice(["allow", "block"])) for _ in range(2500)]
+    rows += [("pattern", "*", "block"), ("pattern", None, "block"), ("site", "", "allow"), ("site", "org/", None)]
+    sites, patterns = urls.read_rules(spark.createDataFrame(rows, "kind string, text string, verdict string"))
+    assert len(sites) + len(patterns) > 3500
+    links = [f"http://{rng.choice(['', 'www.', 'A.'])}{word()}.{rng.choice(['com', 'org'])}" + "".join(rng.choice("/?=.-_&") + word() for _ in range(rng.randrange(6))) for _ in range(150)]
+    links += ["http://x.com/" + "a-" * 50_000, "http://b1.org/" + "/ads-" * 20_000 + "end", None, "", "nothing"]
+
+    def found(pattern, url):
+        def ends(part, at):  # ends of the part's matches from a place on
+            for start in range(at, len(url) + 1):
+                place = start
+                for c in part:
+                    if c == "^" and place == len(url):
+                        continue
+                    if place >= len(url) or (url[place] != c if c != "^" else url[place].isascii() and url[place].isalnum()):
+                        break
+                    place += 1
+                else:
+                    return place
+            return None
+
+        at = 0
+        for part in filter(None, pattern.split("*")):
+            at = ends(part, at)
+            if at is None:
+                return False
+        return True
+
+    index = urls.RuleIndex([*sites, *patterns], {})
+    for url in links:
         host, path = urls.host_path(url)
-        fits = {r for r in everything if re.compile(r.regex).match(f"{host}\0{path}" if isinstance(r, urls.SiteRule) else url)}
-        assert fits <= {r for r, _ in index.candidates(url)}
+        site = max((r for r in sites if (host == r.site.partition("/")[0] or host.endswith("." + r.site.partition("/")[0])) and path.startswith("/" + r.site.partition("/")[2])), key=lambda r: (len(r.site), r.site), default=None)
+        got = index.judge(url, "allow")
+        assert got[:3] == (host, path, site.site if site else None)
+        if site is None and len(url or "") < 1000:
+            best = max((r for r in patterns if found(r.text, url or "")), key=lambda r: (len(r.text), r.text), default=None)
+            assert got[3] == (best.verdict if best else "allow")
+        assert got[4] < 0.6 * (len(sites) + len(patterns))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(links)], "page_id long, url string")
+    assert {r["page_id"]: tuple(r)[1:5] for r in urls.judge_urls(pages, sites, patterns).collect()} == {i: index.judge(u, "allow")[:4] for i, u in enumerate(links)}
+    with pytest.raises(ValueError):
+        urls.read_rules(spark.createDataFrame([("other", "x", "block")], "kind string, text string, verdict string"))
 
 
 def test_topk_cases(spark):
@@ -311,9 +400,20 @@ def test_perfect_hash_is_minimal_and_checked(spark, docs):
     again = exact.PerfectHash.unpacked(mph.packed(), mph.rest.tobytes())
     assert (again.slots(digests) == mph.slots(digests)).all()
     history = exact.digest_groups(exact.text_digests(docs.where("doc_id % 2 = 0")))
-    found = exact.new_groups(exact.text_digests(docs), exact.build_index(history, 3), 3).collect()
+    found = exact.delivered(stored(exact.text_digests(docs), "delivery"), stored(exact.build_index(history, 3), "index"), 3).collect()
     old = {hashlib.sha256(ascii_lower(t)).digest() for _, t in pairs(docs.where("doc_id % 2 = 0"))}
     assert len(found) == docs.count() and all(r["member"] == (bytes(r["digest"]) in old) for r in found)
+    fresh = [r for r in found if not r["member"]]
+    assert fresh and all(r["size"] == sum(x["digest"] == r["digest"] for x in fresh) for r in fresh)
+    counts = {bytes(r["digest"]): r["size"] for r in history.collect()}
+    assert all(r["size"] == counts[bytes(r["digest"])] + sum(x["digest"] == r["digest"] for x in found) for r in found if r["member"])
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_groups_do_not_depend_on_the_history(docs, monkeypatch, share):
+    want = rows_of(exact.exact_groups(docs), "doc_id", "keep_id", "group_size", "text_sha256")
+    monkeypatch.setattr(exact, "HISTORY", share)
+    assert rows_of(exact.exact_groups(docs), "doc_id", "keep_id", "group_size", "text_sha256") == want
 
 
 @pytest.mark.parametrize("keep", [exact.keep_winners, neardup.keep_representatives])
@@ -369,31 +469,60 @@ def test_codes_round_trip():
 # 9 --------------------------------------------------------------------------
 
 
-def plain_licenses(text):
+def plain_blocks(words):
+    """Every start of every template's block, by sets."""
+    out = []
+    for label, t in licenses.TEMPLATES:
+        own = set(t.split())
+        needed = math.ceil(licenses.THRESHOLD * len(own) - 1e-9)
+        for start in range(max(0, len(words) - licenses.BLOCK) + 1):
+            shared = len(own & set(words[start : start + licenses.BLOCK]))
+            if shared >= needed:
+                out.append((label, t, start, shared / len(own)))
+    return out
+
+
+def plain_words(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def plain_licenses(text):
+    words = plain_words(text)
     places = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
-    blocks = []
-    for start in range(0, max(1, len(words) - licenses.BLOCK + licenses.STEP), licenses.STEP):
-        block = set(words[start : start + licenses.BLOCK])
-        for label, t in licenses.TEMPLATES:
-            own = set(t.split())
-            if len(own & block) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
-                blocks.append((label, len(own & block) / len(own)))
+    blocks = plain_blocks(words)
     at = [i for i, _ in places]
     base = {x for _, x in places}
-    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in blocks})), 1.0 if at else max((c for _, c in blocks), default=0.0)
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[0] for x in blocks})), 1.0 if at else max((x[3] for x in blocks), default=0.0)
 
 
 def test_licenses(spark, docs, none):
     filler = "word " * 50
-    notices = [filler + t + " " + filler * k for k, (_, t) in enumerate(licenses.TEMPLATES)]
-    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate([*notices, " ".join(notices * 3)])], "doc_id long, text string")
-    both = docs.select("doc_id", "text").unionByName(more).unionByName(sf_docs(spark).select("doc_id", "text"))
+    notices = [filler + t + " " + filler * (k % 4) for k, (_, t) in enumerate(licenses.TEMPLATES)]
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate([*notices, " ".join(notices)])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more).unionByName(sf_docs(spark).where("n_chars < 5000").select("doc_id", "text"))
     want = sorted(((i, *plain_licenses(t)) for i, t in pairs(both)), key=str)
     assert rows_of(licenses.license_labels(both), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == want
-    assert {"cc-by-nc", "bsd"} <= {x for r in want for x in r[6].split(",")}
+    assert {"cc-by-nc", "bsd", "isc"} <= {x for r in want for x in r[6].split(",")}
     assert licenses.license_labels(none).count() == 0
+    assert licenses.license_labels(docs).count() == docs.count()  # columns with clashing names
+
+
+def test_every_block_start_is_found():
+    """A sentence stretched over 58 words is met at any offset; runs are those of all starts."""
+    index = licenses.TemplateIndex(licenses.ordered_templates(licenses.TEMPLATES, {}, licenses.THRESHOLD))
+    rng = random.Random(11)
+    sentence = licenses.TEMPLATES[0][1].split()
+    for offset in range(96):
+        slots = sorted(rng.sample(range(1, 57), len(sentence) - 2))
+        block = ["filler"] * 58
+        for at, word in zip([0, *slots, 57], sentence, strict=True):
+            block[at] = word
+        words = ["lead"] * offset + block + ["tail"] * rng.randrange(120)
+        found = index.matches([w.encode() for w in words])
+        assert ("mit", 1.0) in {(m[0], m[3]) for m in found}
+        starts = sorted((label, s) for label, a, b, _ in found for s in range(a, b + 1))
+        assert starts == sorted((label, s) for label, _, s, _ in plain_blocks(words))
 
 
 # 10 -------------------------------------------------------------------------
@@ -435,6 +564,8 @@ def test_near_groups(spark, docs, none):
     want = plain_groups(pairs(both), 4, 4)
     got = neardup.near_groups(stored(both, "both")).withColumn("fingerprint", F.lower(F.hex("fp")))
     assert rows_of(got, "doc_id", "fingerprint", "component_id") == want
+    odd = neardup.near_groups(docs)  # columns with clashing names
+    assert rows_of(odd.withColumn("fingerprint", F.lower(F.hex("fp"))), "doc_id", "fingerprint", "component_id") == plain_groups(pairs(docs), 4, 4)
     kept = neardup.keep_representatives(stored(both, "both"))
     texts = [t for _, t in pairs(kept)]
     assert len({ascii_lower(t) for t in texts}) == len(texts)
@@ -454,15 +585,33 @@ def test_minima_lose_no_similar_pair(spark, monkeypatch, crowd):
                 copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**6)}"
             texts.append(" ".join(copy))
     table = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "copies")
-    group = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(table, 5, 25, 128, 10).collect()}
+    rows = stored(neardup.set_rows(table.withColumn("row", F.col("doc_id")), "row", 5, 0.8, 10), "sets")
+    classes = stored(neardup.set_classes(rows), "classes")
+    comps: dict = {}
+    for r in neardup.candidate_groups(classes, 0.8).collect():
+        comps.setdefault(bytes(r["fp"]), set()).add(bytes(r["comp"]))
+    fp = {r["doc_id"]: bytes(r["fp"]) for r in rows.collect()}
     sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
-    prints = [int.from_bytes(neardup.majority(neardup.shingle_hashes(t, 5, 128)), "big") for t in texts]
     for i in range(len(texts)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 25 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                assert group[i] == group[j]
-            if i // 6 != j // 6:
-                assert group[i] != group[j]
+            if fp[i] != fp[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                assert comps[fp[i]] & comps[fp[j]]
+
+
+def test_boilerplate_joins_no_groups(spark):
+    """Pairs of near copies that all share one long passage stay groups of two: work is linear in rows."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage, texts = fresh(45), []
+    for _ in range(150):
+        own = fresh(100)
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-3], *fresh(3)])]
+    table = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "boilerplate")
+    rows = stored(neardup.set_rows(table.withColumn("row", F.col("doc_id")), "row", 5, 0.8, 10), "sets")
+    sizes = [r["count"] for r in neardup.candidate_groups(stored(neardup.set_classes(rows), "classes"), 0.8).groupBy("comp").count().collect()]
+    assert sum(sizes) <= 10 * len(texts)
+    kept = neardup.keep_representatives(table)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 300, 2))
 
 
 def plain_shingles(text, words):

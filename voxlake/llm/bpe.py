@@ -3,9 +3,9 @@
 The encoding of a prefix of a word ends in exactly one token. It is the only
 token that ends there, was reached by merges, and stands behind the last token
 of the shorter prefix without any merge across the seam. So one left-to-right
-pass stores the last token of every prefix, and back-pointers give the ids. An
-Aho-Corasick automaton over the vocabulary names the tokens that end at a place;
-the seam test undoes the merges of both neighbours, latest first.
+pass stores the last token of every prefix, and back-pointers give the ids. A
+suffix automaton over the vocabulary names the tokens that end at a place; the
+seam test undoes the merges of both neighbours, latest first.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +52,87 @@ BYTES = {c: b for b, c in enumerate(CHARACTERS)}
 ASCII_CHARACTERS = {b: CHARACTERS[b] for b in range(128) if chr(b) != CHARACTERS[b]}
 
 
+class SuffixAutomaton:
+    """All substrings of the given words; a state holds those that end at the same places.
+
+    Reading a text, it knows the longest end of what it has read that is a
+    substring of any word. Words that end there are of that state, no longer
+    than the match, or of the states its suffix links lead to.
+    """
+
+    def __init__(self, words: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        for word in words:
+            at = 0
+            for c in word:
+                at = self._extend(at, c)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for word, value in words.items():
+            at = 0
+            for c in word:
+                at = self.next[at][c]
+            own.setdefault(at, []).append((len(word), value))
+        self.own = {at: tuple(sorted(found, reverse=True)) for at, found in own.items()}
+        # the next state on the way of suffix links that holds words, -1 for none
+        self.back = [-1] * len(self.next)
+        for at in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            up = self.link[at]
+            self.back[at] = up if up in self.own else self.back[up]
+
+    def _state(self, length: int, link: int, moves: dict[str, int]) -> int:
+        self.next.append(moves)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.next) - 1
+
+    def _split(self, at: int, c: str, old: int) -> int:
+        """The state of the substrings of old up to one longer than at's, taken out of it."""
+        new = self._state(self.length[at] + 1, self.link[old], dict(self.next[old]))
+        self.link[old] = new
+        while at >= 0 and self.next[at].get(c) == old:
+            self.next[at][c] = new
+            at = self.link[at]
+        return new
+
+    def _extend(self, at: int, c: str) -> int:
+        """The state of one more character behind the word that ends in at."""
+        old = self.next[at].get(c)
+        if old is not None:
+            return old if self.length[old] == self.length[at] + 1 else self._split(at, c, old)
+        new = self._state(self.length[at] + 1, 0, {})
+        while at >= 0 and c not in self.next[at]:
+            self.next[at][c] = new
+            at = self.link[at]
+        if at >= 0:
+            old = self.next[at][c]
+            self.link[new] = old if self.length[old] == self.length[at] + 1 else self._split(at, c, old)
+        return new
+
+    def ends(self, text: str) -> Iterator[tuple[int, tuple[int, int]]]:
+        """(place, (length, value)) of every word that ends at a place of the text, longest first."""
+        moves, link, length, own, back = self.next, self.link, self.length, self.own, self.back
+        at = matched = 0
+        for place, c in enumerate(text):
+            to = moves[at].get(c)
+            while to is None and at:
+                at = link[at]
+                matched = length[at]
+                to = moves[at].get(c)
+            if to is None:
+                continue
+            at, matched = to, matched + 1
+            if at in own:
+                for found in own[at]:
+                    if found[0] <= matched:
+                        yield place, found
+            up = back[at]
+            while up >= 0:
+                for found in own[up]:
+                    yield place, found
+                up = back[up]
+
+
 class PrefixBpe:
     """Vocabulary, merges and the seam test; encodes one word of symbols."""
 
@@ -80,14 +160,15 @@ class PrefixBpe:
         self.unfit: list[set[int]] = [set() for _ in range(size)]
         self.n_seams = 0
         self.symbols: dict[int, str] = {}  # of the tokens that merges reach
-        self.ends = ahocorasick.Automaton()
         reached = set()
         for text, token in sorted(((t, vocab[t]) for t in symbols), key=lambda x: self.rank[x[1]]):
             if self.parts[token] is None or (reached.issuperset(self.parts[token]) and self._seam(*self.parts[token], top=False)):
                 reached.add(token)
                 self.symbols[token] = symbols[text]
-                self.ends.add_word(symbols[text], (token, self.length[token]))
-        self.ends.make_automaton()
+
+    @functools.cached_property
+    def automaton(self) -> SuffixAutomaton:
+        return SuffixAutomaton({symbols: token for token, symbols in self.symbols.items()})
 
     def _seam(self, left: int, right: int, top: bool = True) -> bool:
         """Whether no merge joins the two tokens; top: also test the pair itself.
@@ -124,7 +205,7 @@ class PrefixBpe:
 
     def encode(self, symbols: str) -> list[int]:
         last, fitting, unfit = [-1] * len(symbols), self.fitting, self.unfit
-        for end, (token, size) in self.ends.iter(symbols):
+        for end, (size, token) in self.automaton.ends(symbols):
             if last[end] < 0:
                 if size > end:
                     last[end] = token

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.shared import stored
+from voxlake.operators.skew import lookup_join
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,13 +24,14 @@ def star_components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(least, F.col("a") == F.col("k"))
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
-        now = stored(small, "edges")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # a star's centre meets its leaves in as many tasks as they need
+        large = stored(lookup_join(both.where(F.col("b") > F.col("a")), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = lookup_join(large, least, ["a"])
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        last, now = now, stored(small, "edges")
         before, state = state, _state(now)
-        if state == before:
+        if state == before and now.exceptAll(last).isEmpty():
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

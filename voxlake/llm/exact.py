@@ -1,11 +1,13 @@
-"""Exact duplicates through a minimal perfect hash over known digests.
-
-The history is the set of distinct digests that are known to recur. It is cut
-into shards by digest; each shard is a minimal perfect hash (levels of bit sets,
-in which a key takes the first level where it is alone) whose slots hold the
-whole digest, the winner's locator and the group's size. A row's digest leads to
-one slot; only if the slot's bytes equal the digest is the row a member. Rows
-that are not members form groups of their own.
+"""Exact duplicates through a minimal perfect hash over a history of digests.
+
+The history is the set of distinct digests of an older part of the table (the
+larger half of the doc_ids, so that its winners stay winners). It is cut into
+shards by digest; each shard is a minimal perfect hash (levels of bit sets, in
+which a key takes the first level where it is alone) whose slots hold the whole
+digest, the winner's locator and the number of its rows. A row's digest leads to
+one slot; only if the slot's bytes equal the digest is the row a member, and a
+repeat of the history's winner. Rows that are not members are grouped among
+themselves, and members that the history did not count are added to its sizes.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored, with_places
+from voxlake.operators.skew import lookup_join
 
 #: Digests of a shard aimed at, and most shards; the table of shard sizes is broadcast, so it is bounded by the latter.
 SHARD, MAX_SHARDS = 32_768, 65_536
@@ -171,6 +174,20 @@ def digest_groups(digests: DataFrame) -> DataFrame:
     return digests.groupBy("digest").agg(F.max(F.struct("doc_id", "row_id")).alias("winner"), F.count(F.lit(1)).alias("size"))
 
 
+#: Share of the doc_ids, from the largest, whose digests are the history.
+HISTORY = 0.5
+
+
+def history_start(digests: DataFrame) -> int | None:
+    """The doc_id at which the history begins; any would give the same groups."""
+    return digests.where(F.col("doc_id").isNotNull()).agg(F.percentile_approx("doc_id", 1 - HISTORY)).first()[0]
+
+
+def shards_for(n: int, spark: SparkSession) -> int:
+    """Shards of a history of n digests."""
+    return max(-(-n // SHARD), min(MAX_SHARDS, shuffle_width(spark))) if n <= SHARD * MAX_SHARDS else MAX_SHARDS
+
+
 def exact_groups(docs: DataFrame, place: str | None = None) -> DataFrame:
     """doc_id, row_id, keep_id, keep_row, group_size, kept, text_sha256 of every row.
 
@@ -181,30 +198,36 @@ def exact_groups(docs: DataFrame, place: str | None = None) -> DataFrame:
     row_id is the column place, if given.
     """
     digests = stored(text_digests(docs, place), "digests")
-    recurring = stored(digest_groups(digests).where(F.col("size") > 1), "recurring")
-    shards = max(1, min(MAX_SHARDS, -(-recurring.count() // SHARD)))
-    shards = max(shards, min(MAX_SHARDS, shuffle_width(docs.sparkSession)))
-    found = look_up(digests, stored(build_index(recurring, shards), "perfect-hash"), shards)
-    # whatever is not in the history occurs once: each such row is its own group
-    keep = lambda inside, own: F.when(F.col("member"), F.col(inside)).otherwise(own)
+    start = history_start(digests)
+    old = F.coalesce(F.col("doc_id") >= F.lit(start), F.lit(False)) if start is not None else F.lit(False)
+    known = stored(digest_groups(digests.where(old)), "history")
+    shards = shards_for(known.count(), docs.sparkSession)
+    found = delivered(digests, stored(build_index(known, shards), "perfect-hash"), shards, old)
     return found.select(
-        "doc_id", "row_id", keep("keep_id", F.col("doc_id")).alias("keep_id"), keep("keep_row", F.col("row_id")).alias("keep_row"),
-        keep("size", F.lit(1)).alias("group_size"), (~F.col("member") | (F.col("row_id") == F.col("keep_row"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
+        "doc_id", "row_id", "keep_id", "keep_row", F.col("size").alias("group_size"), (F.col("row_id") == F.col("keep_row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def new_groups(digests: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """A later delivery (doc_id, row_id, digest) against an older history.
+def delivered(digests: DataFrame, index: DataFrame, shards: int, counted: F.Column | None = None) -> DataFrame:
+    """doc_id, row_id, digest, member, keep_id, keep_row, size of rows judged against a history.
 
-    Members get the history's winner and are not kept; the others are grouped
-    among themselves, largest doc_id first. Columns: doc_id, row_id, digest,
-    member, keep_id.
+    Members get the history's winner; the others are grouped among themselves,
+    largest doc_id first. size is the group's: the history's rows and those
+    members that it has not counted (all, unless counted says which it has).
     """
-    found = stored(look_up(digests, index, shards), "looked-up")
-    own = digest_groups(found.where(~F.col("member")))
-    fresh = found.where(~F.col("member")).drop("keep_id").join(own.select("digest", F.col("winner.doc_id").alias("keep_id")), "digest")
-    names = ("doc_id", "row_id", "digest", "member", "keep_id")
-    return found.where("member").select(*names).unionByName(fresh.select(*names))
+    counted = F.lit(False) if counted is None else counted
+    found = stored(look_up(digests, index, shards).withColumn("new", ~counted), "looked-up")
+    more = found.where(F.col("member") & F.col("new")).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    members = lookup_join(found.where("member"), stored(more.withColumnRenamed("n", "more"), "added"), ["digest"], "left", deal=["row_id"], counts=more)
+    members = members.withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+    rest = found.where(~F.col("member"))
+    own = stored(digest_groups(rest), "new-groups")
+    own = own.select("digest", F.col("winner.doc_id").alias("own_id"), F.col("winner.row_id").alias("own_row"), F.col("size").alias("n"))
+    fresh = lookup_join(rest, own, ["digest"], deal=["row_id"], counts=own)
+    fresh = fresh.withColumns({"keep_id": F.col("own_id"), "keep_row": F.col("own_row"), "size": F.col("n")})
+    names = ("doc_id", "row_id", "digest", "member", "keep_id", "keep_row", "size")
+    return members.select(*names).unionByName(fresh.select(*names))
 
 
 def keep_winners(docs: DataFrame) -> DataFrame:

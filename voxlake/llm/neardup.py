@@ -8,8 +8,10 @@ those shards whose borders it overlaps. Each shard builds a tree of its own,
 prunes branches in the same way and compares what is left bit by bit. Pairs are
 folded into a spanning forest at once, so a large group yields few edges.
 
-Where a similarity of shingle sets decides, fingerprints are only the finder: the
-sets of each group found are compared with each other, shingle by shingle.
+Where a similarity of shingle sets decides, fingerprints are only the finder.
+Candidates are kept within the key that they share: sets meet in the groups that
+fingerprints link under one shingle minimum, or that share one rare shingle, and
+no two such groups are joined before their sets are compared.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.components import star_components
 from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored, with_places
+from voxlake.operators.skew import lookup_join
 
 SEED = 42
 #: Fingerprints of a shard aimed at, most levels of the shard tree, its sample; leaf of a tree, cells compared at a time.
@@ -70,19 +73,15 @@ def shingle_minima(hashes: np.ndarray, n: int) -> list[int]:
     return (mixed ^ mixed >> np.uint64(32)).min(1).view(np.int64).tolist()
 
 
-def fingerprints(docs: DataFrame, words: int, bits: int = 64, minima: int = 0) -> DataFrame:
-    """doc_id, row_id, fp (the fingerprint's bytes), minima of that many hash functions."""
+def fingerprints(docs: DataFrame, words: int, bits: int = 64) -> DataFrame:
+    """doc_id, row_id, fp (the fingerprint's bytes)."""
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, least = [], []
-        for text in batch["text"].to_pylist():
-            hashes = shingle_hashes(text, words, bits)
-            fps.append(majority(hashes))
-            least.append(shingle_minima(hashes, minima) if minima else [])
-        return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], fp=pa.array(fps, pa.binary()), minima=pa.array(least, pa.list_(pa.int64())))
+        fps = [majority(shingle_hashes(text, words, bits)) for text in batch["text"].to_pylist()]
+        return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], fp=pa.array(fps, pa.binary()))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_rows(rows, part, "doc_id long, row_id long, fp binary, minima array<bigint>")
+    return map_rows(rows, part, "doc_id long, row_id long, fp binary")
 
 
 def _bits(fps: pa.Array) -> np.ndarray:
@@ -175,9 +174,23 @@ class Forest:
 
 def near_forest(members: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Ends of a spanning forest of all pairs (query, member) within the radius, by a vantage-point tree over the members."""
+    values, _, forest = _linked(members, queries, radius)
+    edges = np.array(forest.edges, np.int64).reshape(-1, 2)
+    return values[edges[:, 0]], values[edges[:, 1]]
+
+
+def near_labels(members: np.ndarray, radius: int) -> np.ndarray:
+    """For each row a label of the group that pairs within the radius link it to."""
+    _, place, forest = _linked(members, members[:0], radius, True)
+    return forest.label[place]
+
+
+def _linked(members: np.ndarray, queries: np.ndarray, radius: int, among: bool = False) -> tuple[np.ndarray, np.ndarray, Forest]:
+    """Distinct rows, each row's place among them, and their forest; among: members are the queries too."""
     values, place = _distinct(np.concatenate([members, queries]))
     forest = Forest(len(values))
-    stack = [(np.unique(place[: len(members)]), np.unique(place[len(members) :]))]
+    first = np.unique(place[: len(members)])
+    stack = [(first, first if among else np.unique(place[len(members) :]))]
     while stack:
         m, q = stack.pop()
         if not len(m) or not len(q):
@@ -198,8 +211,7 @@ def near_forest(members: np.ndarray, queries: np.ndarray, radius: int) -> tuple[
             x, y = np.nonzero(_gap(values[some][:, None], values[m][None, :]) <= radius)
             a, b = some[x], m[y]
             forest.add(a[a != b], b[a != b])
-    edges = np.array(forest.edges, np.int64).reshape(-1, 2)
-    return values[edges[:, 0]], values[edges[:, 1]]
+    return values, place, forest
 
 
 def near_edges(fps: DataFrame, radius: int) -> DataFrame:
@@ -244,38 +256,50 @@ def near_edges(fps: DataFrame, radius: int) -> DataFrame:
     return members.select(*take).groupBy(*keys).cogroup(asking.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(link, "a binary, b binary")
 
 
-def edges_by_minima(rows: DataFrame, radius: int) -> DataFrame:
-    """a, b: forests of the links within each group of fingerprints that share a minimum.
+def groups_by_minima(rows: DataFrame, radius: int) -> DataFrame:
+    """comp, fp: groups of sets (fp, print, minima) that share a minimum and whose fingerprints link them there.
 
     Two sets of shingles with similarity s share one of n minima with
-    probability 1 - (1 - s) ** n. Groups are runs of a sorted partition; those
-    too large for a task are taken out and linked by near_edges instead.
+    probability 1 - (1 - s) ** n. A group is named by its members, so the same
+    group under several minima is one. Keys with more fingerprints than a task
+    holds are taken out and linked by near_edges instead, all of them together.
     """
-    keyed = stored(rows.select("fp", F.posexplode("minima").alias("slot", "least")).distinct(), "minima")
-    crowded = stored(keyed.groupBy("slot", "least").count().where(F.col("count") > SHARD).select("slot", "least"), "crowded")
+    keyed = stored(rows.select("fp", "print", F.posexplode("minima").alias("slot", "least")), "minima")
+    counts = keyed.groupBy("slot", "least").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = stored(counts, "shared-minima")
+    several = lookup_join(keyed, counts.where(F.col("n") <= SHARD).drop("n"), ["slot", "least"], "left_semi", deal=["fp"], counts=counts)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, fps = None, []
+        held, fps, prints = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(fps) > 1:
-                bits = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
-                a, b = near_forest(bits, bits, radius)
-                if len(a):
-                    yield columns(a=pa.array([r.tobytes() for r in a], pa.binary()), b=pa.array([r.tobytes() for r in b], pa.binary()))
+            labels = near_labels(np.frombuffer(b"".join(prints), "<u8").reshape(len(prints), -1), radius) if prints else np.zeros(0, np.int64)
+            order = np.argsort(labels, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1):
+                if len(part) > 1:
+                    members = sorted(fps[i] for i in part)
+                    comp = xxhash.xxh128_digest(b"".join(members), SEED)
+                    yield columns(comp=pa.array([comp] * len(members), pa.binary()), fp=pa.array(members, pa.binary()))
 
         for batch in batches:
-            for key, fp in zip(zip(batch["slot"].to_pylist(), batch["least"].to_pylist(), strict=True), batch["fp"].to_pylist(), strict=True):
+            for *key, fp, own in zip(*(batch[c].to_pylist() for c in ("slot", "least", "fp", "print")), strict=True):
                 if key != held:
                     yield from close()
-                    held, fps = key, []
+                    held, fps, prints = key, [], []
                 fps.append(fp)
+                prints.append(own)
         yield from close()
 
-    runs = keyed.join(crowded, ["slot", "least"], "left_anti").repartition(shuffle_width(rows.sparkSession), "slot", "least").sortWithinPartitions("slot", "least")
-    edges = runs.mapInArrow(link, "a binary, b binary")
-    dense = stored(keyed.join(crowded, ["slot", "least"], "left_semi").select("fp").distinct(), "dense")
-    return edges.unionByName(near_edges(dense, radius))
+    runs = several.repartition(shuffle_width(rows.sparkSession), "slot", "least").sortWithinPartitions("slot", "least")
+    found = runs.mapInArrow(link, "comp binary, fp binary").distinct()
+    crowded = counts.where(F.col("n") > SHARD).drop("n")
+    if crowded.isEmpty():
+        return found
+    dense = stored(lookup_join(keyed, crowded, ["slot", "least"], "left_semi", deal=["fp"], counts=counts).select("fp", "print").distinct(), "dense")
+    stars = star_components(near_edges(dense.select(F.col("print").alias("fp")).distinct(), radius))
+    rooted = stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+    linked = lookup_join(dense.withColumnRenamed("print", "node"), stored(rooted, "dense-groups"), ["node"], deal=["fp"])
+    return found.unionByName(linked.select(F.col("root").alias("comp"), "fp"))
 
 
 def _first_order() -> F.Column:
@@ -292,11 +316,11 @@ def named_groups(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataF
     salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))  # a large group meets its first row in several tasks
     named = salted.join(groups, (F.col("root") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).select(F.col("fp").alias("linked_fp"), "group_first")
     whole = classes.join(named, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("group_first", "first").alias("head"))
-    joined = rows.join(stored(whole, "groups"), F.col("fp") == F.col("class_fp"))
+    joined = lookup_join(rows, stored(whole, "groups").withColumnRenamed("class_fp", "fp"), ["fp"], deal=["row_id"])  # copies share a fingerprint
     return joined.select("doc_id", "row_id", "fp", F.col("head.doc_id").alias("component_id"), F.col("head.row_id").alias("root_row"))
 
 
-def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64, minima: int = 0) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64) -> DataFrame:
     """doc_id, row_id, fp, component_id, root_row of every row.
 
     Texts whose fingerprints differ in at most radius bits are linked; linked
@@ -304,13 +328,12 @@ def near_groups(docs: DataFrame, words: int = 4, radius: int = 4, bits: int = 64
     no row of it has one; root_row is the row that stands for the group (the
     smallest doc_id, rows without one last, then reading order). Null texts and
     texts without words have fingerprint zero and are linked like any other;
-    texts with fewer words are one shingle. With minima, only texts that share
-    one of so many shingle minima are compared. Repeated rows give one row each;
+    texts with fewer words are one shingle. Repeated rows give one row each;
     other columns are ignored; an empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, words, bits, minima), "fingerprints")
+    rows = stored(fingerprints(docs, words, bits), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min(_first_order()).alias("first")), "classes")
-    return named_groups(rows, classes, edges_by_minima(rows, radius) if minima else near_edges(classes, radius))
+    return named_groups(rows, classes, near_edges(classes, radius))
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -330,7 +353,7 @@ def shingle_set(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_rows(docs: DataFrame, place: str, words: int, similarity: float, minima: int) -> DataFrame:
-    """doc_id, row_id (the column place), fp (digest of the shingle set), print (its fingerprint), size, minima (over FEW shingles), few (prefix shingles of sets that may be similar to one of FEW)."""
+    """doc_id, row_id (the column place), fp (digest of the shingle set), print (its fingerprint), size, minima (over FEW shingles), few (the whole set, where it may be similar to one of at most FEW)."""
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = {"fp": [], "print": [], "size": [], "minima": [], "few": []}
@@ -342,7 +365,7 @@ def set_rows(docs: DataFrame, place: str, words: int, similarity: float, minima:
             out["print"].append(majority(hashes[at]))
             out["size"].append(n)
             out["minima"].append(shingle_minima(hashes[at], minima) if n > FEW else [])
-            out["few"].append(own[: prefix_length(n, similarity)].view(np.int64).tolist() if n * similarity <= FEW + 1e-9 else [])
+            out["few"].append(own.view(np.int64).tolist() if n * similarity <= FEW + 1e-9 else [])
         kinds = (pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return columns(doc_id=batch["doc_id"], row_id=batch["row_id"], **{c: pa.array(v, kind) for (c, v), kind in zip(out.items(), kinds, strict=True)})
 
@@ -350,21 +373,40 @@ def set_rows(docs: DataFrame, place: str, words: int, similarity: float, minima:
     return map_rows(rows, part, "doc_id long, row_id long, fp binary, print binary, size long, minima array<bigint>, few array<bigint>")
 
 
+def groups_by_rare_shingle(classes: DataFrame, similarity: float) -> DataFrame:
+    """comp, fp: groups of small sets (few) that share one of the first shingles of each, rarest first.
+
+    Two sets of at least the similarity share one of their first prefix_length
+    elements in any common order; here the order is the shingles' frequency
+    among these sets, so a common opening line is in a prefix only where little
+    else is. Shingles of one set only count as rarest and need no group. Of
+    shingles with the same sets one is kept.
+    """
+    keyed = stored(classes.where(F.size("few") > 0).select("fp", "size", F.explode("few").alias("shingle")), "few")
+    counts = stored(keyed.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-shingles")
+    shared = lookup_join(keyed, counts, ["shingle"], deal=["fp"], counts=counts)
+    kept = shared.groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # at most FEW / similarity shingles
+    n = F.col("size")
+    prefix = n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1 - (n - F.size("s"))
+    ahead = stored(kept.where(prefix > 0).select("fp", F.explode(F.slice("s", F.lit(1), prefix.cast("int"))).alias("x")).select("fp", F.col("x.shingle").alias("shingle")), "prefixes")
+    members = F.xxhash64("fp")
+    same = ahead.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(members).alias("x"), F.sum(members.cast("decimal(20,0)")).alias("s")).where("n > 1")
+    chosen = stored(same.groupBy("n", "x", "s").agg(F.min("shingle").alias("shingle")).select("shingle", "n"), "rare-shingles")
+    found = lookup_join(ahead, chosen.drop("n"), ["shingle"], deal=["fp"], counts=chosen)
+    return found.select(F.unhex(F.hex("shingle")).alias("comp"), "fp")
+
+
 def candidate_groups(classes: DataFrame, similarity: float, bits: int = 128) -> DataFrame:
-    """fp, size, row_id, comp: sets that have any other within their group comp; similar sets are in one group.
+    """comp, fp, size, row_id: similar sets meet in some group comp; a set may be in several.
 
-    Sets of more than FEW shingles are linked by fingerprints that share a
-    minimum and lie within the finder's radius; smaller ones, and those up to
-    FEW / similarity, by any shared prefix shingle, which misses none.
+    Sets of more than FEW shingles meet by fingerprints that share a minimum and
+    lie within the finder's radius; smaller ones, and those up to FEW /
+    similarity, by a shared rare shingle, which misses none.
     """
-    many = edges_by_minima(classes.where(F.col("size") > FEW).select(F.col("print").alias("fp"), "minima"), finder_radius(similarity, bits))
-    keyed = stored(classes.select("fp", F.explode("few").alias("shingle")), "few")
-    shared = keyed.groupBy("shingle").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("shingle").alias("of"), "b")
-    few = keyed.join(shared, F.col("shingle") == F.col("of")).select(F.col("fp").alias("a"), "b")
-    both = classes.where((F.col("size") > FEW) & (F.size("few") > 0)).select(F.col("fp").alias("a"), F.col("print").alias("b"))
-    stars = star_components(many.unionByName(few).unionByName(both))
-    nodes = classes.select("fp", "size", F.col("first.row_id").alias("row_id"), F.when(F.col("size") > FEW, F.col("print")).otherwise(F.col("fp")).alias("at"))
-    return nodes.join(stars, F.col("at") == F.col("node"), "left").select("fp", "size", "row_id", F.coalesce("root", "at").alias("comp"))
+    many = groups_by_minima(classes.where(F.col("size") > FEW).select("fp", "print", "minima"), finder_radius(similarity, bits))
+    found = stored(many.unionByName(groups_by_rare_shingle(classes, similarity)), "candidate-groups")
+    nodes = classes.select("fp", "size", F.col("first.row_id").alias("row_id"))
+    return lookup_join(found, nodes, ["fp"], deal=["comp"])
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -408,19 +450,22 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def similar_edges(docs: DataFrame, place: str, found: DataFrame, words: int, similarity: float) -> DataFrame:
     """a, b: forests of the pairs of fp in each group of found whose shingle sets have the similarity.
 
-    A group's sets meet in one task; of a group with more than WORK shingles,
-    every two parts meet.
+    A text's set is made once and sent to each of its groups. A group's sets
+    meet in one task; of a group with more than WORK shingles, every two parts
+    meet.
     """
-    loads = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / WORK).cast("int").alias("parts")).where("n > 1").select(F.col("comp").alias("of"), "parts")
-    dealt = found.join(loads, F.col("comp") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    dealt = stored(dealt.select("fp", "comp", "parts", "own", F.col("row_id").alias("of_row")), "candidates")
+    found = stored(found, "grouped")
+    loads = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("size") / WORK).cast("int").alias("parts")).where("n > 1")
+    dealt = lookup_join(found, stored(loads.drop("n"), "group-loads"), ["comp"], deal=["fp"]).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    dealt = stored(dealt.groupBy("fp", F.col("row_id").alias("of_row")).agg(F.collect_list(F.struct("comp", "parts", "own")).alias("of")), "candidates")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [shingle_set(shingle_hashes(t, words, 128))[0].tobytes() for t in batch["text"].to_pylist()]
-        return columns(fp=batch["fp"], comp=batch["comp"], parts=batch["parts"], own=batch["own"], shingles=pa.array(out, pa.binary()))
+        return columns(fp=batch["fp"], of=batch["of"], shingles=pa.array(out, pa.binary()))
 
     texts = docs.select(F.col(place).alias("at_row"), F.coalesce("text", F.lit("")).alias("text"))
-    held = map_rows(texts.join(dealt, F.col("at_row") == F.col("of_row")).select("fp", "comp", "parts", "own", "text"), sets, "fp binary, comp binary, parts int, own int, shingles binary")
+    held = map_rows(texts.join(dealt, F.col("at_row") == F.col("of_row")).select("fp", "of", "text"), sets, "fp binary, of array<struct<comp: binary, parts: int, own: int>>, shingles binary")
+    held = stored(held, "sets").select("fp", F.explode("of").alias("o"), "shingles").select("fp", "o.*", "shingles")
     pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "shingles")
     keys = ("comp", "low", "high")
@@ -445,6 +490,11 @@ def similar_edges(docs: DataFrame, place: str, found: DataFrame, words: int, sim
     return pairs.repartition(shuffle_width(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(link, "a binary, b binary")
 
 
+def set_classes(rows: DataFrame) -> DataFrame:
+    """One row for each distinct set, with the first of its rows."""
+    return rows.groupBy("fp").agg(F.min(_first_order()).alias("first"), *(F.first(c).alias(c) for c in ("print", "size", "minima", "few")))
+
+
 def similar_groups(docs: DataFrame, place: str, words: int, similarity: float, bits: int = 128, minima: int = 10) -> DataFrame:
     """Like near_groups, but texts are linked whose sets of shingles have at least this Jaccard similarity.
 
@@ -452,8 +502,7 @@ def similar_groups(docs: DataFrame, place: str, words: int, similarity: float, b
     column. Texts without words are linked with each other.
     """
     rows = stored(set_rows(docs, place, words, similarity, minima), "shingle-sets")
-    classes = rows.groupBy("fp").agg(F.min(_first_order()).alias("first"), *(F.first(c).alias(c) for c in ("print", "size", "minima", "few")))
-    classes = stored(classes, "classes")
+    classes = stored(set_classes(rows), "classes")
     return named_groups(rows, classes, similar_edges(docs, place, candidate_groups(classes, similarity, bits), words, similarity))
 
 

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.shared import columns, doc_texts, map_rows
+from voxlake.llm.shared import columns, doc_texts, map_rows, stored
 
 WIDTH, STRIDE, BLOCK = 8, 2, 64
+#: Bytes of texts that are laid out at a time, some 150 bytes of memory each; whole blocks.
+PART = 2048 * STRIDE * BLOCK
 THRESHOLD = 0.7
 
 
@@ -101,7 +103,48 @@ class ByteNet:
         return x
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-self._forward(texts, False)["logit"].astype(np.float64)))
+        """Probabilities; texts are laid out together up to PART bytes, a longer one is worked through in runs of blocks."""
+        logits, group, size = np.zeros(len(texts)), [], 0
+        for i, text in enumerate([*texts, None]):
+            if group and (text is None or size + len(text) > PART):
+                logits[group] = self._forward([texts[k] for k in group], False)["logit"]
+                group, size = [], 0
+            if text is not None and len(text) > PART:
+                logits[i] = self._long(text)
+            elif text is not None:
+                group.append(i)
+                size += len(text)
+        return 1 / (1 + np.exp(-logits))
+
+    def _long(self, text: bytes) -> float:
+        """The logit of one text, holding a run of blocks and the sums and maxima of the chunks so far."""
+        p, span, run = self.p, STRIDE * BLOCK, PART // (STRIDE * BLOCK)
+        windows = -(-len(text) // STRIDE)
+        blocks = -(-windows // BLOCK)
+        total, high, last = np.zeros(p["bias"].shape[0]), None, None
+        for at in range(0, blocks, run):
+            n = min(run, blocks - at)
+            data = text[at * span : (at + n) * span + WIDTH].ljust(n * span + WIDTH, b"\0")
+            cells = p["embed"][np.frombuffer(data, np.uint8)]
+            d = cells.shape[1]
+            rows = np.lib.stride_tricks.as_strided(cells, (n * BLOCK, WIDTH * d), (STRIDE * cells.strides[0], cells.strides[1]))
+            maps = (np.ascontiguousarray(rows) @ p["filters"]).reshape(n, BLOCK, -1)
+            filled = np.clip(windows - BLOCK * (at + np.arange(n)), 0, BLOCK)
+            for b in np.flatnonzero(filled < BLOCK):
+                maps[b, filled[b]:] = -1e9
+            top = maps.max(1)
+            if last is not None:
+                top, filled = np.concatenate([last[0], top]), np.concatenate([last[1], filled])
+            last = top[-1:], filled[-1:]
+            if len(top) < 2:
+                continue
+            fill = ((filled[:-1] + filled[1:]) / (2 * BLOCK)).astype(np.float32)
+            pooled = np.maximum(np.maximum(top[:-1], top[1:]) + p["shift"], 0)
+            act = np.maximum(np.concatenate([pooled, np.log(fill)[:, None]], 1) @ p["hidden"] + p["bias"], 0)
+            total += act.sum(0, dtype=np.float64)
+            high = act.max(0) if high is None else np.maximum(high, act.max(0))
+        summary = np.concatenate([total / (blocks - 1), high])
+        return float(summary @ p["out"] + p["prior"][0])
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, x = self.p, self._forward(texts, True)
@@ -166,19 +209,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, t: Training = Training()
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    known = stored(known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi"), "labelled")
     order = F.xxhash64("doc_id")
-    sized = doc_texts(docs).groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("size")).join(known, "doc_id")
-    chosen: list[tuple[int, int]] = []
+    first = [known.where(F.col("quality") == quality).orderBy(order, "doc_id").limit(t.rows_per_class) for quality in (0, 1)]
+    ids = [tuple(r) for r in first[0].unionByName(first[1]).select("doc_id", "quality").collect()]  # 2 * rows_per_class at most
+    if not ids:
+        return [], []
+    picked = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, quality int"))
+    least = F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")  # of a repeated id one row
+    found = stored(doc_texts(docs).join(picked, "doc_id").groupBy("doc_id", "quality").agg(least).select("doc_id", "quality", "t.*"), "labelled-texts")
+    chosen: list[int] = []
     for quality in (0, 1):
         room = t.bytes // 2
-        for row in sized.where(F.col("quality") == quality).orderBy(order, "doc_id").limit(t.rows_per_class).select("doc_id", "size").collect():
+        for row in found.where(F.col("quality") == quality).select("doc_id", "size").orderBy(order, "doc_id").collect():
             if row["size"] <= room:
                 room -= row["size"]
-                chosen.append((row["doc_id"], quality))
-    if not chosen:
-        return [], []
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")
-    rows = doc_texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+                chosen.append(row["doc_id"])
+    rows = found.where(F.col("doc_id").isin(chosen)).select("doc_id", "quality", "text").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"].encode() for r in rows], [r["quality"] for r in rows]
 
@@ -198,18 +245,8 @@ def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:
     params = docs.sparkSession.sparkContext.broadcast(net.p)  # fixed size, under 100 KB
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = ByteNet(params.value)
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()]
-        out, group, size = [], [], 0
-        for text in texts:
-            if group and size + len(text) > 300_000:
-                out.append(model.scores(group))
-                group, size = [], 0
-            group.append(text)
-            size += len(text)
-        if group:
-            out.append(model.scores(group))
-        return columns(doc_id=batch["doc_id"], score=pa.array(np.concatenate(out)))
+        scores = ByteNet(params.value).scores([t.encode("utf-8", "surrogatepass") for t in batch["text"].to_pylist()])
+        return columns(doc_id=batch["doc_id"], score=pa.array(scores))
 
     return map_rows(doc_texts(docs), part, "doc_id long, score double")
 
@@ -227,15 +264,7 @@ def keep_good(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD) -> Da
     def score(texts):
         import pandas as pd
 
-        model, values = ByteNet(params.value), [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
-        out, at, size = [], 0, 0
-        for i, v in enumerate(values):
-            if i > at and size + len(v) > 300_000:
-                out.append(model.scores(values[at:i]))
-                at, size = i, 0
-            size += len(v)
-        if values[at:]:
-            out.append(model.scores(values[at:]))
-        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
+        values = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+        return pd.Series(ByteNet(params.value).scores(values), dtype="float64")
 
     return docs.where(score("text") >= threshold)

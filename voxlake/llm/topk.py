@@ -5,7 +5,8 @@ is sorted by that key, so a run of rows is an annulus around a pivot. For a
 query q, a row x and a pivot p, |q - x| >= ||q - p| - |x - p||, hence
 q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 is bounded by the annulus. Each task
 expands its annuli from the best bound downwards and stops a query when no bound
-reaches its k-th score so far. Queries visit the index in blocks.
+reaches its k-th score so far, which it keeps for all its rows. Queries visit the
+index in blocks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.shared import columns, shuffle_width, stored
 
-#: Sample that pivots and first thresholds come from (rows), pivots, rows of an annulus, queries of a block.
-SAMPLE, PIVOTS, ANNULUS, QUERY_BLOCK = 4096, 64, 512, 4096
+#: Sample that pivots and first thresholds come from (rows), pivots, rows of an annulus, components of a block of queries.
+SAMPLE, PIVOTS, ANNULUS, QUERY_BLOCK = 4096, 64, 512, 2_000_000
 #: Products below this are exact in doubles; larger vectors are multiplied as Python integers.
 EXACT = float(1 << 52)
 
@@ -55,6 +56,14 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+class Found:
+    """What a task has found for a block of queries: best rows, k-th scores, and the pairs of query and annulus it multiplied."""
+
+    def __init__(self, floor: np.ndarray):
+        self.kth, self.pairs = floor.copy(), 0
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class QueryBlock:
     """Queries of one dimension with a lower bound of each k-th score."""
 
@@ -71,17 +80,15 @@ class QueryBlock:
             if s.shape[1] >= self.k:
                 self.floor = np.maximum(self.floor, -np.sort(-s, 1)[:, self.k - 1])
 
-    def expand(self, annuli: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Best rows of these annuli for every query: (query position, ids, scores)."""
+    def expand(self, annuli: list[tuple], state: Found) -> None:
+        """Best rows of these annuli for every query, on top of what the task has found so far."""
         bounds = np.stack([self.bound(*a[:4]) for a in annuli], 1)
         order = np.argsort(-bounds.max(0))
-        kth = self.floor.copy()
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kth, found = state.kth, state.found
         for a in order:
             ids, vectors = annuli[a][4:]
             active = np.flatnonzero(bounds[:, a] >= kth)
-            if not len(active):
-                continue
+            state.pairs += len(active)
             for at in range(0, len(active), 1024):
                 some = active[at : at + 1024]
                 scores = _products(self.vectors[some], vectors)
@@ -94,8 +101,6 @@ class QueryBlock:
                     found[q] = (all_ids[keep], all_scores[keep])
                     if len(keep) == self.k:
                         kth[q] = max(kth[q], float(all_scores[keep[-1]]))
-        for q, (ids, scores) in found.items():
-            yield q, ids, scores
 
     def bound(self, pivot: int, near: float, far: float, norm2: float) -> np.ndarray:
         """Largest possible product with a row of the annulus; rounding only raises it."""
@@ -183,12 +188,13 @@ def top_k(table: DataFrame, query_ids: F.Column, key: str = "vec_id", vector: st
     pivots = {w: choose_pivots(x, PIVOTS) for w, (_, x) in by_width.items()}
     index = pivot_index(vectors, pivots)
     queries = index.where(query_ids).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks))), "queries") if n else queries.withColumn("block", F.lit(0))
+    queries = stored(queries, "queries")
+    n = queries.agg(F.sum(F.size("vector") + 1).alias("n")).first()["n"] or 0
+    blocks = -(-2 * n // QUERY_BLOCK)
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
     results = []
-    for b in range(2 * blocks if n else 0):
-        some = queries.where(F.col("block") == b).collect()  # about QUERY_BLOCK / 2 rows
+    for b in range(blocks):  # one pass over the index for each
+        some = queries.where(F.col("block") == b).collect()  # about QUERY_BLOCK / 2 components
         if not some:
             continue
         prepared = {}
@@ -210,13 +216,18 @@ def top_k(table: DataFrame, query_ids: F.Column, key: str = "vec_id", vector: st
 
 
 def _search(index: DataFrame, block) -> DataFrame:
+    """Up to k rows for each query and task: bounds rise through all of a task's batches."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[int, Found] = {}
         for width, annuli in _annuli(batches):
-            if width not in block.value:
-                continue
-            q = block.value[width]
-            if found := list(q.expand(annuli)):
-                of = np.repeat([q.ids[at] for at, _, _ in found], [len(ids) for _, ids, _ in found])
-                yield columns(query_id=pa.array(of), vec_id=pa.array(np.concatenate([x[1] for x in found])), score=pa.array(np.concatenate([x[2] for x in found])))
+            if width in block.value:
+                q = block.value[width]
+                q.expand(annuli, states.setdefault(width, Found(q.floor)))
+        for width, state in states.items():
+            if state.found:
+                q, found = block.value[width], state.found
+                of = np.repeat([q.ids[at] for at in found], [len(ids) for ids, _ in found.values()])
+                yield columns(query_id=pa.array(of), vec_id=pa.array(np.concatenate([x[0] for x in found.values()])), score=pa.array(np.concatenate([x[1] for x in found.values()])))
 
     return index.mapInArrow(search, "query_id long, vec_id long, score long")

@@ -1,17 +1,21 @@
 """URL filters: pattern rules found through their rarest literal token.
 
 A rule is a pattern with literal tokens (runs of a-z and 0-9 that stand whole in
-every URL it fits). It is filed under the one that is rarest over all URLs. A
-URL's tokens fetch candidate rules, and only those run regular expressions.
+every URL it fits). It is filed under the one that is rarest over all URLs; a
+rule without a whole token under its longest piece of text. A URL's tokens, and
+the pieces found in one pass over it, fetch candidate rules, and only those run
+regular expressions. Rules come from a table or a list.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +34,17 @@ class SiteRule:
     site: str
     verdict: str
 
-    @property
-    def regex(self) -> str:
+    @functools.cached_property
+    def regex(self) -> re.Pattern:
         host, _, path = self.site.partition("/")
-        return rf"(?s)(?:.*\.)?{re.escape(host)}\0{re.escape('/' + path)}"
+        return re.compile(rf"(?s)(?:.*\.)?{re.escape(host)}\0{re.escape('/' + path)}")
+
+    def fits(self, host: str, path: str, url: str) -> bool:
+        return bool(self.regex.match(f"{host}\0{path}"))
+
+    @property
+    def piece(self) -> str:
+        return max(self.site.lower().split("/"), key=len)
 
     @property
     def literals(self) -> list[str]:
@@ -48,9 +59,25 @@ class UrlPattern:
     text: str
     verdict: str
 
+    @functools.cached_property
+    def regexes(self) -> tuple[re.Pattern, ...]:
+        """One for each stretch between stars."""
+        separator = {"^": r"(?:[^A-Za-z0-9]|\Z)"}
+        return tuple(re.compile("(?s)" + "".join(separator.get(c, re.escape(c)) for c in part)) for part in self.text.split("*") if part)
+
+    def fits(self, host: str, path: str, url: str) -> bool:
+        """Stretches one after the other, each at its first place: all have a fixed length, so no other choice ends earlier."""
+        at = 0
+        for regex in self.regexes:
+            found = regex.search(url, at)
+            if not found:
+                return False
+            at = found.end()
+        return True
+
     @property
-    def regex(self) -> str:
-        return "(?s).*" + "".join({"*": ".*", "^": "(?:[^A-Za-z0-9]|$)"}.get(c, re.escape(c)) for c in self.text)
+    def piece(self) -> str:
+        return max((p for part in self.text.lower().split("*") for p in part.split("^")), key=len)
 
     @property
     def literals(self) -> list[str]:
@@ -80,23 +107,33 @@ def url_tokens(url: str) -> set[str]:
 
 
 class RuleIndex:
-    """Rules by their rarest literal; rules without one are candidates for every URL."""
+    """Rules by their rarest literal, else by their longest piece; rules without any text are candidates for every URL."""
 
     def __init__(self, rules: list, counts: dict[str, int]):
         self.by_token: dict[str, list] = defaultdict(list)
+        self.by_piece: dict[str, list] = defaultdict(list)
         self.always: list = []
         for rule in rules:
-            entry = (rule, re.compile(rule.regex))
             if literals := rule.literals:
-                self.by_token[min(literals, key=lambda t: (counts.get(t, 0), t))].append(entry)
+                self.by_token[min(literals, key=lambda t: (counts.get(t, 0), t))].append(rule)
+            elif rule.piece:
+                self.by_piece[rule.piece].append(rule)
             else:
-                self.always.append(entry)
+                self.always.append(rule)
+        self.pieces = ahocorasick.Automaton()
+        for piece in self.by_piece:
+            self.pieces.add_word(piece, piece)
+        if self.by_piece:
+            self.pieces.make_automaton()
 
     def candidates(self, url: str) -> list:
         found = list(self.always)
         for token in url_tokens(url):
             if token in self.by_token:
                 found += self.by_token[token]
+        if self.by_piece:
+            for piece in {p for _, p in self.pieces.iter(url.lower())}:
+                found += self.by_piece[piece]
         return found
 
     def judge(self, url: str | None, default: str) -> tuple[str, str, str | None, str, int]:
@@ -104,11 +141,11 @@ class RuleIndex:
         host, path = host_path(url)
         url = url or ""
         candidates, site, pattern = self.candidates(url), None, None
-        for rule, regex in candidates:
+        for rule in candidates:
             if isinstance(rule, SiteRule):
-                if regex.match(f"{host}\0{path}") and (site is None or (len(rule.site), rule.site) > (len(site.site), site.site)):
+                if (site is None or (len(rule.site), rule.site) > (len(site.site), site.site)) and rule.fits(host, path, url):
                     site = rule
-            elif regex.match(url) and (pattern is None or (len(rule.text), rule.text) > (len(pattern.text), pattern.text)):
+            elif (pattern is None or (len(rule.text), rule.text) > (len(pattern.text), pattern.text)) and rule.fits(host, path, url):
                 pattern = rule
         verdict = site.verdict if site else pattern.verdict if pattern else default
         return host, path, site.site if site else None, verdict, len(candidates)
@@ -130,6 +167,23 @@ def literal_counts(urls: DataFrame, rules: list) -> dict[str, int]:
     return {r["token"]: r["n"] for r in rows.collect()}
 
 
+def read_rules(table: DataFrame) -> tuple[tuple[SiteRule, ...], tuple[UrlPattern, ...]]:
+    """Site rules and patterns of a table (kind: site or pattern, text, verdict); at most MAX_RULES rows.
+
+    Rows with a null or empty text or a null verdict say nothing and are left
+    out; of equal texts of a kind the smallest verdict counts. Another kind is
+    an error.
+    """
+    clean = table.select("kind", "text", "verdict").where("text <> '' and verdict is not null")
+    rows = clean.groupBy("kind", "text").agg(F.min("verdict").alias("verdict")).orderBy("kind", "text").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"over {MAX_RULES} rules; they cannot be sent to every task")
+    if odd := {r["kind"] for r in rows} - {"site", "pattern"}:
+        raise ValueError(f"unknown kind of rule: {sorted(map(str, odd))}")
+    of = lambda kind, make: tuple(make(r["text"], r["verdict"]) for r in rows if r["kind"] == kind)
+    return of("site", SiteRule), of("pattern", UrlPattern)
+
+
 def judge_urls(pages: DataFrame, sites: tuple = SITES, patterns: tuple = PATTERNS, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, n_candidates of every URL.
 
