@@ -48,7 +48,7 @@ def corpus(seed, letters):
     return [*rows, rows[3], rows[3], rows[9]]
 
 
-@pytest.mark.parametrize("seed,letters,length,heavy", [(1, 2, 6, 4096), (2, 3, 7, 3), (3, 2, 8, 16)])
+@pytest.mark.parametrize("seed,letters,length,heavy", [(1, 2, 6, 32_768), (2, 3, 7, 3), (3, 2, 8, 16)])
 def test_equals_all_windows(spark, monkeypatch, seed, letters, length, heavy):
     monkeypatch.setattr(substrings, "HEAVY", heavy)
     monkeypatch.setattr(substrings, "BLOCK", 64)

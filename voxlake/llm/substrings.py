@@ -32,7 +32,7 @@ LENGTH = 50
 #: Text is split into words in runs of so many bytes; windows are judged in runs of so many words.
 RUN, BLOCK = 1 << 20, 1 << 16
 #: Classes with more occurrences than this, and than their share of a partition, are extended by all tasks.
-HEAVY = 4096
+HEAVY = 32_768
 #: Words remembered with their hash in a process, and the longest such word in bytes.
 KNOWN, LONGEST = 300_000, 64
 
