@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored, with_places
+from voxlake.llm.shared import ascii_lower, columns, few, map_rows, shuffle_width, stored, with_places
 from voxlake.operators.skew import lookup_join
 
 #: Digests of a shard aimed at, and most shards; the table of shard sizes is broadcast, so it is bounded by the latter.
@@ -238,5 +238,5 @@ def keep_winners(docs: DataFrame) -> DataFrame:
     """
     place = "__row_id"
     placed = with_places(docs, place)
-    kept = exact_groups(placed, place).where("kept").select(F.col("row_id").alias(place))
-    return placed.join(kept, place, "left_semi").drop(place)
+    copies = stored(exact_groups(placed, place).where(~F.col("kept")).select(F.col("row_id").alias(place)), "copies")
+    return placed.join(few(copies), place, "left_anti").drop(place)

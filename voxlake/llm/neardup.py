@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.components import star_components
-from voxlake.llm.shared import ascii_lower, columns, map_rows, shuffle_width, stored, with_places
+from voxlake.llm.shared import ascii_lower, columns, few, map_rows, shuffle_width, stored, with_places
 from voxlake.operators.skew import lookup_join
 
 SEED = 42
@@ -464,8 +464,9 @@ def similar_edges(docs: DataFrame, place: str, found: DataFrame, words: int, sim
         return columns(fp=batch["fp"], of=batch["of"], shingles=pa.array(out, pa.binary()))
 
     texts = docs.select(F.col(place).alias("at_row"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(few(dealt.select(F.col("of_row").alias("at_row"))), "at_row", "left_semi")  # candidates only
     held = map_rows(texts.join(dealt, F.col("at_row") == F.col("of_row")).select("fp", "of", "text"), sets, "fp binary, of array<struct<comp: binary, parts: int, own: int>>, shingles binary")
-    held = stored(held, "sets").select("fp", F.explode("of").alias("o"), "shingles").select("fp", "o.*", "shingles")
+    held = held.select("fp", F.explode("of").alias("o"), "shingles").select("fp", "o.*", "shingles")
     pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pairs = pairs.select("comp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "shingles")
     keys = ("comp", "low", "high")
@@ -517,5 +518,5 @@ def keep_representatives(docs: DataFrame, words: int = 5, similarity: float = 0.
     place = "__row_id"
     placed = with_places(docs, place)  # a row's place differs between readings with other splits
     kept = similar_groups(placed, place, words, similarity, bits, minima)
-    kept = kept.where(F.col("row_id") == F.col("root_row")).select(F.col("row_id").alias(place))
-    return placed.join(kept, place, "left_semi").drop(place)
+    copies = stored(kept.where(F.col("row_id") != F.col("root_row")).select(F.col("row_id").alias(place)), "near-copies")
+    return placed.join(few(copies), place, "left_anti").drop(place)

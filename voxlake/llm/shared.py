@@ -28,6 +28,15 @@ def with_places(docs: DataFrame, place: str) -> DataFrame:
     return stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
 
 
+#: Rows of one id that are broadcast, some 30 MB; more are joined by a shuffle.
+FEW_ROWS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if its counted rows allow it."""
+    return F.broadcast(ids) if ids.limit(FEW_ROWS + 1).count() <= FEW_ROWS else ids
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
