@@ -15,7 +15,7 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +74,7 @@ class SuffixAutomaton:
                 at = self.next[at][c]
             own.setdefault(at, []).append((len(word), value))
         self.own = {at: tuple(sorted(found, reverse=True)) for at, found in own.items()}
+        self.known: dict[int, tuple[tuple[int, int], ...]] = {}
         # the next state on the way of suffix links that holds words, -1 for none
         self.back = [-1] * len(self.next)
         for at in sorted(range(1, len(self.next)), key=self.length.__getitem__):
@@ -109,28 +110,13 @@ class SuffixAutomaton:
             self.link[new] = old if self.length[old] == self.length[at] + 1 else self._split(at, c, old)
         return new
 
-    def ends(self, text: str) -> Iterator[tuple[int, tuple[int, int]]]:
-        """(place, (length, value)) of every word that ends at a place of the text, longest first."""
-        moves, link, length, own, back = self.next, self.link, self.length, self.own, self.back
-        at = matched = 0
-        for place, c in enumerate(text):
-            to = moves[at].get(c)
-            while to is None and at:
-                at = link[at]
-                matched = length[at]
-                to = moves[at].get(c)
-            if to is None:
-                continue
-            at, matched = to, matched + 1
-            if at in own:
-                for found in own[at]:
-                    if found[0] <= matched:
-                        yield place, found
-            up = back[at]
-            while up >= 0:
-                for found in own[up]:
-                    yield place, found
-                up = back[up]
+    def ending(self, at: int) -> tuple[tuple[int, int], ...]:
+        """(length, value) of all words that end where a state's longest substring does, longest first."""
+        found = self.known.get(at)
+        if found is None:
+            own, up = self.own.get(at, ()), self.back[at]
+            found = self.known[at] = own + (self.ending(up) if up >= 0 else ())
+        return found
 
 
 class PrefixBpe:
@@ -205,14 +191,28 @@ class PrefixBpe:
 
     def encode(self, symbols: str) -> list[int]:
         last, fitting, unfit = [-1] * len(symbols), self.fitting, self.unfit
-        for end, (size, token) in self.automaton.ends(symbols):
-            if last[end] < 0:
+        a = self.automaton
+        moves, link, longest, known = a.next, a.link, a.length, a.known
+        at = matched = 0
+        for end, c in enumerate(symbols):
+            to = moves[at].get(c)
+            while to is None and at:
+                at = link[at]
+                matched = longest[at]
+                to = moves[at].get(c)
+            if to is None:
+                continue
+            at, matched = to, matched + 1
+            for size, token in known[at] if at in known else a.ending(at):
+                if size > matched:  # of this state, but not of this text
+                    continue
                 if size > end:
                     last[end] = token
-                else:
-                    before = last[end - size]
-                    if before in fitting[token] or before >= 0 and before not in unfit[token] and self._fits(before, token):
-                        last[end] = token
+                    break
+                before = last[end - size]
+                if before in fitting[token] or before >= 0 and before not in unfit[token] and self._fits(before, token):
+                    last[end] = token
+                    break
         ids, length, at = [], self.length, len(symbols) - 1
         while at >= 0:
             token = last[at]
