@@ -13,7 +13,7 @@ from voxlake.operators.residues import (
 )
 from voxlake.operators.surface import sphere_points
 from voxlake.operators.voxels import (
-    VoxelConfig, box_join, dense_samples, mean_over_sites, pack_examples, screen_centres, smooth_sparse, voxel_counts,
+    VoxelConfig, box_join, dense_samples, mean_over_sites, pack_examples, sample_totals, screen_centres, smooth_sparse, voxel_counts,
 )
 from voxlake.plans import voxels as P
 from voxlake.sources.structures import ca_trace, first_files, first_model_lines, parse_atoms, parse_legacy_atoms
@@ -269,9 +269,7 @@ def smoothed_voxels(spark, d):
 @query("smoothed_samples", V.with_sql(V.BOXED) + TAPS + "SELECT structure_id, chain_id, res_no, res_name, round(sum(v), 0) AS total, round(max(v), 0) AS peak FROM smooth GROUP BY 1, 2, 3, 4")
 def smoothed_samples(spark, d):
     x = dense_samples(pack_examples(counted(spark, d), RELAXED), RELAXED)
-    total = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v)
-    return x.select(*RESIDUE_KEY, F.round(total, 0).alias("total"),
-                    F.round(F.array_max("x").cast("double"), 0).alias("peak"))
+    return V.rounded(sample_totals(x.select(*RESIDUE_KEY, "x")), 0, "total", "peak")
 
 
 @query("structure_mean_voxels", V.with_sql(V.BOXED) + """,

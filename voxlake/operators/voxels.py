@@ -17,7 +17,7 @@ from voxlake.functions import geometry as G
 from voxlake.functions.columns import computed_once
 from voxlake.functions.residues import channel_index, residue_label, template_atoms
 from voxlake.operators.residues import RESIDUE_KEY
-from voxlake.runtime import spread
+from voxlake.runtime import extended, spread
 
 
 # Cell width of the range join as a share of the box: smaller cells test fewer
@@ -189,43 +189,64 @@ def pack_examples(
 def smooth_sparse(
     counts: DataFrame, config: VoxelConfig, keys: Sequence[str] = RESIDUE_KEY
 ) -> DataFrame:
-    """Gaussian smoothing as a 125-tap stencil with mirrored edges, x1000."""
-    taps = G.gaussian_taps()
-    radius = len(taps) // 2
+    """Gaussian smoothing with mirrored edges, x1000: every cell that an occupied voxel reaches.
+
+    A channel of an example is one dense block of a numpy kernel, so taps are never
+    rows; a block becomes rows only when it is smoothed.
+    """
     n = config.cells
-    offsets = F.array(*[
-        F.struct(
-            F.lit(i - radius).alias("dx"), F.lit(j - radius).alias("dy"),
-            F.lit(k - radius).alias("dz"), F.lit(taps[i] * taps[j] * taps[k] * 1000.0).alias("w"),
-        )
-        for i in range(len(taps)) for j in range(len(taps)) for k in range(len(taps))
-    ])
+    cell = (F.col("ix") * n + F.col("iy")) * n + F.col("iz")
+    packed = counts.groupBy(*keys, "ch").agg(
+        F.collect_list(F.struct(cell.cast("int").alias("cell"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    kept, size, taps = [*keys, "ch"], n ** 3, G.gaussian_taps()
 
-    def mirrored(c):
-        return F.when(c < 0, -1 - c).when(c >= n, 2 * n - 1 - c).otherwise(c)
+    def smooth(batches):
+        for part in _slices(batches, 256):
+            at, v = _places(part.column("cells"), size)
+            block = np.bincount(at, v, part.num_rows * size).reshape(-1, n, n, n)
+            values = _smooth_block(block, taps).ravel() * 1000.0
+            reached = values > 0
+            if not (v > 0).all():  # a count of zero reaches its cells too
+                reached = _smooth_block((np.bincount(at, minlength=len(values)) > 0).astype(float).reshape(block.shape), taps).ravel() > 0
+            x = _equal_lists(pa.array(values, mask=~reached), part.num_rows, size)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), x], names=[*kept, "x"])
 
-    spread = counts.select(*keys, "ch", "ix", "iy", "iz", "v", F.explode(offsets).alias("o"))
-    moved = spread.select(
-        *keys, "ch",
-        *[mirrored(F.col(f"i{k}") + F.col(f"o.d{k}")).alias(f"i{k}") for k in "xyz"],
-        (F.col("v") * F.col("o.w")).alias("v"),
-    )
-    return moved.groupBy(*keys, "ch", "ix", "iy", "iz").agg(F.sum("v").alias("v"))
+    schema = packed.select(*kept).schema.add("x", T.ArrayType(T.DoubleType()))
+    cells = packed.mapInArrow(smooth, schema).select(*kept, F.posexplode("x").alias("_at", "v")).where("v is not null")
+    return cells.select(*kept, *[
+        (F.floor(F.col("_at") / F.lit(n ** i)) % n).cast("int").alias(f"i{k}") for i, k in ((2, "x"), (1, "y"), (0, "z"))
+    ], "v")
+
+
+def _slices(batches, rows: int):
+    for record in batches:
+        for start in range(0, record.num_rows, rows):
+            yield record.slice(start, rows)
+
+
+def _places(cells: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position in a batch of dense blocks, value) of lists of sparse cells."""
+    rows = np.repeat(np.arange(len(cells)), np.asarray(cells.value_lengths()))
+    flat = cells.flatten()
+    return rows * size + np.asarray(flat.field("cell")), np.asarray(flat.field("v"))
+
+
+def _equal_lists(values: pa.Array, rows: int, size: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows * size + 1, size, dtype=np.int32)), values)
 
 
 def _smooth_block(block: np.ndarray, taps: list[float]) -> np.ndarray:
-    """Separable kernel over the last three axes of a batch."""
+    """Separable kernel over the last three axes of a batch: a matrix product along each."""
     radius = len(taps) // 2
-    for axis in (-3, -2, -1):
-        length = block.shape[axis]
-        widths = [(0, 0)] * block.ndim
-        widths[axis] = (radius, radius)
-        padded = np.pad(block, widths, mode="symmetric")
-        block = sum(
-            w * np.take(padded, np.arange(i, i + length), axis=axis)
-            for i, w in enumerate(taps)
-        )
-    return block
+
+    def along(n: int) -> np.ndarray:
+        mirrored = np.pad(np.eye(n), ((radius, radius), (0, 0)), mode="symmetric")
+        return sum(w * mirrored[i : i + n] for i, w in enumerate(taps))
+
+    *_, a, b, c = block.shape
+    out = (block.reshape(-1, c) @ along(c).T).reshape(-1, b, c)
+    out = (along(b) @ out).reshape(-1, a, b * c)
+    return (along(a) @ out).reshape(block.shape)
 
 
 def dense_samples(
@@ -239,28 +260,40 @@ def dense_samples(
     taps = G.gaussian_taps()
 
     def build(batches):
-        for record in batches:
-            for start in range(0, record.num_rows, batch):
-                part = record.slice(start, batch)
-                lists = part.column("cells")
-                rows = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
-                flat = lists.flatten()
-                block = np.zeros((part.num_rows, size))
-                block[rows, np.asarray(flat.field("cell"))] = np.asarray(flat.field("v"))
-                block = block.reshape(part.num_rows, *shape)
-                if smooth:
-                    block = _smooth_block(block, taps) * 1000.0
-                values = pa.array(block.astype(np.float32).ravel())
-                ends = pa.array(np.arange(0, part.num_rows * size + 1, size, dtype=np.int32))
-                x = pa.ListArray.from_arrays(ends, values)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + [x], names=[*kept, "x"]
-                )
+        for part in _slices(batches, batch):
+            at, v = _places(part.column("cells"), size)
+            block = np.zeros(part.num_rows * size)
+            block[at] = v
+            block = block.reshape(part.num_rows, *shape)
+            if smooth:
+                block = _smooth_block(block, taps) * 1000.0
+            x = _equal_lists(pa.array(block.astype(np.float32).ravel()), part.num_rows, size)
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [x], names=[*kept, "x"])
 
     out = packed.mapInArrow(build, schema.add("x", T.ArrayType(T.FloatType())))
     return out.withColumn("shape", F.array(*[F.lit(s) for s in shape]))
 
 
+def sample_totals(samples: DataFrame) -> DataFrame:
+    """Samples with ``total`` and ``peak`` of x, as doubles, in place of the array; empty or missing arrays: 0 and NULL."""
+    kept = [c for c in samples.columns if c != "x"]
+
+    def run(batches):
+        for part in _slices(batches, 64):
+            x = part.column("x")
+            n = np.asarray(x.value_lengths().fill_null(0)).astype(np.int64)
+            flat = np.asarray(x.flatten()).astype(np.float64)
+            some = np.flatnonzero(n)
+            heads = (np.cumsum(n) - n)[some]
+            total, peak = np.zeros(len(n)), np.zeros(len(n))
+            if len(some):
+                total[some], peak[some] = np.add.reduceat(flat, heads), np.maximum.reduceat(flat, heads)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in kept), pa.array(total), pa.array(peak, mask=n == 0)], names=[*kept, "total", "peak"])
+
+    return samples.mapInArrow(run, extended(samples.select(*kept).schema, "total double, peak double"))
+
+
 def example_id(*suffix: str):
     return F.concat_ws("_", *[F.col(c).cast("string") for c in suffix])
 
