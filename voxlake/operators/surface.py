@@ -48,6 +48,8 @@ def atom_radius(element: Column) -> Column:
 TILE = 4
 #: Rows of whole tiles that a task works on at a time, and pairs tested at a time.
 ROWS, PAIRS = 8192, 16_384
+#: Products this close to their limit (in angstrom) are decided by the distance itself.
+MARGIN = 1e-9
 
 
 def _tiled(atoms: DataFrame, edge: float) -> DataFrame:
@@ -75,8 +77,11 @@ def _tiled(atoms: DataFrame, edge: float) -> DataFrame:
 def _exposed_of_tiles(table: pa.Table, keys: list[str], spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that their tile owns, exposed points of each) for rows of whole tiles, sorted by tile.
 
-    Atoms meet by cell inside their tile. Buried points are booleans of one pair
-    at a time and bits of a word row for each atom.
+    Atoms meet by cell inside their tile. A point of the sphere lies in another
+    one where its direction's product with the way between the centres stays under
+    a limit, so a pair's points are one matrix product; points within rounding of
+    the limit are decided by their distance. Buried points are bits of a word row
+    for each atom, and atoms without an open point look no further.
     """
     column = lambda name: table[name].to_numpy(zero_copy_only=False)
     codes = lambda name: table[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -88,40 +93,66 @@ def _exposed_of_tiles(table: pa.Table, keys: list[str], spots: np.ndarray) -> tu
     own = np.flatnonzero(np.all([(c > 0) & (c <= TILE) for c in local], axis=0))
     order = np.argsort(cell, kind="stable")
     sorted_cell = cell[order]
-    spot, radius = np.stack([column(k) for k in "xyz"], axis=1).astype(np.float64), column("_rad")
-    ids = [codes(k) for k in keys]
+    x, y, z = (column(k).astype(np.float64) for k in "xyz")
+    radius = column("_rad")
+    ident = np.zeros(table.num_rows, np.int64)
+    for code in map(codes, keys):
+        ident = np.unique(ident * (len(code) + 1) + code + 1, return_inverse=True)[1]
     words = -(-len(spots) // 64)
+    whole = _words(np.ones((1, len(spots)), bool), words)
     buried = np.zeros((table.num_rows, words), np.uint64)
-    steps = [(a * side + b) * side + c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    for step in steps:
-        low = np.searchsorted(sorted_cell, cell[own] + step, "left")
-        n = np.searchsorted(sorted_cell, cell[own] + step, "right") - low
+    steps = sorted(((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)), key=lambda s: abs(s[0]) + abs(s[1]))  # the nearest first
+    open_ = own
+    for a, b in steps:
+        open_ = open_[(buried[open_] != whole).any(axis=1)]
+        step = (a * side + b) * side  # three cells in a row along z
+        low = np.searchsorted(sorted_cell, cell[open_] + step - 1, "left")
+        n = np.searchsorted(sorted_cell, cell[open_] + step + 1, "right") - low
         ends = np.cumsum(n)
         at = 0
-        while at < len(own):
+        while at < len(open_):
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
             part = n[at:stop]
-            mine = np.repeat(own[at:stop], part)
+            mine = np.repeat(open_[at:stop], part)
             first = np.concatenate([[0], np.cumsum(part)[:-1]])
             other = order[np.repeat(low[at:stop] - first, part) + np.arange(len(mine))]
             at = stop
-            same = np.all([i[mine] == i[other] for i in ids], axis=0)
-            delta = spot[mine] - spot[other]
+            dx, dy, dz = x[mine] - x[other], y[mine] - y[other], z[mine] - z[other]
             limit = radius[mine] + radius[other]
-            near = ~same & (delta[:, 0] * delta[:, 0] + delta[:, 1] * delta[:, 1] + delta[:, 2] * delta[:, 2] < limit * limit)
-            mine, delta, reach, rad = mine[near], delta[near], radius[other[near]], radius[mine[near]]
-            if not len(mine):
+            near = np.flatnonzero(dx * dx + dy * dy + dz * dz < limit * limit)
+            near = near[ident[mine[near]] != ident[other[near]]]
+            if not len(near):
                 continue
-            d = [spots[:, k][None, :] * rad[:, None] + delta[:, k][:, None] for k in range(3)]
-            hit = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < (reach * reach)[:, None]
-            bits = np.zeros((len(mine), words * 64), bool)
-            bits[:, : len(spots)] = hit
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+            mine, other = mine[near], other[near]
+            delta = np.stack([dx[near], dy[near], dz[near]], axis=1)
+            packed = _words(_inside(delta, radius[mine], radius[other], spots), words)
             heads = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             buried[mine[heads]] |= np.bitwise_or.reduceat(packed, heads, axis=0)
     return own, len(spots) - np.bitwise_count(buried[own]).sum(axis=1, dtype=np.int64)
 
 
+def _words(flags: np.ndarray, words: int) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    packed = np.zeros((len(flags), words * 8), np.uint8)
+    bits = np.packbits(flags, axis=1, bitorder="little")
+    packed[:, : bits.shape[1]] = bits
+    return packed.view(np.uint64)
+
+
+def _inside(delta: np.ndarray, radius: np.ndarray, reach: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """For each pair the points of the first sphere that lie inside the second; delta leads from the second to the first."""
+    square = delta[:, 0] * delta[:, 0] + delta[:, 1] * delta[:, 1] + delta[:, 2] * delta[:, 2]
+    limit = (reach * reach - radius * radius - square) / (2.0 * radius)
+    along = delta @ spots.T
+    hit = along < (limit - MARGIN)[:, None]
+    close = hit != (along < (limit + MARGIN)[:, None])
+    if close.any():
+        row, point = np.nonzero(close)
+        d = [spots[point, k] * radius[row] + delta[row, k] for k in range(3)]
+        hit[row, point] = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < reach[row] * reach[row]
+    return hit
+
+
 def exposed_points(atoms: DataFrame, atom_key: list[str], points: int = 92, probe: float = PROBE) -> DataFrame:
     """Add ``exposed``: sphere points of each atom outside all neighbours.
 
