@@ -274,7 +274,8 @@ def manifest_text(spark, d):
     note = F.expr("CASE l_partkey % 4 WHEN 0 THEN concat('two\\nlines ', l_suppkey) WHEN 1 THEN 'said \"a, b\"\\n' WHEN 2 THEN concat('x', l_suppkey) ELSE '\\n\\n\"' END")
     rows = li.select(F.concat(stem, F.lit(".npz")).alias("sample_path"), F.when(F.expr("l_orderkey % 83 = 0"), "").otherwise(F.expr("cast(l_partkey % 20 as string)")).alias("label"), stem.alias("example_id"), note.alias("note"))
     path = fresh_dir(spark, "manifest")
-    write_csv(rows.repartition(5, "example_id"), path)
+    files = max(5, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_csv(rows.repartition(files, "example_id"), path)
     return path
 
 
