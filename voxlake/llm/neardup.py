@@ -9,9 +9,10 @@ prunes branches in the same way and compares what is left bit by bit. Pairs are
 folded into a spanning forest at once, so a large group yields few edges.
 
 Where a similarity of shingle sets decides, fingerprints are only the finder.
-Candidates are kept within the key that they share: sets meet in the groups that
-fingerprints link under one shingle minimum, or that share one rare shingle, and
-no two such groups are joined before their sets are compared.
+Sets meet in the groups that the vantage-point shards link over all fingerprints.
+Pairs that lie farther apart are kept within the key that they share: sets meet in
+the groups that fingerprints link under one shingle minimum, or that share one
+rare shingle, and no two such groups are joined before their sets are compared.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LEAF, CELLS = 256, 1 << 20
 SALTS = 32
 #: Texts of at most FEW shingles are found by shared shingles; shingles that a task compares, aimed at.
 FEW, WORK = 64, 4_000_000
+#: Differing bits of 64 at which fingerprints alone make texts candidates, as they link them in op10.
+CLOSE = 4
 
 
 def shingle_hashes(text: str, words: int, bits: int = 64) -> np.ndarray:
@@ -302,6 +305,14 @@ def groups_by_minima(rows: DataFrame, radius: int) -> DataFrame:
     return found.unionByName(linked.select(F.col("root").alias("comp"), "fp"))
 
 
+def groups_by_distance(rows: DataFrame, radius: int) -> DataFrame:
+    """comp, fp: groups of sets (fp, print) whose fingerprints near_edges links, over all shards; equal fingerprints are one node."""
+    stars = star_components(near_edges(rows.select(F.col("print").alias("fp")).distinct(), radius))
+    rooted = stored(stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct()), "close-groups")
+    linked = lookup_join(rows.withColumnRenamed("print", "node"), rooted, ["node"], "left", deal=["fp"])
+    return linked.select(F.coalesce("root", "node").alias("comp"), "fp")
+
+
 def _first_order() -> F.Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
 
@@ -399,12 +410,14 @@ def groups_by_rare_shingle(classes: DataFrame, similarity: float) -> DataFrame:
 def candidate_groups(classes: DataFrame, similarity: float, bits: int = 128) -> DataFrame:
     """comp, fp, size, row_id: similar sets meet in some group comp; a set may be in several.
 
-    Sets of more than FEW shingles meet by fingerprints that share a minimum and
-    lie within the finder's radius; smaller ones, and those up to FEW /
-    similarity, by a shared rare shingle, which misses none.
+    All sets meet whose fingerprints the vantage-point shards link at CLOSE bits.
+    Beyond that, sets of more than FEW shingles meet by fingerprints that share a
+    minimum and lie within the finder's radius; smaller ones, and those up to
+    FEW / similarity, by a shared rare shingle, which misses none.
     """
+    close = groups_by_distance(classes.select("fp", "print"), CLOSE * bits // 64)
     many = groups_by_minima(classes.where(F.col("size") > FEW).select("fp", "print", "minima"), finder_radius(similarity, bits))
-    found = stored(many.unionByName(groups_by_rare_shingle(classes, similarity)), "candidate-groups")
+    found = stored(close.unionByName(many).unionByName(groups_by_rare_shingle(classes, similarity)), "candidate-groups")
     nodes = classes.select("fp", "size", F.col("first.row_id").alias("row_id"))
     return lookup_join(found, nodes, ["fp"], deal=["comp"])
 
