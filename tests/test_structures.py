@@ -120,3 +120,26 @@ def test_scaffold_split(spark, tmp_path):
     splits = make_splits(spark, str(tmp_path), "scaffold")
     assert splits.count() == 3
     assert splits.where(F.col("split").isin(K.SPLITS)).count() == 3
+
+
+def test_lines_are_formatted_once_and_as_the_formatter_does(spark):
+    from pyspark.sql import functions as F
+
+    from voxlake.catalog import views as V
+
+    values = [None, 0.0, -0.0, -0.0004, 0.0005, 0.0015, -2.0005, 9999.9995, 1e16, float("nan"), float("-inf"), 12.3456]
+    numbers = spark.createDataFrame([(v,) for v in values], "x double")
+    assert numbers.where(~V.coordinate(F.col("x")).eqNullSafe(F.format_string("%8.3f", "x"))).count() == 0
+    texts = spark.createDataFrame([(t,) for t in (None, "", "CA", "LONGER")], "t string")
+    for width in (-3, 5):
+        assert texts.where(~V.padded(F.col("t"), width).eqNullSafe(F.format_string(f"%{width}s", "t"))).count() == 0
+    lines = V.structure_text(spark, "/root/testdata/sf0.001").where(F.trim(F.substring("line", 1, 6)).isin("ATOM"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 3  # one fallback for each coordinate, none again in the filter
+
+
+def test_models_end_by_structure_and_lines_without_id_stay(spark):
+    rows = [("A", 1, "ATOM 1"), ("A", 2, "ENDMDL"), ("A", 3, "ATOM 2"), ("", 5, "ATOM 3"), (None, 1, "ENDMDL"), (None, 2, "ATOM 4")]
+    kept = first_model_lines(spark.createDataFrame(rows, "structure_id string, line_no int, line string"))
+    assert kept.columns == ["structure_id", "line_no", "line"]
+    assert sorted(r["line"] for r in kept.collect()) == ["ATOM 1", "ATOM 3", "ATOM 4", "ENDMDL"]

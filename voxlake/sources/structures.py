@@ -80,16 +80,21 @@ def structure_lines(files: DataFrame) -> DataFrame:
 
 
 def first_model_lines(lines: DataFrame) -> DataFrame:
-    """The same cut for a table of lines that was never one text per file."""
+    """The same cut for a table of lines that was never one text per file.
+
+    Lines without an id are never cut. Their NULL meets NULL here, with no end: a
+    plain equality would filter one reading of the lines and not the other, so
+    that no exchange below could serve both.
+    """
     ends = (
         lines.where(F.col("line").startswith("ENDMDL"))
-        .groupBy("structure_id")
-        .agg(F.min("line_no").alias("end_no"))
+        .groupBy(F.col("structure_id").alias("_sid"))
+        .agg(F.min(F.when(F.col("structure_id").isNotNull(), F.col("line_no"))).alias("end_no"))
     )
     return (
-        lines.join(ends, "structure_id", "left")
+        lines.join(ends, F.col("structure_id").eqNullSafe(F.col("_sid")), "left")
         .where(F.col("end_no").isNull() | (F.col("line_no") < F.col("end_no")))
-        .drop("end_no")
+        .drop("_sid", "end_no")
     )
 
 
