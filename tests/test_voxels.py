@@ -181,3 +181,17 @@ def test_legacy_boxes_run(spark, toy):
     far = spark.createDataFrame([("T7", 520, "CA", "TRP", "B", 1, 95.0, 3.0, 3.0, "C")], ATOMS)
     boxes = legacy_boxes(toy.union(far), density=0.0, block=2).collect()
     assert boxes and all(b["block"] == 0 for b in boxes)
+
+
+def test_voxels_travel_as_one_number(spark):
+    pairs = spark.createDataFrame(
+        [("T7", "B", 14, "SER", *voxel) for voxel in [(0, 0, 0, 0), (3, 19, 0, 19), (3, 19, 0, 19), (65535, 65535, 65535, 65535), (1, 0, 65535, 2)]]
+        + [(None, "B", None, "SER", 2, 1, 0, 5)] * 3,
+        "structure_id string, chain_id string, res_no int, res_name string, ch int, ix int, iy int, iz int")
+    counts = voxel_counts(pairs)
+    assert counts.schema.simpleString() == pairs.schema.add("v", "double").simpleString()
+    assert sorted((r["structure_id"] or "", *r[4:]) for r in counts.collect()) == [
+        ("", 2, 1, 0, 5, 3.0), ("T7", 0, 0, 0, 0, 1.0), ("T7", 1, 0, 65535, 2, 1.0), ("T7", 3, 19, 0, 19, 2.0),
+        ("T7", 65535, 65535, 65535, 65535, 1.0)]
+    moved = counts._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[1]
+    assert "iy" not in moved.split("Project")[0]  # the exchange carries the one number
