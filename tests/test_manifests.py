@@ -1,13 +1,15 @@
 import io
 import json
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import atom_line, ca_text, write
+from voxlake.catalog import manifests
 from voxlake.functions.columns import (
-    ManifestError, coerce_label, first_alias, infer_metadata, labels_match, sample_path_column,
+    ManifestError, coerce_label, first_alias, infer_metadata, is_blank, labels_match, npz_hits, sample_path_column, sanitize,
 )
 from voxlake.operators import access, quality, stats
 from voxlake.operators.sampling import downsample_to_minimum
@@ -280,3 +282,42 @@ def test_accessibility_from_a_folder(spark, tmp_path):
     out = annotate_sasa_files(predictions, manifest, str(tmp_path), bins=1)
     row = out["summary"].first()
     assert (row["residues_scored"], row["missing_residues_reported"], row["missing_pdb_files"]) == (1, 1, 1)
+
+
+def test_sample_paths_are_looked_for_at_token_starts_only(spark):
+    texts = ["", "a.npz", ".npz", ".npz.npz", "x a.npzb.npz,c.npz\"d.npz'", "a.npz.npzz e.npy", "\ta.npz\x0bb.npz", "é.npz,,q"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["h"] for r in rows.select(npz_hits(F.col("t")).alias("h")).collect()]
+    assert got == [re.findall(r"""[^,\s"']+\.npz""", t) for t in texts]
+    assert "(?<!" in rows.select(npz_hits(F.col("t")))._jdf.queryExecution().toString()
+
+
+def test_preferred_rows_rank_without_interpreted_lambdas(spark):
+    values = ["", " ", "\r\n ", " a\nb ", "\t", None, "\u00a0"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [tuple(r) for r in rows.select(sanitize(F.col("v")), is_blank(F.col("v"))).collect()]
+    assert got == [("", True), ("", True), ("", True), ("a b", False), ("\t", False), ("", True), ("\u00a0", False)]
+    plain = {f: "x" for f in manifests.HEADER}
+    table = spark.createDataFrame([
+        {**plain, "label": "\n", "source": "disk", "validated": True, "pos": 1}, {**plain, "label": "2", "source": "disk", "validated": True, "pos": 2},
+        {**plain, "label": "3", "source": "manifest", "validated": True, "pos": 0}, {**plain, "sample_path": " ", "source": "disk", "validated": True, "pos": 3},
+    ])
+    best = quality.preferred_rows(table)
+    assert [(r["label"], r["pos"]) for r in best.collect()] == [("2", 0)]
+    assert "lambda" not in best._jdf.queryExecution().toString()
+
+
+def test_validation_parses_the_manifest_once(spark, tmp_path, monkeypatch):
+    rows = [(k, 10 + k % 3, 1 + k % 13, 1 + k % 4, "ANR"[k % 3], 0) for k in range(1, 400)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, n int"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parsed, of = [], manifests.checked_rows
+    monkeypatch.setattr(manifests, "checked_rows", lambda *a: parsed.append(1) or of(*a))
+    row = manifests.validation_summary(spark, str(tmp_path)).first()
+    assert len(parsed) == 1
+    counted = {c: 0 for c in quality.COUNTERS.values()}
+    for part in ("manifest_row_errors", "manifest_duplicates", "missing_files", "payload_errors"):
+        for r in manifests.QUERIES[part](spark, str(tmp_path)).groupBy("code").count().collect():
+            counted[r["code"]] = counted.get(r["code"], 0) + r["count"]
+    assert row["total_rows_scanned"] == 399 and all(row[n] == counted[c] for n, c in quality.COUNTERS.items())
+    assert row["missing_files"] and row["label_mismatches"]
