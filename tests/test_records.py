@@ -86,3 +86,10 @@ def test_headers_must_agree(spark, tmp_path):
     (tmp_path / "b.csv").write_text("label,sample_path\n1,x.npz\n")
     with pytest.raises(ManifestError):
         checks.manifest_fields(spark, str(tmp_path))
+
+
+def test_lines_are_read_back_by_column(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"x\ny"\n')
+    rows = read_records(spark, str(tmp_path / "m.csv"))
+    assert sorted(r["line"] for r in rows.collect()) == ['1,"x\ny"', "a,b"]
+    assert "FileScan parquet" in rows._jdf.queryExecution().toString()

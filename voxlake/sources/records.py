@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxlake.runtime import cut_lineage
+from voxlake.runtime import cut_lineage, landed
 
 
 def ends_inside(line: str, inside: bool) -> bool:
@@ -108,7 +108,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     text = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    lines = cut_lineage(text.mapInArrow(_scan, _LINES))
+    lines = landed(text.mapInArrow(_scan, _LINES), "manifest-lines")
     states = cut_lineage(split_states(lines))  # one row for each split of the input
     placed = lines.join(F.broadcast(states), ["file", "block"])
 
