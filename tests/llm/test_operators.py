@@ -754,3 +754,9 @@ def test_pipeline_equals_plain_computation(spark):
     assert sorted(i for i, _ in pairs(near_kept)) == plain_representatives(pairs(exact_kept))
 
     check_pieces(stages["packing"](spark, near_kept, SF).collect(), pairs(near_kept))
+
+
+def test_workers_give_arrow_memory_back(spark):
+    import pyarrow as pa
+
+    assert pa.default_memory_pool().backend_name == "system"

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from voxlake.runtime import fresh_dir
 
+# Arrow's own allocator keeps freed batches of texts in every Python worker; the system's gives them back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
