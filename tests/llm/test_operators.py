@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -374,6 +375,19 @@ def test_blocks_continue_the_stream(docs, monkeypatch):
     check_pieces([dict(zip([n for n, _ in packing._PIECES], p, strict=True)) for p in pieces], texts)
 
 
+def test_short_documents_take_little_memory():
+    stream = packing.Stream(tokenizer_json("word_bpe_49k.json"), 0)
+    tracemalloc.start()
+    try:
+        for i in range(100_000):
+            stream.add(i, np.zeros(0, "<u4"))
+        pieces = sum(p[1:3] == (0, 1) for p in stream.flush(True))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pieces == 100_000 and peak < 200 * pieces
+
+
 # 7 --------------------------------------------------------------------------
 
 

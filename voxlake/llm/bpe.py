@@ -26,6 +26,7 @@ from voxlake.llm.shared import columns, doc_texts, map_rows, tokenizer_json
 #: A symbol that ends a word is its character moved up by this much.
 FINAL = 0x20000
 NEVER = 1 << 60
+NONE: frozenset[int] = frozenset()
 #: Bounds of the per-process memories (entries); they are emptied when full.
 WORDS, SEAMS = 900_000, 1_000_000
 
@@ -142,8 +143,9 @@ class PrefixBpe:
             self.rank[token], self.parts[token] = order, pieces
             self.length[token] = self.length[pieces[0]] + self.length[pieces[1]]
             self.merge_rank[pieces] = order
-        self.fitting: list[set[int]] = [set() for _ in range(size)]  # by token: tokens known to stand before it
-        self.unfit: list[set[int]] = [set() for _ in range(size)]
+        # by token: tokens known to stand before it; empty sets of their own would take 20 MB in each process
+        self.fitting: list[set[int] | frozenset[int]] = [NONE] * size
+        self.unfit: list[set[int] | frozenset[int]] = [NONE] * size
         self.n_seams = 0
         self.symbols: dict[int, str] = {}  # of the tokens that merges reach
         reached = set()
@@ -181,12 +183,15 @@ class PrefixBpe:
     def _fits(self, before: int, token: int) -> bool:
         """The seam test, remembered for both answers."""
         if self.n_seams >= SEAMS:
-            for known in (*self.fitting, *self.unfit):
-                known.clear()
+            for table in (self.fitting, self.unfit):
+                table[:] = [NONE] * len(table)
             self.n_seams = 0
         self.n_seams += 1
         fits = self._seam(before, token)
-        (self.fitting if fits else self.unfit)[token].add(before)
+        table = self.fitting if fits else self.unfit
+        if table[token] is NONE:
+            table[token] = set()
+        table[token].add(before)
         return fits
 
     def encode(self, symbols: str) -> list[int]:

@@ -14,8 +14,10 @@ queue. Windows whose length is a power of two need no padding.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ _END = np.array([END], "<u4")
 EACH, SENTENCE, INSIDE, GAP, LEAST_POWER = 64, 12, 48, 96, 256
 #: Tokens planned at a time; the open window is carried over.
 BLOCK = 1 << 20
+#: Candidates, arrays of ids and pieces that are Python objects at a time: a block may hold a million documents of one token.
+STEP = 1 << 14
 
 
 def sentence_ends(definition: str) -> np.ndarray:
@@ -51,50 +55,57 @@ def plan(at: np.ndarray, penalty: np.ndarray, final: bool) -> list[int]:
     may be split into powers of two; else the plan ends at the cheapest
     candidate of the last window, and the rest stays open.
     """
-    places, extra, n = at.tolist(), penalty.tolist(), len(at)
-    cost, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque()
-    index = {0: 0}
+    n = len(at)
+    cost, back = array("d", bytes(8 * n)), array("q", bytes(8 * n))
+    queue: deque[tuple[float, int, int]] = deque()  # cost and place together, place, number
     powers = [1 << k for k in range(LEAST_POWER.bit_length() - 1, WINDOW.bit_length() - 1)]
-    for i in range(1, n):
-        j, here = i - 1, places[i]
-        value = cost[j] + places[j]
-        while queue and cost[queue[-1]] + places[queue[-1]] >= value:
-            queue.pop()
-        queue.append(j)
-        while places[queue[0]] < here - WINDOW:
-            queue.popleft()
-        j = queue[0]
-        best = cost[j] + places[j] + WINDOW - here
+    value, place, i = 0.0, 0, 0
+    for low in range(1, n, STEP):
+        block, hits = at[low : low + STEP], {}  # by number: candidates a power of two before
         for p in powers:
-            k = index.get(here - p)
-            if k is not None and cost[k] < best:
-                best, j = cost[k], k
-        cost[i], back[i] = best + EACH + extra[i], j
-        index[here] = i
+            before = np.searchsorted(at, block - p)
+            found = np.flatnonzero(at[before] == block - p)
+            for k, j in zip((found + low).tolist(), before[found].tolist(), strict=True):
+                hits.setdefault(k, []).append(j)
+        for here, extra in zip(block.tolist(), penalty[low : low + STEP].tolist(), strict=True):
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, place, i))
+            while queue[0][1] < here - WINDOW:
+                queue.popleft()
+            best, _, j = queue[0]
+            best += WINDOW - here
+            i += 1
+            for k in hits.get(i, ()):
+                if cost[k] < best:
+                    best, j = cost[k], k
+            best += EACH + extra
+            cost[i], back[i] = best, j
+            value, place = best + here, here
     end, tail = n - 1, []
-    low = int(np.searchsorted(at, places[-1] - WINDOW))
+    last_place = int(at[-1])
+    low = int(np.searchsorted(at, last_place - WINDOW))
     if final:
         def closing(j: int) -> tuple[float, float]:
-            rest = places[-1] - places[j]
+            rest = last_place - int(at[j])
             return WINDOW - rest + EACH, rest.bit_count() * (EACH + INSIDE) - INSIDE
 
         last = min(range(low, n - 1), key=lambda j: cost[j] + min(closing(j)))
-        rest = places[-1] - places[last]
+        rest = last_place - int(at[last])
         if closing(last)[1] < closing(last)[0]:
-            spot = places[last]
+            spot = int(at[last])
             for k in range(WINDOW.bit_length() - 1, -1, -1):
                 if rest >> k & 1:
                     spot += 1 << k
                     tail.append(spot)
         else:
-            tail.append(places[-1])
+            tail.append(last_place)
         end = last
     else:
         end = min(range(max(1, low), n), key=lambda j: (cost[j], -j))
     cuts = []
     while end:
-        cuts.append(places[end])
+        cuts.append(int(at[end]))
         end = back[end]
     return cuts[::-1] + tail
 
@@ -106,41 +117,49 @@ class Stream:
         self.flags = sentence_ends(definition)
         self.sequence = first_sequence
         self.ids = np.zeros(0, "<u4")  # not yet packed
-        self.docs: list[list] = []  # doc_id, begin within ids (may be negative), tokens
+        self.doc_ids: list[int | None] = []
+        self.begins, self.sizes = array("q"), array("q")  # within ids (may be negative), tokens
+        self.parts: list[np.ndarray] = []
         self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append([doc_id, len(self.ids) + self.n_waiting, len(ids) + 1])
+        self.doc_ids.append(doc_id)
+        self.begins.append(len(self.ids) + self.n_waiting)
+        self.sizes.append(len(ids) + 1)
         self.waiting += [ids, _END]
         self.n_waiting += len(ids) + 1
-
-    def flush(self, final: bool) -> list[tuple]:
-        """Pieces of all windows that are closed now."""
-        self.ids = np.concatenate([self.ids, *self.waiting])
-        self.waiting, self.n_waiting = [], 0
-        n = len(self.ids)
-        if not n:
-            return []
-        ends = np.array([b + m for _, b, m in self.docs], np.int64)
-        at, penalty = self._candidates(ends)
-        cuts = plan(at, penalty, final)
-        pieces, d, start = [], 0, 0
+        if len(self.waiting) >= STEP:
+            self.parts.append(np.concatenate(self.waiting))
+            self.waiting = []
+
+    def flush(self, final: bool) -> Iterator[tuple]:
+        """Pieces of all windows that are closed now; to be read to the end before more is added."""
+        self.ids = np.concatenate([self.ids, *self.parts, *self.waiting])
+        self.parts, self.waiting, self.n_waiting = [], [], 0
+        if not len(self.ids):
+            return
+        begins, sizes = np.array(self.begins), np.array(self.sizes)
+        ends = begins + sizes
+        cuts = plan(*self._candidates(ends), final)
+        d, start = 0, 0
         data = memoryview(self.ids.tobytes())
+        end = self.begins[0] + self.sizes[0]
         for cut in cuts:
             offset = 0
             while start < cut:
-                while ends[d] <= start:
+                while end <= start:
                     d += 1
-                doc_id, begin, tokens = self.docs[d]
-                stop = min(cut, begin + tokens)
-                pieces.append((doc_id, start - begin, stop - start, zlib.crc32(data[4 * start : 4 * stop]), tokens, self.sequence, offset))
+                    end = self.begins[d] + self.sizes[d]
+                begin, stop = self.begins[d], min(cut, end)
+                yield self.doc_ids[d], start - begin, stop - start, zlib.crc32(data[4 * start : 4 * stop]), self.sizes[d], self.sequence, offset
                 offset += stop - start
                 start = stop
             self.sequence += 1
         self.ids = self.ids[start:]
-        self.docs = [[i, b - start, m] for i, b, m in self.docs if b + m > start]
-        return pieces
+        done = int(np.searchsorted(ends, start, "right"))
+        del self.doc_ids[:done], self.sizes[:done]
+        self.begins = array("q", (begins[done:] - start).tobytes())
 
     def _candidates(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sentences = np.flatnonzero(self.flags[np.minimum(self.ids, len(self.flags) - 1)]) + 1
@@ -172,17 +191,17 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = Stream(definition.value, TaskContext.get().partitionId() << 40)
 
-        def out(pieces: list[tuple]) -> pa.RecordBatch:
-            values = zip(*pieces, strict=True)
-            return columns(**{name: pa.array(v, kind) for (name, kind), v in zip(_PIECES, values, strict=True)})
+        def closed(final: bool) -> Iterator[pa.RecordBatch]:
+            for pieces in batched(stream.flush(final), STEP):
+                values = zip(*pieces, strict=True)
+                yield columns(**{name: pa.array(v, kind) for (name, kind), v in zip(_PIECES, values, strict=True)})
 
         for part in slices(batches, 64):
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 stream.add(doc_id, encoded(definition.value, text))
-                if stream.n_waiting >= BLOCK and (pieces := stream.flush(False)):
-                    yield out(pieces)
-        if pieces := stream.flush(True):
-            yield out(pieces)
+                if stream.n_waiting >= BLOCK:
+                    yield from closed(False)
+        yield from closed(True)
 
     rows = doc_texts(docs).repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
