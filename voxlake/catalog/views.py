@@ -61,10 +61,12 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
     """Distinct atoms: repeats collapse to the largest coordinates."""
     keys = ["structure_id", "chain_id", "res_no", "res_name", "atom", "slot"]
     one = atom_rows(spark, d).groupBy(*keys).agg(*[F.max(c).alias(c) for c in "xyz"])
-    return one.withColumns({
+    full = one.withColumns({
         "element": F.substring("atom", 1, 1),
         "line_no": (F.ascii("chain_id") * 50 + F.col("res_no")) * 8 + F.col("slot"),
     })
+    # Filters stay above the generator: all branches of a plan share one exchange of the atoms.
+    return full.select(F.inline(F.array(F.struct(*full.columns))))
 
 
 ATOM_ROWS = f"""

@@ -21,8 +21,11 @@ from voxlake.runtime import extended, spread
 
 
 # Cell width of the range join as a share of the box: smaller cells test fewer
-# atoms outside the box, larger ones copy each centre less often.
-CELL_SHARE = 0.65
+# atoms outside the box, larger ones copy each centre less often. A test costs
+# nanoseconds, a copy is a wide row of the exchange.
+CELL_SHARE = 1.3
+#: Slots over which the cells of one group are dealt, so that a large group is not one task.
+SLOTS = 8
 
 
 @dataclass(frozen=True)
@@ -163,14 +166,24 @@ def voxel_counts(pairs: DataFrame, keys: Sequence[str] = RESIDUE_KEY) -> DataFra
     over the same examples reuse that placement. The four numbers of a voxel
     travel and are grouped as one (16 bits each), so rows and keys are narrow.
     """
-    places = {"ch": 48, "ix": 32, "iy": 16, "iz": 0}
-    code = sum((F.shiftleft(F.col(c).cast("bigint"), bits) for c, bits in places.items()), F.lit(0).cast("bigint"))
-    counts = spread(pairs.select(*keys, code.alias("_code")), *keys).groupBy(*keys, "_code").agg(
+    counts = spread(pairs.select(*keys, _code().alias("_code")), *keys).groupBy(*keys, "_code").agg(
         F.count("*").cast("double").alias("v"))
-    return counts.select(*keys, *[
-        F.shiftright("_code", bits).bitwiseAND(F.lit(0xFFFF).cast("bigint")).cast("int").alias(c)
-        for c, bits in places.items()
-    ], "v")
+    return counts.select(*keys, *_numbers(), "v")
+
+
+#: Where the four numbers of a voxel lie in one.
+PLACES = {"ch": 48, "ix": 32, "iy": 16, "iz": 0}
+
+
+def _code():
+    return sum((F.shiftleft(F.col(c).cast("bigint"), bits) for c, bits in PLACES.items()), F.lit(0).cast("bigint"))
+
+
+def _numbers(code: str = "_code") -> list:
+    return [
+        F.shiftright(code, bits).bitwiseAND(F.lit(0xFFFF).cast("bigint")).cast("int").alias(c)
+        for c, bits in PLACES.items()
+    ]
 
 
 def pack_examples(
@@ -303,11 +316,40 @@ def example_id(*suffix: str):
 
 
 def mean_over_sites(cells: DataFrame, groups: Sequence[str], site_key: Sequence[str]) -> DataFrame:
-    """Cell-wise mean over the sites of a group; an absent cell counts as 0."""
-    sites = cells.select(*groups, *site_key).distinct().groupBy(*groups).agg(
-        F.count("*").alias("_sites")
-    )
-    sums = cells.groupBy(*groups, "ch", "ix", "iy", "iz").agg(F.sum("v").alias("_sum"))
-    return sums.join(sites, list(groups)).select(
-        *groups, "ch", "ix", "iy", "iz", (F.col("_sum") / F.col("_sites")).alias("v")
-    )
+    """Cell-wise mean over the sites of a group; an absent cell counts as 0.
+
+    A site's cells travel as lists, in as many slots of its group as ``SLOTS``, so
+    the exchange carries few keys and a large group is not one task; sites that
+    meet in a batch are added up before. The first entry of a list, without a
+    place, counts the sites, so one exchange gives the sums and their divisors.
+    """
+    groups = list(groups)
+    packed = cells.groupBy(*groups, *site_key).agg(F.collect_list(F.struct(_code().alias("_code"), F.col("v").cast("double").alias("v"))).alias("cells"))
+
+    def deal(batches):
+        for part in _slices(batches, 4096):
+            seen: dict[tuple, int] = {}
+            group = np.array([seen.setdefault(k, len(seen)) for k in zip(*(part.column(c).to_pylist() for c in groups))])
+            first = pa.array(np.repeat(np.unique(group, return_index=True)[1], SLOTS))
+            flat = part.column("cells").flatten()
+            code, v = np.asarray(flat.field("_code")), np.asarray(flat.field("v"))
+            bucket = np.repeat(group, np.asarray(part.column("cells").value_lengths())) * SLOTS + sum(code >> bits for bits in PLACES.values()) % SLOTS
+            order = np.lexsort((code, bucket))
+            code, bucket = code[order], bucket[order]
+            heads = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])][: len(code)])
+            sums = np.add.reduceat(v[order], heads) if len(heads) else v
+            sizes = np.bincount(bucket[heads], minlength=len(first))
+            at = np.cumsum(sizes) - sizes
+            sites = np.repeat(np.bincount(group), SLOTS)
+            codes = pa.array(np.insert(code[heads], at, 0), mask=np.insert(np.zeros(len(heads), bool), at, True))
+            ends = pa.array(np.r_[0, np.cumsum(sizes + 1)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, a) for a in (codes, pa.array(np.insert(sums, at, sites)))]
+            slot = pa.array(np.arange(len(first), dtype=np.int32) % SLOTS)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(first) for c in groups), slot, *lists], names=[*groups, "_slot", "_code", "v"])
+
+    by = [*groups, "_slot"]
+    schema = extended(packed.select(*groups).schema, "_slot int, _code array<bigint>, v array<double>")
+    entries = spread(packed.mapInArrow(deal, schema), *by).select(*by, F.inline(F.arrays_zip("_code", "v")))
+    sites = entries.where("_code is null").groupBy(*by).agg(F.sum("v").alias("_sites"))
+    sums = entries.where("_code is not null").groupBy(*by, "_code").agg(F.sum("v").alias("_sum"))
+    return sums.join(sites.hint("shuffle_hash"), by).select(*groups, *_numbers(), (F.col("_sum") / F.col("_sites")).alias("v"))
