@@ -41,3 +41,18 @@ def test_totals_of_samples_are_those_of_their_arrays(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     odd = spark.createDataFrame([("e", []), ("n", None), ("v", [2.0, 3.0])], "k string, x array<float>")
     assert {r["k"]: (r["total"], r["peak"]) for r in sample_totals(odd).collect()} == {"e": (0.0, None), "n": (0.0, None), "v": (5.0, 3.0)}
+
+
+def test_smoothed_cells_as_lists_are_those_of_the_rows(spark):
+    """Few voxels are spread tap by tap, many as a dense block: the same cells either way, with or without rows."""
+    few = [("a", 0, 0, 0, 5, 2.0), ("a", 0, 5, 2, 3, 1.0), ("z", 0, 2, 2, 2, 0.0)]
+    many = [("m", 3, *at, float(sum(at) % 3 + 1)) for at in itertools.product(range(6), repeat=3)]
+    counts = spark.createDataFrame(few + many, "k string, ch int, ix int, iy int, iz int, v double").coalesce(1)
+    for rows in (few, many, few + many):
+        part = counts.where(F.col("k").isin([r[0] for r in rows]))
+        want = {}
+        for (key, ch, *cell), v in sorted(plain(rows, 6).items()):
+            want.setdefault((key, ch), []).append(v)
+        got = {(r["k"], r["ch"]): r["x"] for r in smooth_sparse(part, VoxelConfig(box_size=6.0), ["k"], rows=False).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)

@@ -261,9 +261,9 @@ smooth AS (
 
 @query("smoothed_voxels", V.with_sql(V.BOXED) + TAPS + "SELECT structure_id, chain_id, res_no, res_name, ch, count(*) AS cells, round(sum(v), 3) AS total, round(max(v), 4) AS peak FROM smooth GROUP BY ALL")
 def smoothed_voxels(spark, d):
-    s = smooth_sparse(counted(spark, d), RELAXED)
-    return s.groupBy(*RESIDUE_KEY, "ch").agg(
-        F.count("*").alias("cells"), F.round(F.sum("v"), 3).alias("total"), F.round(F.max("v"), 4).alias("peak"))
+    s = smooth_sparse(counted(spark, d), RELAXED, rows=False)
+    totals = sample_totals(s.select(*RESIDUE_KEY, "ch", F.size("x").cast("bigint").alias("cells"), "x"))
+    return totals.withColumns({"total": F.round("total", 3), "peak": F.round("peak", 4)})
 
 
 @query("smoothed_samples", V.with_sql(V.BOXED) + TAPS + "SELECT structure_id, chain_id, res_no, res_name, round(sum(v), 0) AS total, round(max(v), 0) AS peak FROM smooth GROUP BY 1, 2, 3, 4")

@@ -204,12 +204,13 @@ def pack_examples(
 
 
 def smooth_sparse(
-    counts: DataFrame, config: VoxelConfig, keys: Sequence[str] = RESIDUE_KEY
+    counts: DataFrame, config: VoxelConfig, keys: Sequence[str] = RESIDUE_KEY, rows: bool = True
 ) -> DataFrame:
     """Gaussian smoothing with mirrored edges, x1000: every cell that an occupied voxel reaches.
 
     A channel of an example is one dense block of a numpy kernel, so taps are never
-    rows; a block becomes rows only when it is smoothed.
+    rows; a block becomes rows only when it is smoothed. Without ``rows`` it stays one
+    row: ``x`` lists the values of all these cells in order of ix, iy and iz.
     """
     n = config.cells
     cell = (F.col("ix") * n + F.col("iy")) * n + F.col("iz")
@@ -218,21 +219,25 @@ def smooth_sparse(
     kept, size, taps = [*keys, "ch"], n ** 3, G.gaussian_taps()
 
     def smooth(batches):
-        for part in _slices(batches, 256):
+        for part in _slices(batches, 16):
             at, v = _places(part.column("cells"), size)
-            block = np.bincount(at, v, part.num_rows * size).reshape(-1, n, n, n)
-            values = _smooth_block(block, taps).ravel() * 1000.0
+            values = _smooth_cells(at, v, part.num_rows, n, taps) * 1000.0
             reached = values > 0
             if not (v > 0).all():  # a count of zero reaches its cells too
-                reached = _smooth_block((np.bincount(at, minlength=len(values)) > 0).astype(float).reshape(block.shape), taps).ravel() > 0
-            x = _equal_lists(pa.array(values, mask=~reached), part.num_rows, size)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), x], names=[*kept, "x"])
+                reached = _smooth_cells(at, np.ones(len(at)), part.num_rows, n, taps) > 0
+            found = np.flatnonzero(reached)
+            ends = pa.array(np.searchsorted(found, np.arange(part.num_rows + 1) * size).astype(np.int32))
+            lists = {"x": values[found], **({"at": (found % size).astype(np.int32)} if rows else {})}
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in kept), *(pa.ListArray.from_arrays(ends, pa.array(a)) for a in lists.values())], names=[*kept, *lists])
 
-    schema = packed.select(*kept).schema.add("x", T.ArrayType(T.DoubleType()))
-    cells = packed.mapInArrow(smooth, schema).select(*kept, F.posexplode("x").alias("_at", "v")).where("v is not null")
+    smoothed = packed.mapInArrow(smooth, extended(packed.select(*kept).schema, "x array<double>" + ", at array<int>" * rows))
+    if not rows:
+        return smoothed
+    cells = smoothed.select(*kept, F.inline(F.arrays_zip("at", "x")))
     return cells.select(*kept, *[
-        (F.floor(F.col("_at") / F.lit(n ** i)) % n).cast("int").alias(f"i{k}") for i, k in ((2, "x"), (1, "y"), (0, "z"))
-    ], "v")
+        (F.floor(F.col("at") / F.lit(n ** i)) % n).cast("int").alias(f"i{k}") for i, k in ((2, "x"), (1, "y"), (0, "z"))
+    ], F.col("x").alias("v"))
 
 
 def _slices(batches, rows: int):
@@ -266,6 +271,20 @@ def _smooth_block(block: np.ndarray, taps: list[float]) -> np.ndarray:
     return (along(a) @ out).reshape(block.shape)
 
 
+def _smooth_cells(at: np.ndarray, v: np.ndarray, rows: int, n: int, taps: list[float]) -> np.ndarray:
+    """Smoothed blocks, flat; sparse cells are spread tap by tap where that is less than the blocks hold."""
+    if len(at) * len(taps) ** 3 > rows * n ** 3:
+        return _smooth_block(np.bincount(at, v, rows * n ** 3).reshape(-1, n, n, n), taps).ravel()
+    mirrored = np.pad(np.arange(n), len(taps) // 2, mode="symmetric")
+    near = np.lib.stride_tricks.sliding_window_view(mirrored, len(taps))
+    w = np.asarray(taps)
+    plane, z = np.divmod(at, n)
+    line, y = np.divmod(plane, n)
+    row, x = np.divmod(line, n)
+    to = ((row[:, None] * n + near[x])[:, :, None] * n + near[y][:, None, :])[:, :, :, None] * n + near[z][:, None, None, :]
+    return np.bincount(to.ravel(), np.multiply.outer(v, w[:, None, None] * w[:, None] * w).ravel(), rows * n ** 3)
+
+
 def dense_samples(
     packed: DataFrame, config: VoxelConfig, smooth: bool = True, batch: int = 64
 ) -> DataFrame:
